@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -23,3 +23,13 @@ def require_columns(df: DataFrame, names: Iterable[str]) -> None:
 def ranked_score(score: Column) -> Column:
     """Scores are compared on six places, so that ties are ties everywhere."""
     return F.round(score, 6)
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of ``value``, which is computed once however often it is used.
+
+    Higher-order functions are interpreted and have no common-subexpression
+    elimination, so a repeated argument would be computed again at each use and,
+    inside a lambda, for each element. A lambda variable is computed once.
+    """
+    return F.transform(F.array(value), lambda bound: body(bound))[0]

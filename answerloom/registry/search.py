@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from answerloom.functions.chunking import chunk_documents
 from answerloom.functions.embedding import embed
+from answerloom.functions.text import sentences
 from answerloom.operators import search as S
-from answerloom.operators.index import sync_actions
+from answerloom.operators.index import content_hash, sync_actions, sync_index
 from answerloom.registry import _sql
 from answerloom.registry._base import query
 from answerloom.sources import scan
@@ -48,12 +49,14 @@ def as_queries(vectors: DataFrame) -> DataFrame:
 
 
 def embedded_chunks(spark: SparkSession, directory: str) -> DataFrame:
-    """``id, doc_id, chunk_ix, content, embedding`` over all documents."""
-    chunks = chunk_documents(scan(spark, directory, "documents"), "text", ["doc_id"])
+    """``id, doc_id, source, content, embedding`` over all documents."""
+    chunks = chunk_documents(scan(spark, directory, "documents"), "text", ["doc_id", "source"])
+    document = F.lpad(F.col("doc_id").cast("string"), 12, "0")
+    part = F.lpad(F.col("chunk_ix").cast("string"), 6, "0")
     return chunks.select(
-        F.concat_ws("-", F.lpad(F.col("doc_id").cast("string"), 12, "0"), F.lpad(F.col("chunk_ix").cast("string"), 6, "0")).alias("id"),
+        F.concat_ws("-", document, part).alias("id"),
         "doc_id",
-        "chunk_ix",
+        "source",
         "content",
         embed("content").alias("embedding"),
     )
@@ -224,8 +227,6 @@ def packed_results(spark: SparkSession, directory: str) -> DataFrame:
         SELECT query AS sentence_id, rk, key AS doc_id, score FROM hits WHERE score > 0.5""",
 )
 def relevant_sources(spark: SparkSession, directory: str) -> DataFrame:
-    from answerloom.functions.text import sentences
-
     asked = sentences(scan(spark, directory, "benchmark"), "text", ["item_id"]).select(
         F.concat_ws(
             "-", F.lpad(F.col("item_id").cast("string"), 6, "0"), (F.col("sentence_ix") + 1)
@@ -249,9 +250,31 @@ def relevant_sources(spark: SparkSession, directory: str) -> DataFrame:
         FROM source s FULL JOIN indexed i ON i.id = s.id""",
 )
 def index_sync_actions(spark: SparkSession, directory: str) -> DataFrame:
-    from answerloom.operators.index import content_hash
-
     documents = scan(spark, directory, "documents").select(F.col("doc_id").alias("id"), "text", "lang")
     older = F.when(F.col("lang") == "es", F.concat("text", F.lit("."))).otherwise(F.col("text"))
     indexed = documents.where("lang <> 'fr'").select("id", content_hash(older).alias("content_hash"))
     return sync_actions(documents.where("lang <> 'de'"), indexed, key="id", text="text")
+
+
+@query(
+    "index_sync",
+    """WITH source AS (SELECT doc_id AS id, source, md5(text) AS h FROM documents WHERE lang <> 'de'),
+        indexed AS (
+          SELECT doc_id AS id, md5(CASE WHEN lang = 'es' THEN text || '.' ELSE text END) AS h
+          FROM documents WHERE lang <> 'fr')
+        SELECT s.id, s.source, s.h AS content_hash, i.id IS NOT NULL AS kept
+        FROM source s LEFT JOIN indexed i ON i.id = s.id AND i.h = s.h""",
+)
+def index_sync(spark: SparkSession, directory: str) -> DataFrame:
+    documents = scan(spark, directory, "documents").select(
+        F.col("doc_id").alias("id"), "source", F.col("text").alias("content"), "lang"
+    )
+    older = F.when(F.col("lang") == "es", F.concat("content", F.lit("."))).otherwise(F.col("content"))
+    # A marked vector shows which embeddings were carried over.
+    indexed = documents.where("lang <> 'fr'").select(
+        "id",
+        content_hash(older).alias("content_hash"),
+        F.array(F.lit(-1.0).cast("float")).alias("embedding"),
+    )
+    synced = sync_index(documents.where("lang <> 'de'"), indexed)
+    return synced.select("id", "source", "content_hash", (F.col("embedding")[0] == -1).alias("kept"))
