@@ -59,7 +59,10 @@ def split_text(text: str | None, size: int, overlap: int) -> list[str]:
 
 
 def chunk_array(text: Column | str, size: int = 500, overlap: int = 10) -> Column:
-    """``array<string>`` of chunks, computed in Arrow batches."""
+    """``array<string>`` of chunks, computed in Arrow batches.
+
+    Declared nondeterministic so that the optimizer does not split texts twice.
+    """
     if not 0 <= overlap < size:
         raise ValueError("overlap must be at least 0 and smaller than size")
 
@@ -68,7 +71,7 @@ def chunk_array(text: Column | str, size: int = 500, overlap: int = 10) -> Colum
         for batch in batches:
             yield pd.Series([split_text(text, size, overlap) for text in batch], dtype=object)
 
-    return chunks_of(text)
+    return chunks_of.asNondeterministic()(text)
 
 
 def chunk_documents(

@@ -59,6 +59,8 @@ def embed(text: Column | str, model: EmbeddingModel | None = None, dim: int = 64
     """``array<float>`` embedding of a text column, NULL for NULL text.
 
     Row-local: no shuffle, one model load per task, Arrow batches in between.
+    Declared nondeterministic, which keeps the optimizer from copying the call
+    into filters and so from running the model twice; filter before embedding.
     """
     load = model or hashed_words(dim)
 
@@ -74,4 +76,4 @@ def embed(text: Column | str, model: EmbeddingModel | None = None, dim: int = 64
                     out[position] = row
             yield pd.Series(out)
 
-    return vectors(F.lower(as_column(text)))
+    return vectors.asNondeterministic()(F.lower(as_column(text)))

@@ -40,7 +40,11 @@ _COLUMN_MODELS["lead"] = first_sentence
 
 
 def apply_model(prompt: Column, model: str | BatchModel = "extractive") -> Column:
-    """The model's answer to a prompt column; NULL prompts stay NULL."""
+    """The model's answer to a prompt column; NULL prompts stay NULL.
+
+    A batch model is declared nondeterministic, so that no plan calls it twice
+    for a row.
+    """
     if isinstance(model, str):
         if model in _COLUMN_MODELS:
             return _COLUMN_MODELS[model](prompt)
@@ -60,7 +64,7 @@ def apply_model(prompt: Column, model: str | BatchModel = "extractive") -> Colum
                 out[asked] = list(answer(batch[asked].tolist()))
             yield out
 
-    return answers(prompt)
+    return answers.asNondeterministic()(prompt)
 
 
 def map_model(

@@ -33,40 +33,40 @@ GIVEN_NAMES = (
     "Sarah Scott Sophie Stephen Steven Susan Thomas Timothy Victoria Walter William"
 ).split()
 
-# (pattern, group, hint): ``hint`` must occur for the pattern to be tried at all.
+# (pattern, group, hint): where running a pattern costs much more than looking
+# for its hint, the hint decides per text whether to run it.
 PATTERNS = {
-    "CREDIT_CARD": (r"\b[0-9]{4}(?:[ -]?[0-9]{4}){3}\b", 0, "[0-9]{4}"),
-    "PHONE_NUMBER": (r"\(?\b[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}\b", 0, "[0-9]{3}[ .-][0-9]{4}"),
-    "IP_ADDRESS": (r"\b[0-9]{1,3}(?:\.[0-9]{1,3}){3}\b", 0, r"[0-9]\.[0-9]"),
-    "US_SSN": (r"\b[0-9]{3}-[0-9]{2}-[0-9]{4}\b", 0, "-[0-9]{2}-"),
-    "US_PASSPORT": (r"\b[A-Z][0-9]{8}\b", 0, "[A-Z][0-9]{8}"),
+    "CREDIT_CARD": (r"\b[0-9]{4}(?:[ -]?[0-9]{4}){3}\b", 0, None),
+    "PHONE_NUMBER": (r"\(?\b[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}\b", 0, None),
+    "IP_ADDRESS": (r"\b[0-9]{1,3}(?:\.[0-9]{1,3}){3}\b", 0, None),
+    "US_SSN": (r"\b[0-9]{3}-[0-9]{2}-[0-9]{4}\b", 0, None),
+    "US_PASSPORT": (r"\b[A-Z][0-9]{8}\b", 0, None),
     "US_BANK_NUMBER": (
         r"(?i)\b(?:account|acct|routing|bank|aba)\b[^0-9\n]{0,24}([0-9]{8,17})\b",
         1,
         "[0-9]{8}",
     ),
-    "US_ITIN": (r"\b9[0-9]{2}-[5-9][0-9]-[0-9]{4}\b", 0, "-[5-9][0-9]-"),
+    "US_ITIN": (r"\b9[0-9]{2}-[5-9][0-9]-[0-9]{4}\b", 0, None),
     "US_DRIVER_LICENSE": (
         r"(?i)\b(?:driver'?s? licen[cs]e|driving licen[cs]e|dl)\b[^0-9\n]{0,16}\b([A-Z]?[0-9]{7,8})\b",
         1,
         "[0-9]{7}",
     ),
     "EMAIL_ADDRESS": (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}", 0, "@"),
-    "CRYPTO": (r"\b(?:bc1|[13])[A-HJ-NP-Za-km-z1-9]{25,39}\b", 0, "[A-HJ-NP-Za-km-z1-9]{25}"),
+    "CRYPTO": (r"\b(?:bc1|[13])[A-HJ-NP-Za-km-z1-9]{25,39}\b", 0, None),
 }
 
+CAPITALISED_PAIR = r"[A-Z][a-z]+\.? [A-Z][a-z]"
+
 
 def person_pattern(names: Sequence[str] = GIVEN_NAMES) -> str:
     """A title or a known given name, followed by capitalised names."""
-    return (
-        r"\b(?:(?:Mr|Mrs|Ms|Dr|Prof)\.? [A-Z][a-z]+|(?:"
-        + "|".join(sorted(names))
-        + r"))(?: [A-Z][a-z]+)+\b"
-    )
+    known = "|".join(sorted(names))
+    return rf"\b(?:(?:Mr|Mrs|Ms|Dr|Prof)\.?|{known})(?: [A-Z][a-z]+)+\b"
 
 
 def _patterns(names: Sequence[str]) -> dict[str, tuple[str, int, str | None]]:
-    return {"PERSON": (person_pattern(names), 0, None), **PATTERNS}
+    return {"PERSON": (person_pattern(names), 0, CAPITALISED_PAIR), **PATTERNS}
 
 
 def _labelled(entity: str, hits: Column) -> Column:
@@ -85,8 +85,7 @@ def pii_hits(
 ) -> Column:
     """``array<struct<entity, ix, hit>>`` in entity order, then text order.
 
-    No entities given means the default ones. A cheap hint decides per row
-    whether a pattern is worth running.
+    No entities given means the default ones.
     """
     text = as_column(text)
     known = _patterns(names)

@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 
 # Score tiles hold at most this many numbers, whatever the batch sizes are.
 TILE = 4_000_000

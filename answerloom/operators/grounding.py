@@ -21,30 +21,50 @@ from answerloom.functions.columns import as_column, let
 from answerloom.functions.embedding import EmbeddingModel, embed
 from answerloom.functions.text import sentences, token_array
 from answerloom.operators.search import relevant_sources
+from answerloom.session import cut_lineage
 
 MIN_SHARE = 0.8
 
 
-def word_grams(text: Column | str, n: int, shorter: bool) -> Column:
-    """Distinct word n-grams; a short text gives itself, or all grams up to n."""
+def word_grams(text: Column | str, lengths: list[int], whole: bool = False) -> Column:
+    """Distinct word n-grams of the given lengths.
 
-    def of_size(words: Column, size: int) -> Column:
-        starts = F.slice(words, F.lit(1), F.greatest(F.size(words) - F.lit(size - 1), F.lit(0)))
+    With ``whole``, a text shorter than the one length given is its own gram.
+    """
+
+    def of_length(words: Column, length: int) -> Column:
+        starts = F.slice(words, F.lit(1), F.greatest(F.size(words) - length + 1, F.lit(0)))
+        # By element: a slice per position would copy the text each time.
         return F.transform(
-            starts, lambda _, i: F.array_join(F.slice(words, i + 1, F.lit(size)), " ")
+            starts,
+            lambda word, i: F.concat_ws(" ", word, *[F.get(words, i + j) for j in range(1, length)]),
         )
 
     def grams(words: Column) -> Column:
-        if shorter:
-            return F.flatten(F.array(*[of_size(words, size) for size in range(1, n + 1)]))
-        whole = F.when(F.size(words) > 0, F.array(F.array_join(words, " "))).otherwise(
-            F.array().cast("array<string>")
-        )
-        return F.when(F.size(words) >= n, of_size(words, n)).otherwise(whole)
+        found = [of_length(words, length) for length in lengths]
+        if not whole:
+            return F.flatten(F.array(F.array().cast("array<string>"), *found))
+        alone = F.filter(F.array(F.array_join(words, " ")), lambda gram: gram != "")
+        return F.when(F.size(words) >= lengths[0], found[0]).otherwise(alone)
 
     return F.array_distinct(let(token_array(text), grams))
 
 
+def _counted(grams: Column) -> Column:
+    """Grams with their length in words and the number of them."""
+    return let(
+        grams,
+        lambda all_: F.transform(
+            all_,
+            lambda gram: F.struct(
+                gram.alias("gram"),
+                F.size(F.split(gram, " ")).alias("words"),
+                F.size(all_).alias("size"),
+            ),
+        ),
+    )
+
+
 def grounded_sentences(
     asked: DataFrame,
     sources: DataFrame,
@@ -64,25 +84,26 @@ def grounded_sentences(
         raise ValueError("threshold must be above 0 and at most 1")
     place = F.col(pool) if pool else F.lit(0)
     sentence_id = F.md5(F.concat_ws("\x01", place.cast("string"), F.lower(as_column(sentence))))
-    wanted = (
+    wanted = cut_lineage(
         asked.select(
-            place.alias("pool"), sentence_id.alias("sid"), word_grams(sentence, n, False).alias("grams")
+            place.alias("pool"),
+            sentence_id.alias("sid"),
+            F.explode(_counted(word_grams(sentence, [n], whole=True))).alias("g"),
         )
-        .dropDuplicates(["sid"])
-        .withColumn("size", F.size("grams"))
-        .where("size > 0")
+        .select("pool", "sid", "g.gram", "g.words", "g.size")
+        .distinct()
         .withColumn("need", F.ceil(F.col("size") * F.lit(threshold) - F.lit(1e-9)))
-        .select("pool", "sid", "size", "need", F.explode("grams").alias("gram"))
     )
-    held = (
+    # At most n lengths, most often the one.
+    lengths = sorted(row["words"] for row in wanted.select("words").distinct().collect())
+    held = cut_lineage(
         sources.select(
             place.alias("pool"),
             F.md5(F.lower(as_column(text))).alias("source"),
-            word_grams(text, n, True).alias("grams"),
+            F.explode(word_grams(text, lengths)).alias("gram"),
         )
-        .dropDuplicates(["pool", "source"])
-        .select("pool", "source", F.explode("grams").alias("gram"))
         .join(wanted.select("pool", "gram").distinct(), ["pool", "gram"], "left_semi")
+        .distinct()
     )
     frequency = held.groupBy("pool", "gram").agg(
         F.count(F.lit(1)).alias("df"), F.min("source").alias("source")

@@ -15,6 +15,7 @@ from collections.abc import Iterator, Sequence
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -239,20 +240,21 @@ def nearest_cells(vector: Column | str, centroids: DataFrame, nprobe: int = 1) -
     def nearest(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         cells, matrix = shared.value
         for batch in batches:
-            if not len(batch):
-                yield pd.Series([], dtype=object)
-                continue
-            order = np.argsort(np.round(_distances(_rows(batch), matrix), 6), axis=1, kind="stable")
-            yield pd.Series(list(cells[order[:, :nprobe]]))
+            out = np.full(len(batch), None, dtype=object)
+            known = batch.notna().to_numpy()
+            if known.any():
+                gaps = np.round(_distances(_rows(batch[known]), matrix), 6)
+                nearest_first = cells[np.argsort(gaps, axis=1, kind="stable")[:, :nprobe]]
+                for position, row in zip(np.flatnonzero(known), nearest_first, strict=True):
+                    out[position] = row.tolist()
+            yield pd.Series(out)
 
-    return nearest(as_column(vector))
+    return nearest.asNondeterministic()(as_column(vector))
 
 
 def assign_cells(corpus: DataFrame, centroids: DataFrame, vector: str = "embedding") -> DataFrame:
     """Add the nearest ``cell``. Write the result partitioned by it to prune scans."""
-    return corpus.where(F.col(vector).isNotNull()).withColumn(
-        "cell", nearest_cells(vector, centroids, 1)[0]
-    )
+    return corpus.withColumn("cell", F.get(nearest_cells(vector, centroids, 1), F.lit(0)))
 
 
 def cell_radii(index: DataFrame, centroids: DataFrame, vector: str = "embedding") -> DataFrame:
@@ -307,8 +309,6 @@ def _search(
     """Candidates ``query_key, key, score`` that include every true result."""
     if k < 1:
         raise ValueError("k must be positive")
-    queries = queries.where("q IS NOT NULL")
-    corpus = corpus.where("v IS NOT NULL")
     schema = T.StructType(
         [
             T.StructField(query_key, queries.schema[query_key].dataType),
@@ -317,12 +317,18 @@ def _search(
         ]
     )
     if queries.select(query_key).count() <= max_sent:
-        table = queries.toArrow()
+        table = _with_vector(queries.toArrow(), "q")
         if table.nbytes <= MAX_SENT_BYTES:
             return _scan(table, corpus, k, schema)
     return _blocks(queries, corpus, k, query_key, key, schema)
 
 
+def _with_vector(rows: pa.Table | pa.RecordBatch, name: str) -> pa.Table | pa.RecordBatch:
+    """Rows that have a vector. A filter in the plan could run a model twice."""
+    present = pa.compute.is_valid(rows.column(name))
+    return rows.filter(present)
+
+
 def _scan(queries: pa.Table, corpus: DataFrame, k: int, schema: T.StructType) -> DataFrame:
     """Send the queries to the corpus: no shuffle of the corpus, no skew."""
     ids = keys_of(queries.column(0))
@@ -339,7 +345,8 @@ def _scan(queries: pa.Table, corpus: DataFrame, k: int, schema: T.StructType) ->
         ids, vectors, by_cell = shared.value
         best = TopK(k)
         for batch in batches:
-            keys, rows, cells = keys_of(batch.column(0)), matrix_of(batch.column(1)), keys_of(batch.column(2))
+            batch = _with_vector(batch, "v")
+            keys, rows, cells = keys_of(batch[0]), matrix_of(batch[1]), keys_of(batch[2])
             for cell in np.unique(cells):
                 numbers = by_cell.get(int(cell))
                 if numbers is not None:
@@ -383,6 +390,7 @@ def _blocks(
 
     def best_of(rows: pa.Table, asked: pa.Table) -> pa.Table:
         best = TopK(k)
+        rows, asked = _with_vector(rows, "v"), _with_vector(asked, "q")
         if rows.num_rows and asked.num_rows:
             best.offer(
                 np.arange(asked.num_rows),

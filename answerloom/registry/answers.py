@@ -101,7 +101,7 @@ def model_in_batches(spark: SparkSession, directory: str) -> DataFrame:
 
 @query("summaries", f"SELECT doc_id, {_sql.first_sentence('text')} AS summary FROM documents")
 def summaries(spark: SparkSession, directory: str) -> DataFrame:
-    return summarize(scan(spark, directory, "documents"), "text").select("doc_id", "summary")
+    return summarize(scan(spark, directory, "documents", spread=True), "text").select("doc_id", "summary")
 
 
 # ---- evaluation ------------------------------------------------------------
@@ -114,7 +114,7 @@ _EVALS = f"""
 
 
 def eval_set(spark: SparkSession, directory: str) -> DataFrame:
-    documents = scan(spark, directory, "documents")
+    documents = scan(spark, directory, "documents", spread=True)
     return E.make_eval_set(documents, "doc_id", "text", "source")
 
 
@@ -136,7 +136,7 @@ _EVALUATED = f"""
 
 def _evaluated(spark: SparkSession, directory: str) -> tuple[DataFrame, DataFrame]:
     evals = eval_set(spark, directory)
-    corpus = scan(spark, directory, "documents").select(
+    corpus = scan(spark, directory, "documents", spread=True).select(
         F.col("doc_id").alias("id"), F.col("text").alias("content"), embed("text").alias("embedding")
     )
     asked = evals.select(F.col("eval_id").alias("query_id"), embed("question").alias("embedding"))

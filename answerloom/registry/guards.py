@@ -48,7 +48,7 @@ def pii_list_sql(text: str) -> str:
     ),
 )
 def personal_data(spark: SparkSession, directory: str) -> DataFrame:
-    return detect_pii(scan(spark, directory, "documents"), "text", ["doc_id"])
+    return detect_pii(scan(spark, directory, "documents", spread=True), "text", ["doc_id"])
 
 
 @query(
@@ -60,7 +60,7 @@ def personal_data(spark: SparkSession, directory: str) -> DataFrame:
 )
 def personal_data_verdicts(spark: SparkSession, directory: str) -> DataFrame:
     verdict = pii_verdict("text")
-    judged = scan(spark, directory, "documents").select("doc_id", verdict.alias("v"))
+    judged = scan(spark, directory, "documents", spread=True).select("doc_id", verdict.alias("v"))
     return judged.select("doc_id", "v.passed", "v.message")
 
 
@@ -81,7 +81,7 @@ def _topic_sql(source: str, keys: str, text: str) -> str:
         SELECT doc_id, topic, round(score, 6) AS score FROM scored""",
 )
 def topic_scores(spark: SparkSession, directory: str) -> DataFrame:
-    scored = scan(spark, directory, "documents").select(
+    scored = scan(spark, directory, "documents", spread=True).select(
         "doc_id", F.explode(G.topic_scores("text", LEXICON)).alias("s")
     )
     return scored.where("s.score > 0").select("doc_id", "s.topic", F.round("s.score", 6).alias("score"))
@@ -95,7 +95,7 @@ def topic_scores(spark: SparkSession, directory: str) -> DataFrame:
         FROM documents LEFT JOIN banned USING (doc_id)""",
 )
 def topic_verdicts(spark: SparkSession, directory: str) -> DataFrame:
-    judged = scan(spark, directory, "documents").select(
+    judged = scan(spark, directory, "documents", spread=True).select(
         "doc_id", G.topic_verdict("text", LEXICON).alias("v")
     )
     return judged.select("doc_id", "v.passed", "v.message")
@@ -136,8 +136,8 @@ def _grounding_sql(pool: str, sentences_: str, sources: str) -> str:
         FROM sentence""",
 )
 def grounded_benchmark(spark: SparkSession, directory: str) -> DataFrame:
-    asked = sentences(scan(spark, directory, "benchmark"), "text", ["item_id"])
-    checked = grounded_sentences(asked, scan(spark, directory, "documents").select("text"))
+    asked = sentences(scan(spark, directory, "benchmark", spread=True), "text", ["item_id"])
+    checked = grounded_sentences(asked, scan(spark, directory, "documents", spread=True).select("text"))
     return checked.withColumn("sentence_ix", F.col("sentence_ix").cast("bigint"))
 
 
@@ -160,8 +160,8 @@ _CHECKED = f"""
 
 def _checked(spark: SparkSession, directory: str) -> DataFrame:
     return check_answers(
-        scan(spark, directory, "benchmark"),
-        scan(spark, directory, "documents"),
+        scan(spark, directory, "benchmark", spread=True),
+        scan(spark, directory, "documents", spread=True),
         key="item_id",
         source_key="doc_id",
         source_text="text",

@@ -50,7 +50,7 @@ def as_queries(vectors: DataFrame) -> DataFrame:
 
 def embedded_chunks(spark: SparkSession, directory: str) -> DataFrame:
     """``id, doc_id, source, content, embedding`` over all documents."""
-    chunks = chunk_documents(scan(spark, directory, "documents"), "text", ["doc_id", "source"])
+    chunks = chunk_documents(scan(spark, directory, "documents", spread=True), "text", ["doc_id", "source"])
     document = F.lpad(F.col("doc_id").cast("string"), 12, "0")
     part = F.lpad(F.col("chunk_ix").cast("string"), 6, "0")
     return chunks.select(
@@ -66,7 +66,7 @@ CHUNK_KEY_SQL = "lpad(key::VARCHAR, 12, '0') || '-' || lpad(chunk_ix::VARCHAR, 6
 
 
 def embedded_benchmark(spark: SparkSession, directory: str) -> DataFrame:
-    return scan(spark, directory, "benchmark").select(
+    return scan(spark, directory, "benchmark", spread=True).select(
         F.col("item_id").alias("query_id"), embed("text").alias("embedding")
     )
 
@@ -77,9 +77,9 @@ def embedded_benchmark(spark: SparkSession, directory: str) -> DataFrame:
         SELECT key AS doc_id, b AS bucket, round(v, 6) AS value FROM emb""",
 )
 def embed_documents(spark: SparkSession, directory: str) -> DataFrame:
-    vectors = scan(spark, directory, "documents").select("doc_id", embed("text").alias("e"))
+    documents = scan(spark, directory, "documents", spread=True)
     return (
-        vectors.select("doc_id", F.posexplode("e").alias("bucket", "value"))
+        documents.select("doc_id", F.posexplode(embed("text")).alias("bucket", "value"))
         .where("value != 0")
         .select(
             "doc_id",
@@ -227,13 +227,13 @@ def packed_results(spark: SparkSession, directory: str) -> DataFrame:
         SELECT query AS sentence_id, rk, key AS doc_id, score FROM hits WHERE score > 0.5""",
 )
 def relevant_sources(spark: SparkSession, directory: str) -> DataFrame:
-    asked = sentences(scan(spark, directory, "benchmark"), "text", ["item_id"]).select(
+    asked = sentences(scan(spark, directory, "benchmark", spread=True), "text", ["item_id"]).select(
         F.concat_ws(
             "-", F.lpad(F.col("item_id").cast("string"), 6, "0"), (F.col("sentence_ix") + 1)
         ).alias("sentence_id"),
         embed("sentence").alias("embedding"),
     )
-    sources = scan(spark, directory, "documents").select("doc_id", embed("text").alias("embedding"))
+    sources = scan(spark, directory, "documents", spread=True).select("doc_id", embed("text").alias("embedding"))
     return S.relevant_sources(asked, sources, 5, 0.5, query_key="sentence_id", key="doc_id")
 
 
@@ -250,7 +250,7 @@ def relevant_sources(spark: SparkSession, directory: str) -> DataFrame:
         FROM source s FULL JOIN indexed i ON i.id = s.id""",
 )
 def index_sync_actions(spark: SparkSession, directory: str) -> DataFrame:
-    documents = scan(spark, directory, "documents").select(F.col("doc_id").alias("id"), "text", "lang")
+    documents = scan(spark, directory, "documents", spread=True).select(F.col("doc_id").alias("id"), "text", "lang")
     older = F.when(F.col("lang") == "es", F.concat("text", F.lit("."))).otherwise(F.col("text"))
     indexed = documents.where("lang <> 'fr'").select("id", content_hash(older).alias("content_hash"))
     return sync_actions(documents.where("lang <> 'de'"), indexed, key="id", text="text")
@@ -266,7 +266,7 @@ def index_sync_actions(spark: SparkSession, directory: str) -> DataFrame:
         FROM source s LEFT JOIN indexed i ON i.id = s.id AND i.h = s.h""",
 )
 def index_sync(spark: SparkSession, directory: str) -> DataFrame:
-    documents = scan(spark, directory, "documents").select(
+    documents = scan(spark, directory, "documents", spread=True).select(
         F.col("doc_id").alias("id"), "source", F.col("text").alias("content"), "lang"
     )
     older = F.when(F.col("lang") == "es", F.concat("content", F.lit("."))).otherwise(F.col("content"))

@@ -80,17 +80,17 @@ def scan_tables(spark: SparkSession, directory: str) -> DataFrame:
 
 @query("mime_type_of_pages", f"SELECT page_id, url, mime_type FROM ({_mime_sql('url')})")
 def mime_type_of_pages(spark: SparkSession, directory: str) -> DataFrame:
-    return scan(spark, directory, "pages").select("page_id", "url", mime_type("url").alias("mime_type"))
+    return scan(spark, directory, "pages", spread=True).select("page_id", "url", mime_type("url").alias("mime_type"))
 
 
 @query("rename_and_prune", "SELECT url AS source, html AS content FROM pages")
 def rename_and_prune(spark: SparkSession, directory: str) -> DataFrame:
-    return scan(spark, directory, "pages").selectExpr("url as source", "html as content")
+    return scan(spark, directory, "pages", spread=True).selectExpr("url as source", "html as content")
 
 
 @query("map_columns", "SELECT doc_id AS id, text AS content, source AS doc_uri, lang FROM documents")
 def map_document_columns(spark: SparkSession, directory: str) -> DataFrame:
-    documents = scan(spark, directory, "documents").drop("n_chars")
+    documents = scan(spark, directory, "documents", spread=True).drop("n_chars")
     return map_columns(documents, id="doc_id", content="text", doc_uri="source")
 
 
@@ -99,12 +99,12 @@ def map_document_columns(spark: SparkSession, directory: str) -> DataFrame:
     "SELECT doc_id, lang, n_chars FROM documents ORDER BY doc_id LIMIT 500",
 )
 def first_documents(spark: SparkSession, directory: str) -> DataFrame:
-    return head_by(scan(spark, directory, "documents").select("doc_id", "lang", "n_chars"), "doc_id", 500)
+    return head_by(scan(spark, directory, "documents", spread=True).select("doc_id", "lang", "n_chars"), "doc_id", 500)
 
 
 @query("page_text", f"SELECT page_id, {_html_sql('html')} AS content FROM pages")
 def page_text(spark: SparkSession, directory: str) -> DataFrame:
-    return scan(spark, directory, "pages").select("page_id", html_to_text("html").alias("content"))
+    return scan(spark, directory, "pages", spread=True).select("page_id", html_to_text("html").alias("content"))
 
 
 @query(
@@ -113,7 +113,7 @@ def page_text(spark: SparkSession, directory: str) -> DataFrame:
         FROM (SELECT doc_id, {_sql.sentence_list('text')} AS ss FROM documents)""",
 )
 def document_sentences(spark: SparkSession, directory: str) -> DataFrame:
-    found = sentences(scan(spark, directory, "documents"), "text", ["doc_id"])
+    found = sentences(scan(spark, directory, "documents", spread=True), "text", ["doc_id"])
     return found.withColumn("sentence_ix", F.col("sentence_ix").cast("bigint"))
 
 
@@ -124,7 +124,7 @@ def document_sentences(spark: SparkSession, directory: str) -> DataFrame:
                len(regexp_extract_all(content, '\\S+'))::BIGINT AS n_tokens FROM chunk""",
 )
 def document_chunks(spark: SparkSession, directory: str) -> DataFrame:
-    chunks = chunk_documents(scan(spark, directory, "documents"), "text", ["doc_id"])
+    chunks = chunk_documents(scan(spark, directory, "documents", spread=True), "text", ["doc_id"])
     return chunks.select(
         "doc_id",
         F.col("chunk_ix").cast("bigint").alias("chunk_ix"),
@@ -140,7 +140,7 @@ def document_chunks(spark: SparkSession, directory: str) -> DataFrame:
         SELECT p.url AS source, c.chunk_ix, c.content FROM chunk c JOIN pages p ON p.page_id = c.key""",
 )
 def page_chunks(spark: SparkSession, directory: str) -> DataFrame:
-    parsed = scan(spark, directory, "pages").select(
+    parsed = scan(spark, directory, "pages", spread=True).select(
         F.col("url").alias("source"), html_to_text("html").alias("parsed")
     )
     chunks = chunk_documents(parsed, "parsed", ["source"], 100, 10)

@@ -16,9 +16,21 @@ TABLES = (
 CHUNK_COLUMNS = "id BIGINT, source STRING, chunk_ix INT, mime_type STRING, content STRING"
 
 
-def scan(spark: SparkSession, directory: str, name: str) -> DataFrame:
-    """One table of a parquet directory. Nothing is read until an action runs."""
-    return spark.read.parquet(f"{directory.rstrip('/')}/{name}.parquet")
+def scan(
+    spark: SparkSession, directory: str, name: str, spread: bool = False
+) -> DataFrame:
+    """One table of a parquet directory. Nothing is read until an action runs.
+
+    ``spread`` is for work that is heavy per row: a table with fewer splits than
+    there are cores (a small one, or one of few row groups) is dealt out over
+    all of them. A table of many splits is read where it lies, unshuffled.
+    """
+    table = spark.read.parquet(f"{directory.rstrip('/')}/{name}.parquet")
+    if spread:
+        cores = spark.sparkContext.defaultParallelism
+        if table.rdd.getNumPartitions() < cores:
+            return table.repartition(cores)
+    return table
 
 
 def load_tables(
