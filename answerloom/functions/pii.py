@@ -56,7 +56,8 @@ PATTERNS = {
     "CRYPTO": (r"\b(?:bc1|[13])[A-HJ-NP-Za-km-z1-9]{25,39}\b", 0, None),
 }
 
-CAPITALISED_PAIR = r"[A-Z][a-z]+\.? [A-Z][a-z]"
+# Persons are looked for in runs of capitalised words, which are quick to find.
+CAPITALISED_RUN = r"\b[A-Z][a-z]+\.?(?: [A-Z][\p{L}\p{N}_]*\.?)+"
 
 
 def person_pattern(names: Sequence[str] = GIVEN_NAMES) -> str:
@@ -65,8 +66,10 @@ def person_pattern(names: Sequence[str] = GIVEN_NAMES) -> str:
     return rf"\b(?:(?:Mr|Mrs|Ms|Dr|Prof)\.?|{known})(?: [A-Z][a-z]+)+\b"
 
 
-def _patterns(names: Sequence[str]) -> dict[str, tuple[str, int, str | None]]:
-    return {"PERSON": (person_pattern(names), 0, CAPITALISED_PAIR), **PATTERNS}
+def _person_hits(text: Column, names: Sequence[str]) -> Column:
+    runs = F.regexp_extract_all(text, F.lit(CAPITALISED_RUN), F.lit(0))
+    pattern = F.lit(person_pattern(names))
+    return F.flatten(F.transform(runs, lambda r: F.regexp_extract_all(r, pattern, F.lit(0))))
 
 
 def _labelled(entity: str, hits: Column) -> Column:
@@ -88,14 +91,16 @@ def pii_hits(
     No entities given means the default ones.
     """
     text = as_column(text)
-    known = _patterns(names)
     wanted = list(entities) or list(DEFAULT_ENTITIES)
-    unknown = [entity for entity in wanted if entity not in known]
+    unknown = [entity for entity in wanted if entity not in DEFAULT_ENTITIES]
     if unknown:
         raise ValueError(f"no pattern for entities {unknown}")
     found = []
     for entity in wanted:
-        pattern, group, hint = known[entity]
+        if entity == "PERSON":
+            found.append(_labelled(entity, _person_hits(text, names)))
+            continue
+        pattern, group, hint = PATTERNS[entity]
         hits = _labelled(entity, F.regexp_extract_all(text, F.lit(pattern), F.lit(group)))
         if hint is not None:
             seen = text.contains(hint) if hint == "@" else text.rlike(hint)

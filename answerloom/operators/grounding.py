@@ -50,19 +50,22 @@ def word_grams(text: Column | str, lengths: list[int], whole: bool = False) -> C
     return F.array_distinct(let(token_array(text), grams))
 
 
-def _counted(grams: Column) -> Column:
-    """Grams with their length in words and the number of them."""
-    return let(
-        grams,
-        lambda all_: F.transform(
-            all_,
-            lambda gram: F.struct(
-                gram.alias("gram"),
-                F.size(F.split(gram, " ")).alias("words"),
-                F.size(all_).alias("size"),
-            ),
-        ),
-    )
+def _tagged(identity: Column, grams: Column, counted: bool = False) -> Column:
+    """Grams with the id of their text; ``counted`` adds their length and number."""
+
+    def tag(both: Column) -> Column:
+        every = both["grams"]
+
+        def row(gram: Column) -> Column:
+            fields = [both["id"].alias("id"), gram.alias("gram")]
+            if counted:
+                fields.append(F.size(F.split(gram, " ")).alias("words"))
+                fields.append(F.size(every).alias("size"))
+            return F.struct(*fields)
+
+        return F.transform(every, row)
+
+    return let(F.struct(identity.alias("id"), grams.alias("grams")), tag)
 
 
 def grounded_sentences(
@@ -84,13 +87,16 @@ def grounded_sentences(
         raise ValueError("threshold must be above 0 and at most 1")
     place = F.col(pool) if pool else F.lit(0)
     sentence_id = F.md5(F.concat_ws("\x01", place.cast("string"), F.lower(as_column(sentence))))
+    # Ids go through the explode with the grams: as columns beside it they would
+    # be computed again for every gram, from a text carried along with each.
     wanted = cut_lineage(
         asked.select(
             place.alias("pool"),
-            sentence_id.alias("sid"),
-            F.explode(_counted(word_grams(sentence, [n], whole=True))).alias("g"),
+            F.explode(
+                _tagged(sentence_id, word_grams(sentence, [n], whole=True), counted=True)
+            ).alias("g"),
         )
-        .select("pool", "sid", "g.gram", "g.words", "g.size")
+        .select("pool", F.col("g.id").alias("sid"), "g.gram", "g.words", "g.size")
         .distinct()
         .withColumn("need", F.ceil(F.col("size") * F.lit(threshold) - F.lit(1e-9)))
     )
@@ -99,9 +105,11 @@ def grounded_sentences(
     held = cut_lineage(
         sources.select(
             place.alias("pool"),
-            F.md5(F.lower(as_column(text))).alias("source"),
-            F.explode(word_grams(text, lengths)).alias("gram"),
+            F.explode(
+                _tagged(F.md5(F.lower(as_column(text))), word_grams(text, lengths))
+            ).alias("g"),
         )
+        .select("pool", F.col("g.id").alias("source"), "g.gram")
         .join(wanted.select("pool", "gram").distinct(), ["pool", "gram"], "left_semi")
         .distinct()
     )

@@ -23,6 +23,7 @@ from pyspark.sql.window import Window
 
 from answerloom.functions.columns import as_column, ranked_score, require_columns
 from answerloom.operators._nearest import TopK, keys_of, matrix_of
+from answerloom.session import cut_lineage
 
 MAX_SENT_QUERIES = 16_384
 MAX_SENT_BYTES = 64 << 20
@@ -197,7 +198,7 @@ def train_centroids(
 
 def label_centroids(corpus: DataFrame, label: str, vector: str = "embedding") -> DataFrame:
     """Mean vector per label, on six places; the label is the cell."""
-    return (
+    means = (
         corpus.select(label, F.posexplode(F.col(vector).cast("array<double>")).alias("i", "x"))
         .groupBy(label, "i")
         .agg(F.round(F.avg("x"), 6).alias("m"))
@@ -208,6 +209,7 @@ def label_centroids(corpus: DataFrame, label: str, vector: str = "embedding") ->
             )
         )
     )
+    return cut_lineage(means)
 
 
 def _centroid_matrix(centroids: DataFrame) -> tuple[np.ndarray, np.ndarray]:

@@ -5,7 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from answerloom.functions.pii import DEFAULT_ENTITIES, PATTERNS, detect_pii, person_pattern, pii_verdict
+from answerloom.functions.pii import (
+    CAPITALISED_RUN,
+    DEFAULT_ENTITIES,
+    PATTERNS,
+    detect_pii,
+    person_pattern,
+    pii_verdict,
+)
 from answerloom.functions.text import sentences
 from answerloom.operators import guards as G
 from answerloom.operators.grounding import check_answers, grounded_sentences
@@ -27,7 +34,12 @@ def _quoted(pattern: str) -> str:
 
 
 def hits_sql(entity: str, text: str) -> str:
-    pattern, group = (person_pattern(), 0) if entity == "PERSON" else PATTERNS[entity][:2]
+    if entity == "PERSON":
+        return (
+            f"flatten(list_transform(regexp_extract_all({text}, {_quoted(CAPITALISED_RUN)}), "
+            f"lambda r: regexp_extract_all(r, {_quoted(person_pattern())})))"
+        )
+    pattern, group = PATTERNS[entity][:2]
     return f"regexp_extract_all({text}, {_quoted(pattern)}, {group})"
 
 
