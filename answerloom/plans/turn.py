@@ -21,6 +21,7 @@ from answerloom.operators.messages import (
 from answerloom.operators.routing import Rules, classify_route
 from answerloom.operators.tables import CuratedQuery, ask_table
 from answerloom.plans.answering import answer_questions
+from answerloom.session import cut_lineage
 
 ROUTES = ("documents", "tables", "general")
 
@@ -55,12 +56,16 @@ def answer_turn(
     unrouted = routed.where("route = 'general'").select(
         "conv_id", F.lit("general").alias("name"), F.lit(UNROUTED_ANSWER).alias("text")
     )
-    answers = from_documents.unionByName(from_tables).unionByName(unrouted).select(
-        "conv_id",
-        F.lit(0).cast(messages.schema["turn"].dataType).alias("turn"),
-        F.lit(ASSISTANT).alias("role"),
-        "text",
-        "name",
+    # Written once: appending and guarding both read the answers, and neither
+    # should search or call a model again.
+    answers = cut_lineage(
+        from_documents.unionByName(from_tables).unionByName(unrouted).select(
+            "conv_id",
+            F.lit(0).cast(messages.schema["turn"].dataType).alias("turn"),
+            F.lit(ASSISTANT).alias("role"),
+            "text",
+            "name",
+        )
     )
     guards = {"pii_guard": pii_verdict("text")}
     if banned is not None:

@@ -7,16 +7,25 @@ from pyspark.sql import functions as F
 
 from answerloom.functions.embedding import embed
 from answerloom.functions.models import map_model, summarize
+from answerloom.functions.prompts import UNROUTED_ANSWER
+from answerloom.functions.text import sentences
 from answerloom.operators import evaluation as E
 from answerloom.operators.grounding import grounded_sentences
 from answerloom.operators.messages import USER, last_message
 from answerloom.operators.search import topk
-from answerloom.functions.text import sentences
+from answerloom.operators.tables import CuratedQuery, count_documents
 from answerloom.plans.answering import answer_questions, guarded_answers, stuff_context
+from answerloom.plans.turn import answer_turn
 from answerloom.registry import _sql
 from answerloom.registry._base import query
-from answerloom.registry.guards import pii_list_sql
-from answerloom.registry.messages import _QUESTIONS, conversation_ids
+from answerloom.registry.guards import LEXICON, pii_list_sql, topic_sql
+from answerloom.registry.messages import (
+    _AGENT_MESSAGES,
+    _QUESTIONS,
+    _rule_sql,
+    agent_messages,
+    conversation_ids,
+)
 from answerloom.registry.search import (
     CHUNK_KEY_SQL,
     as_queries,
@@ -104,6 +113,57 @@ def summaries(spark: SparkSession, directory: str) -> DataFrame:
     return summarize(scan(spark, directory, "documents", spread=True), "text").select("doc_id", "summary")
 
 
+_TURN_RULES = (("documents", ("que", "la")), ("tables", ("the",)))
+
+
+@query(
+    "conversation_turn",
+    f"""WITH RECURSIVE {_AGENT_MESSAGES},
+        {_ANSWERED},
+        history AS (
+          SELECT conv_id, turn, role, text, name FROM agent_messages
+          WHERE NOT (n_calls IS NOT NULL AND coalesce(name, '') = 'router')),
+        routed AS (SELECT conv_id, text AS question, {_rule_sql(_TURN_RULES)} AS route FROM question),
+        languages AS (
+          SELECT 'Documents per language' || chr(10) || '| lang | n_docs |' || chr(10) || '| --- | --- |' || chr(10)
+            || string_agg('| ' || lang || ' | ' || n || ' |', chr(10) ORDER BY lang) AS response
+          FROM (SELECT lang, count(*) AS n FROM documents GROUP BY lang
+                UNION ALL SELECT 'all', count(*) FROM documents)),
+        answered AS (
+          SELECT conv_id, route AS name,
+                 CASE route WHEN 'documents' THEN answer WHEN 'tables' THEN (SELECT response FROM languages)
+                            ELSE '{UNROUTED_ANSWER}' END AS text
+          FROM routed LEFT JOIN stuffed USING (conv_id)),
+        guarded AS (SELECT conv_id, name, text FROM answered WHERE name <> 'general'),
+        {topic_sql('guarded', 'conv_id', 'text')},
+        failed AS (
+          SELECT conv_id, name, concat_ws('; ',
+            CASE WHEN len(found) > 0 THEN 'PII detected: ' || array_to_string(found, ', ') END,
+            'The text contains the following banned topics: [' || topics || ']') AS reasons
+          FROM (SELECT *, {pii_list_sql('text')} AS found FROM guarded LEFT JOIN banned USING (conv_id))
+          WHERE len(found) > 0 OR topics IS NOT NULL),
+        last AS (SELECT conv_id, max(turn) AS turn FROM history GROUP BY conv_id)
+        SELECT conv_id, turn, role, text, name FROM history
+        UNION ALL
+        SELECT conv_id, turn + 1, 'assistant', text, name FROM answered JOIN last USING (conv_id)
+        UNION ALL
+        SELECT conv_id, turn + 2, 'assistant', 'Guard failed - ' || reasons, name
+        FROM failed JOIN last USING (conv_id)""",
+)
+def conversation_turn(spark: SparkSession, directory: str) -> DataFrame:
+    documents = scan(spark, directory, "documents")
+    curated = {
+        "languages": CuratedQuery(
+            "Documents per language", ("the",), count_documents(documents), ["lang"]
+        )
+    }
+    index = embedded_chunks(spark, directory)
+    turn = answer_turn(
+        agent_messages(spark, directory), index, curated, _TURN_RULES, banned=LEXICON
+    )
+    return turn.select("conv_id", "turn", "role", "text", "name")
+
+
 # ---- evaluation ------------------------------------------------------------
 
 _EVALS = f"""

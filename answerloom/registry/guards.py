@@ -76,7 +76,7 @@ def personal_data_verdicts(spark: SparkSession, directory: str) -> DataFrame:
     return judged.select("doc_id", "v.passed", "v.message")
 
 
-def _topic_sql(source: str, keys: str, text: str) -> str:
+def topic_sql(source: str, keys: str, text: str) -> str:
     terms = ", ".join(f"('{t}', '{w}')" for t, words in LEXICON.items() for w in words)
     return f"""
         lexicon(topic, term) AS (VALUES {terms}),
@@ -89,7 +89,7 @@ def _topic_sql(source: str, keys: str, text: str) -> str:
 
 @query(
     "topic_scores",
-    f"""WITH {_topic_sql('documents', 'doc_id', 'text')}
+    f"""WITH {topic_sql('documents', 'doc_id', 'text')}
         SELECT doc_id, topic, round(score, 6) AS score FROM scored""",
 )
 def topic_scores(spark: SparkSession, directory: str) -> DataFrame:
@@ -101,7 +101,7 @@ def topic_scores(spark: SparkSession, directory: str) -> DataFrame:
 
 @query(
     "topic_verdicts",
-    f"""WITH {_topic_sql('documents', 'doc_id', 'text')}
+    f"""WITH {topic_sql('documents', 'doc_id', 'text')}
         SELECT doc_id, topics IS NULL AS passed,
                'The text contains the following banned topics: [' || topics || ']' AS message
         FROM documents LEFT JOIN banned USING (doc_id)""",
@@ -208,7 +208,7 @@ def grounding_verdicts(spark: SparkSession, directory: str) -> DataFrame:
     "guarded_conversations",
     f"""WITH last AS (SELECT conv_id, max(turn) AS turn, arg_max(text, turn) AS text
                       FROM conversations GROUP BY conv_id),
-        {_topic_sql('last', 'conv_id', 'text')},
+        {topic_sql('last', 'conv_id', 'text')},
         judged AS (
           SELECT conv_id, turn, {pii_list_sql('text')} AS found, topics
           FROM last LEFT JOIN banned USING (conv_id)),
