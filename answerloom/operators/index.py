@@ -44,16 +44,19 @@ def sync_index(
     """The next version of the index: ``key, *columns, text, content_hash, embedding``.
 
     Rows whose text did not change keep their embedding; the model sees only
-    new and changed texts. Without an ``index`` everything is embedded.
+    new and changed texts. One join on the key decides both, so each text is
+    shuffled once. Without an ``index`` everything is embedded.
     """
     hashed = source.select(key, *columns, text, content_hash(text).alias("content_hash"))
     if index is None:
         return hashed.withColumn("embedding", embed(text, model, dim))
-    known = index.select(key, "content_hash", "embedding")
-    kept = hashed.join(known, [key, "content_hash"])
-    fresh = hashed.join(known.drop("embedding"), [key, "content_hash"], "left_anti")
-    return kept.select(*hashed.columns, "embedding").unionByName(
-        fresh.withColumn("embedding", embed(text, model, dim))
+    known = index.select(key, "content_hash", F.col("embedding").alias("_known"))
+    joined = hashed.join(known, [key, "content_hash"], "left")
+    # A text that is masked out is neither sent to Python nor seen by the model.
+    unknown = F.when(F.col("_known").isNull(), F.col(text))
+    return joined.select(
+        *hashed.columns,
+        F.coalesce("_known", embed(unknown, model, dim)).alias("embedding"),
     )
 
 

@@ -27,6 +27,7 @@ from answerloom.session import cut_lineage
 
 MAX_SENT_QUERIES = 16_384
 MAX_SENT_BYTES = 64 << 20
+MAX_SENT_WINNERS = 1_000_000
 CORPUS_BLOCK = 20_000
 QUERY_BLOCK = 4_096
 
@@ -307,8 +308,11 @@ def _promising_cells(vector: str, floor: str, radii: DataFrame) -> Column:
 
 def _search(
     queries: DataFrame, corpus: DataFrame, k: int, query_key: str, key: str, max_sent: int
-) -> DataFrame:
-    """Candidates ``query_key, key, score`` that include every true result."""
+) -> tuple[DataFrame, int | None]:
+    """Candidates ``query_key, key, score`` that include every true result.
+
+    With them comes a bound on the number of results, where there is one.
+    """
     if k < 1:
         raise ValueError("k must be positive")
     schema = T.StructType(
@@ -321,8 +325,8 @@ def _search(
     if queries.select(query_key).count() <= max_sent:
         table = _with_vector(queries.toArrow(), "q")
         if table.nbytes <= MAX_SENT_BYTES:
-            return _scan(table, corpus, k, schema)
-    return _blocks(queries, corpus, k, query_key, key, schema)
+            return _scan(table, corpus, k, schema), table.num_rows * k
+    return _blocks(queries, corpus, k, query_key, key, schema), None
 
 
 def _with_vector(rows: pa.Table | pa.RecordBatch, name: str) -> pa.Table | pa.RecordBatch:
@@ -415,14 +419,19 @@ def _blocks(
 
 
 def _finish(
-    candidates: DataFrame,
+    found: tuple[DataFrame, int | None],
     corpus: DataFrame,
     k: int,
     query_key: str,
     key: str,
     columns: Sequence[str],
 ) -> DataFrame:
-    """Rank the candidates and fetch the requested columns of the winners."""
+    """Rank the candidates and fetch the requested columns of the winners.
+
+    Winners of a bounded number are broadcast, so that the corpus is read for
+    their columns where it lies and not shuffled.
+    """
+    candidates, bound = found
     order = Window.partitionBy(query_key).orderBy(F.desc("score"), F.asc(key))
     ranked = (
         candidates.withColumn("score", ranked_score(F.col("score")))
@@ -434,6 +443,8 @@ def _finish(
     if not wanted:
         return ranked.select(query_key, "rk", key, "score")
     require_columns(corpus, wanted)
-    return ranked.join(corpus.select(key, *wanted), key).select(
+    if bound is not None and bound <= MAX_SENT_WINNERS:
+        ranked = F.broadcast(ranked)
+    return corpus.select(key, *wanted).join(ranked, key).select(
         query_key, "rk", key, *wanted, "score"
     )

@@ -190,12 +190,14 @@ def rows_to_markdown(
     line = F.concat(F.lit("| "), F.concat_ws(" | ", *cells), F.lit(" |"))
     head = "| " + " | ".join(columns) + " |\n|" + "|".join(" --- " for _ in columns) + "|"
     order = ", ".join(f"`{c}`" for c in order_by)
-    counted = df.withColumn("_line", line).agg(
+    # One row too many is enough to know, so an oversized result is never gathered.
+    bounded = df.select(*dict.fromkeys([*columns, *order_by])).limit(max_rows + 1)
+    counted = bounded.withColumn("_line", line).agg(
         F.count(F.lit(1)).alias("_rows"),
         F.expr(f"listagg(_line, '\\n') within group (order by {order})").alias("_lines"),
     )
     text = F.concat(F.lit(head), F.coalesce(F.concat(F.lit("\n"), F.col("_lines")), F.lit("")))
-    too_long = F.raise_error(F.concat(F.lit("too many rows for a text table: "), F.col("_rows")))
+    too_long = F.raise_error(F.lit(f"too many rows for a text table: more than {max_rows}"))
     return counted.select(
         F.when(F.col("_rows") <= max_rows, text).otherwise(too_long.cast("string")).alias("markdown")
     )
