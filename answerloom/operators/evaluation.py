@@ -70,9 +70,9 @@ def score_run(evaluated: DataFrame, checked: DataFrame | None = None) -> DataFra
     ungrounded = checked.agg(
         F.round(F.avg((~F.col("grounded")).cast("double")), 6).alias("ungrounded_share")
     )
-    return summary.withColumn("_one", F.lit(1)).join(
-        ungrounded.withColumn("_one", F.lit(1)), "_one"
-    ).drop("_one")
+    # Two rows, each with its own columns filled, folded into one.
+    both = summary.unionByName(ungrounded, allowMissingColumns=True)
+    return both.agg(*[F.max(name).alias(name) for name in both.columns])
 
 
 def latest_version(

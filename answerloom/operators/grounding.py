@@ -117,7 +117,7 @@ def grounded_sentences(
         F.count(F.lit(1)).alias("df"), F.min("source").alias("source")
     )
     rarest = Window.partitionBy("sid").orderBy(F.coalesce("df", F.lit(0)), "gram")
-    rare = (
+    rare = cut_lineage(
         wanted.join(frequency, ["pool", "gram"], "left")
         .withColumn("nth", F.row_number().over(rarest))
         .where("nth <= size - need + 1 AND df IS NOT NULL")
@@ -126,7 +126,9 @@ def grounded_sentences(
     # One match is enough for these; there is nothing left to count.
     settled = rare.where("need = 1").select("sid").distinct()
     open_ = rare.where("need > 1")
-    tried = _covered(open_.select("pool", "sid", "source").distinct(), wanted, held)
+    tried = cut_lineage(
+        _covered(open_.select("pool", "sid", "source").distinct(), wanted, held)
+    )
     left = open_.drop("source").join(tried, "sid", "left_anti")
     pairs = left.join(held, ["pool", "gram"]).select("pool", "sid", "source").distinct()
     found = settled.union(tried).union(_covered(pairs, wanted, held)).distinct()

@@ -394,10 +394,10 @@ _AGENTS = """agent AS (
 @query(
     "routing_prompt",
     f"""WITH {_AGENTS}
-        SELECT 'You classify a question and pass it on. You can help in a few ways:' || chr(10)
+        SELECT 'You classify a question and pass it on to whoever can answer it:' || chr(10)
           || string_agg('- If the user is asking about ' || description || ' then call the router with `'
                         || name || '`', chr(10) ORDER BY name)
-          || chr(10) || '- If you are unable to help the user, you can say so.' AS prompt,
+          || chr(10) || '- If none of these fits, say that you are unable to help.' AS prompt,
           'should be one of: ' || string_agg(name, ',' ORDER BY name) AS choices
         FROM agent""",
 )
