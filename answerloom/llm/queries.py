@@ -7,13 +7,35 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from answerloom.llm import decontamination, language_id, mixing, sharding, simhash_dedup
+from answerloom.llm import (
+    decontamination,
+    language_id,
+    mixing,
+    secret_scan,
+    sharding,
+    simhash_dedup,
+    toxicity,
+    url_filter,
+    winnowing,
+)
 from answerloom.llm._common import fold_of
 from answerloom.sources.tables import scan
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_toxicity(spark: SparkSession, directory: str) -> DataFrame:
+    """Score of every document, learned from the labels of those whose fold is not 0."""
+    documents = scan(spark, directory, "documents")
+    model = toxicity.fit(documents, scan(spark, directory, "labels").where(fold_of("doc_id", 5) != 0))
+    return toxicity.score_texts(documents, model, "text", ["doc_id"]).select(
+        "doc_id",
+        (fold_of("doc_id", 5) == 0).alias("held_out"),
+        "score",
+        (F.col("score") >= 0.5).cast("int").alias("predicted"),
+    )
+
+
 def op2_mix_sources(spark: SparkSession, directory: str) -> DataFrame:
     """Words taken of every document by the mix."""
     return mixing.mix_counts(scan(spark, directory, "documents"))
@@ -76,12 +98,120 @@ def op3_simhash_dedup(spark: SparkSession, directory: str) -> DataFrame:
     return simhash_dedup.near_duplicates(scan(spark, directory, "documents"))
 
 
+def op4_url_filter(spark: SparkSession, directory: str) -> DataFrame:
+    """Verdict on every page; listed are the pages of some hosts."""
+    pages = scan(spark, directory, "pages")
+    return url_filter.judge(pages, url_filter.listed_hosts(pages))
+
+
+OP4_SQL = r"""
+WITH p AS (
+  SELECT page_id, url,
+         coalesce(translate(regexp_extract(url, '://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
+         coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path,
+         coalesce(regexp_extract(url, '(?s)^.*?://[^?#]*\?([^#]*)', 1), '') AS asked
+  FROM pages
+),
+c AS (
+  SELECT *, list_filter(string_split(asked, '&'), lambda x: x <> '' AND NOT regexp_matches(x, '^(utm_[a-z]+|ref|fbclid|gclid)(=|\z)')) AS own
+  FROM p
+),
+u AS (
+  SELECT page_id, host, path,
+         CASE WHEN host <> '' THEN regexp_replace(host, '^www\.', '')
+           || regexp_replace(regexp_replace(path, '\.html?\z', ''), '/+\z', '')
+           || CASE WHEN len(own) > 0 THEN '?' || array_to_string(own, '&') ELSE '' END END AS canonical
+  FROM c
+),
+listed AS (
+  SELECT DISTINCT canonical FROM u
+  WHERE list_has_any(string_split(host, '.'), ['spam-farm', 'casino-win', 'cheap-pills', 'free-bets'])
+),
+ruled AS (
+  SELECT *, CASE
+    WHEN (host = 'example.org' OR host LIKE '%.example.org') AND starts_with(path, '/en/1') THEN 'example.org/en/1'
+    WHEN (host = 'example.org' OR host LIKE '%.example.org') AND starts_with(path, '/es/') THEN 'example.org/es/'
+    WHEN (host = 'com' OR host LIKE '%.com') AND starts_with(path, '/fr/') THEN 'com/fr/'
+    WHEN (host = 'com' OR host LIKE '%.com') AND starts_with(path, '/de/') THEN 'com/de/'
+    WHEN (host = 'org' OR host LIKE '%.org') AND starts_with(path, '/') THEN 'org/'
+  END AS rule
+  FROM u
+)
+SELECT page_id, host, path, rule, listed.canonical IS NOT NULL AS listed,
+       CASE WHEN rule IN ('org/', 'com/fr/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block'
+            WHEN listed.canonical IS NOT NULL THEN 'block' ELSE 'allow' END AS verdict
+FROM ruled LEFT JOIN listed ON ruled.canonical = listed.canonical
+"""
+
+
 def op5_decontamination(spark: SparkSession, directory: str) -> DataFrame:
     """Documents that hold a benchmark item, with the item and where it is."""
     documents, benchmark = scan(spark, directory, "documents"), scan(spark, directory, "benchmark")
     return decontamination.find_passages(documents, benchmark, ["doc_id"])
 
 
+def op6_secret_scan(spark: SparkSession, directory: str) -> DataFrame:
+    """Secrets in every document, the three kinds asked for counted and digested."""
+    found = secret_scan.scan_secrets(scan(spark, directory, "documents"))
+    kinds = [rule.kind for rule in secret_scan.BASE]
+    of = lambda *names: F.filter("secrets", lambda s: s["kind"].isin(*names))
+    return found.select(
+        "doc_id",
+        *(F.size(of(kind)).cast("bigint").alias(f"n_{kind}") for kind in kinds),
+        F.sha2(secret_scan.as_text(of(*kinds)).cast("binary"), 256).alias("base_sha256"),
+        secret_scan.as_text(F.col("secrets")).alias("spans"),
+    )
+
+
+OP6_SQL = r"""
+WITH rules(kind, rank, pattern) AS (VALUES
+  ('assign', 0, '(?i:(password|passwd|secret|token|api_?key))["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)'),
+  ('access', 1, 'AKIA[A-Z0-9]+'),
+  ('hex', 2, '[0-9a-f]{24,}'),
+  ('github', 3, '(ghp|gho|ghu|ghs|ghr)_[A-Za-z0-9]{36,}'),
+  ('slack', 4, 'xox[a-bprs]-[A-Za-z0-9-]{10,}'),
+  ('stripe', 5, '(rk|sk)_live_[A-Za-z0-9]{24,}'),
+  ('google', 6, 'AIza[A-Za-z0-9_-]{35}'),
+  ('private_key', 7, '-----BEGIN [A-Z ]{0,32}PRIVATE KEY-----'),
+  ('jwt', 8, 'eyJ[A-Za-z0-9_-]{8,}[.]eyJ[A-Za-z0-9_-]{8,}[.][A-Za-z0-9_-]+')
+),
+d AS (SELECT row_number() OVER () AS row, doc_id, coalesce(text, '') AS text FROM documents),
+m AS (
+  SELECT row, kind, rank, pattern, regexp_extract_all(text, pattern) AS hits, string_split_regex(text, pattern) AS gaps
+  FROM d, rules
+),
+one AS (
+  SELECT row, kind, rank, pattern, hits, gaps, unnest(range(1, len(hits) + 1)) AS i FROM m WHERE len(hits) > 0
+),
+placed AS (
+  SELECT row, kind, rank, hits[i] AS hit,
+         list_sum(list_transform(gaps[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(hits[1:i - 1], lambda x: length(x))), 0) AS start,
+         CASE WHEN kind = 'assign'
+              THEN length(regexp_extract(hits[i], '(?i:(password|passwd|secret|token|api_?key))["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)', 2))
+              ELSE length(hits[i]) END AS weight
+  FROM one
+),
+good AS (
+  SELECT row, kind, rank, start, kind || ':' || CAST(start AS BIGINT) || ':' || CAST(start + length(hit) AS BIGINT) AS span
+  FROM placed
+  WHERE weight >= CASE kind WHEN 'assign' THEN 6 WHEN 'access' THEN 20 ELSE 1 END
+),
+t AS (
+  SELECT row, count(*) FILTER (rank = 0) AS n_assign, count(*) FILTER (rank = 1) AS n_access, count(*) FILTER (rank = 2) AS n_hex,
+         string_agg(span, ',' ORDER BY start, rank) FILTER (rank < 3) AS base, string_agg(span, ',' ORDER BY start, rank) AS spans
+  FROM good GROUP BY row
+)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
+       sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM d LEFT JOIN t USING (row)
+"""
+
+
+def op8_winnowing(spark: SparkSession, directory: str) -> DataFrame:
+    """Fingerprints of every document and of its edited text."""
+    return winnowing.compare_edited(scan(spark, directory, "documents"))
+
+
 def op9_language_id(spark: SparkSession, directory: str) -> DataFrame:
     """Language of every document, learned from those whose fold is not 2."""
     documents = scan(spark, directory, "documents")
@@ -102,11 +232,15 @@ def op10_sharding(spark: SparkSession, directory: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op1_toxicity": op1_toxicity,
     "op2_mix_sources": op2_mix_sources,
     "op3_simhash_dedup": op3_simhash_dedup,
+    "op4_url_filter": op4_url_filter,
     "op5_decontamination": op5_decontamination,
+    "op6_secret_scan": op6_secret_scan,
+    "op8_winnowing": op8_winnowing,
     "op9_language_id": op9_language_id,
     "op10_sharding": op10_sharding,
 }
 
-SQL: dict[str, str] = {"op2_mix_sources": OP2_SQL}
+SQL: dict[str, str] = {"op2_mix_sources": OP2_SQL, "op4_url_filter": OP4_SQL, "op6_secret_scan": OP6_SQL}
