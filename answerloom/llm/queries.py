@@ -11,6 +11,7 @@ from answerloom.llm import (
     decontamination,
     language_id,
     mixing,
+    pii_surrogates,
     secret_scan,
     sharding,
     simhash_dedup,
@@ -207,6 +208,11 @@ FROM d LEFT JOIN t USING (row)
 """
 
 
+def op7_pii_surrogates(spark: SparkSession, directory: str) -> DataFrame:
+    """Every document with its personal data replaced."""
+    return pii_surrogates.replace_entities(scan(spark, directory, "documents"))
+
+
 def op8_winnowing(spark: SparkSession, directory: str) -> DataFrame:
     """Fingerprints of every document and of its edited text."""
     return winnowing.compare_edited(scan(spark, directory, "documents"))
@@ -238,6 +244,7 @@ QUERIES: dict[str, Query] = {
     "op4_url_filter": op4_url_filter,
     "op5_decontamination": op5_decontamination,
     "op6_secret_scan": op6_secret_scan,
+    "op7_pii_surrogates": op7_pii_surrogates,
     "op8_winnowing": op8_winnowing,
     "op9_language_id": op9_language_id,
     "op10_sharding": op10_sharding,
