@@ -262,15 +262,19 @@ def _count_features(costs):
     return run
 
 
-def _logistic(rows: list[np.ndarray], labels: np.ndarray, width: int, penalty: float = 0.1, steps: int = 600) -> tuple[np.ndarray, float]:
-    """Logistic regression on rows of active features, by gradient steps with momentum."""
+def _logistic(rows: list[np.ndarray], labels: np.ndarray, width: int, penalty: float = 0.5, steps: int = 600) -> tuple[np.ndarray, float]:
+    """Logistic regression on rows of active features, by gradient steps with momentum.
+
+    Both classes weigh the same, however many rows they have.
+    """
     at = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
     columns = np.concatenate(rows) if len(at) else np.zeros(0, np.int64)
     weights, bias, pace, push = np.zeros(width), 0.0, np.zeros(width), 0.0
     used = np.maximum(np.bincount(columns, minlength=width), 1)
+    share = np.where(labels > 0, 0.5 / max(labels.mean(), 1e-9), 0.5 / max(1 - labels.mean(), 1e-9))
     for _ in range(steps):
         odds = bias + np.bincount(at, weights[columns], minlength=len(rows))
-        miss = labels - 1 / (1 + np.exp(-np.clip(odds, -30, 30)))
+        miss = share * (labels - 1 / (1 + np.exp(-np.clip(odds, -30, 30))))
         slope = np.bincount(columns, miss[at], minlength=width) - penalty * weights
         pace = 0.9 * pace + 0.2 * slope / np.sqrt(used) / np.sqrt(len(rows))
         push = 0.9 * push + 0.2 * miss.mean()
