@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from answerloom.llm._common import free_name, map_texts
+from answerloom.session import cut_lineage
 
 #: Letters of the language model: a to z, 27 for any other letter, 0 for a word's edge.
 SYMBOLS = 28
@@ -232,7 +233,11 @@ class Model:
 
 
 def _sample(docs: DataFrame, labels: DataFrame, doc_id: str, text: str, per_class: int) -> DataFrame:
-    """About ``per_class`` labelled rows of each class: ``text``, ``toxic``; and their classes' sizes."""
+    """About ``per_class`` labelled rows of each class: ``text``, ``toxic``; and their classes' sizes.
+
+    The ids drawn are about twice ``per_class`` at any size of the input, so they are sent to the
+    documents, and the rows found are written once for the passes over them.
+    """
     said = labels.where("toxic is not null").groupBy("id").agg(F.max("toxic").alias("toxic"))
     sizes = {r["toxic"]: r["n"] for r in said.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     drawn = F.pmod(F.xxhash64("id", F.lit("toxicity")), F.lit(1 << 30)) / float(1 << 30)
@@ -241,7 +246,7 @@ def _sample(docs: DataFrame, labels: DataFrame, doc_id: str, text: str, per_clas
         share = F.when(F.col("toxic") == label, min(1.0, per_class / n)).otherwise(share)
     picked = said.where(drawn < share)
     rows = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text"))
-    return rows.join(picked, "id").select("text", "toxic"), sizes
+    return cut_lineage(rows.join(F.broadcast(picked), "id").select("text", "toxic")), sizes
 
 
 def _count_features(costs):
