@@ -52,18 +52,21 @@ PATTERNS = {
         1,
         "[0-9]{7}",
     ),
-    "EMAIL_ADDRESS": (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}", 0, "@"),
+    "EMAIL_ADDRESS": (r"[A-Za-z0-9._%+-]{1,64}@[A-Za-z0-9.-]{1,255}\.[A-Za-z]{2,24}", 0, "@"),
     "CRYPTO": (r"\b(?:bc1|[13])[A-HJ-NP-Za-km-z1-9]{25,39}\b", 0, None),
 }
 
-# Persons are looked for in runs of capitalised words, which are quick to find.
-CAPITALISED_RUN = r"\b[A-Z][a-z]+\.?(?: [A-Z][\p{L}\p{N}_]*\.?)+"
+# Persons are looked for in runs of capitalised words, which are quick to find. The repeated
+# groups are possessive: the regex engine then loops where it would otherwise recurse once per
+# word, so a run of any length is fine. An address has at most 64 characters before its sign,
+# which bounds what is tried from each place of a long run.
+CAPITALISED_RUN = r"\b[A-Z][a-z]+\.?(?: [A-Z][\p{L}\p{N}_]*\.?)++"
 
 
 def person_pattern(names: Sequence[str] = GIVEN_NAMES) -> str:
     """A title or a known given name, followed by capitalised names."""
     known = "|".join(sorted(names))
-    return rf"\b(?:(?:Mr|Mrs|Ms|Dr|Prof)\.?|{known})(?: [A-Z][a-z]+)+\b"
+    return rf"\b(?:(?:Mr|Mrs|Ms|Dr|Prof)\.?|{known})(?: [A-Z][a-z]+\b)++"
 
 
 def _person_hits(text: Column, names: Sequence[str]) -> Column:

@@ -32,7 +32,8 @@ def parse_payload(payload: Column | str) -> Column:
     """Request JSON to an array of messages; NULL for any other shape.
 
     Accepted are ``{"messages": [...]}``, a list of messages and one message. A
-    message is ``{"role", "content"}`` or ``{"type", "data": {"content"}}``.
+    message is ``{"role", "content"}`` or ``{"type", "data": {"content"}}``; tool calls stand in
+    either place, and a message that has some needs no content.
     """
     value = F.try_parse_json(as_column(payload))
     kind = F.schema_of_variant(value)
@@ -46,13 +47,17 @@ def parse_payload(payload: Column | str) -> Column:
         .when(kind.startswith("OBJECT"), single)
     )
     messages = F.transform(messages, _from_wire)
-    complete = F.forall(messages, lambda m: m["role"].isNotNull() & m["content"].isNotNull())
+    complete = F.forall(
+        messages,
+        lambda m: m["role"].isNotNull()
+        & (m["content"].isNotNull() | (F.coalesce(F.size(m["tool_calls"]), F.lit(0)) > 0)),
+    )
     return F.when(complete, messages)
 
 
 _WIRE = (
     "struct<role: string, content: string, name: string, type: string, "
-    f"data: struct<content: string, name: string>, tool_calls: {TOOL_CALLS}>"
+    f"data: struct<content: string, name: string, tool_calls: {TOOL_CALLS}>, tool_calls: {TOOL_CALLS}>"
 )
 _TYPE_ROLES = {"human": USER, "ai": ASSISTANT, "system": SYSTEM, "tool": TOOL}
 
@@ -63,7 +68,7 @@ def _from_wire(message: Column) -> Column:
         F.coalesce(message["role"], F.try_element_at(roles, message["type"])).alias("role"),
         F.coalesce(message["content"], message["data"]["content"]).alias("content"),
         F.coalesce(message["name"], message["data"]["name"]).alias("name"),
-        message["tool_calls"].alias("tool_calls"),
+        F.coalesce(message["tool_calls"], message["data"]["tool_calls"]).alias("tool_calls"),
     )
 
 

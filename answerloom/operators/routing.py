@@ -51,29 +51,33 @@ def dispatch(
     df: DataFrame,
     route: str,
     handlers: Mapping[str, Handler],
+    default: str,
     then: Handler | None = None,
 ) -> DataFrame:
     """Send each route's rows through its handler, then all of them through ``then``.
 
-    Every handler must return the same columns. The input is read once per
+    Rows without a route, or with one that no handler has, go to the handler of ``default``, so no
+    row is lost. Every handler must return the same columns. The input is read once per
     route, so cache it or write it first where it is costly to compute; where
     handlers are plain expressions :func:`dispatch_columns` reads it once.
     """
-    parts = [
-        handler(df.where(F.col(route) == name)) for name, handler in handlers.items()
-    ]
-    if not parts:
-        raise ValueError("at least one handler is needed")
+    if default not in handlers:
+        raise ValueError(f"the default route {default!r} needs a handler")
+    known = F.col(route).isin(list(handlers))
+    taken = F.when(known, F.col(route)).otherwise(F.lit(default))
+    parts = [handler(df.where(taken == name)) for name, handler in handlers.items()]
     joined = parts[0]
     for part in parts[1:]:
         joined = joined.unionByName(part)
     return then(joined) if then else joined
 
 
-def dispatch_columns(route: Column | str, handlers: Mapping[str, Column]) -> Column:
-    """The expression of each row's route, evaluated in one pass."""
+def dispatch_columns(
+    route: Column | str, handlers: Mapping[str, Column], default: Column | None = None
+) -> Column:
+    """The expression of each row's route, evaluated in one pass; ``default`` for all other routes."""
     route = as_column(route)
-    result = F.lit(None)
+    result = F.lit(None) if default is None else default
     for name, value in handlers.items():
         result = F.when(route == name, value).otherwise(result)
     return result

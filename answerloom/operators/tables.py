@@ -19,12 +19,14 @@ MAX_RESULT_ROWS = 10_000
 
 
 def count_documents(documents: DataFrame) -> DataFrame:
-    """How many rows of documentation there are, per language and in total."""
+    """How many rows of documentation there are, per language and in total.
+
+    The total is the row ``all``; documents without a language are a row of their own, NULL.
+    """
     counts = documents.groupBy("lang").agg(F.count(F.lit(1)).alias("n_docs"))
     # The total comes from the few per-language counts, not from a second scan.
-    return counts.rollup("lang").agg(F.sum("n_docs").alias("n_docs")).select(
-        F.coalesce("lang", F.lit("all")).alias("lang"), "n_docs"
-    )
+    summed = counts.rollup("lang").agg(F.sum("n_docs").alias("n_docs"), F.grouping("lang").alias("_total"))
+    return summed.select(F.when(F.col("_total") == 1, "all").otherwise(F.col("lang")).alias("lang"), "n_docs")
 
 
 def accounts_per_nation(customer: DataFrame, nation: DataFrame) -> DataFrame:

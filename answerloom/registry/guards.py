@@ -6,11 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from answerloom.functions.pii import (
-    CAPITALISED_RUN,
     DEFAULT_ENTITIES,
+    GIVEN_NAMES,
     PATTERNS,
     detect_pii,
-    person_pattern,
     pii_verdict,
 )
 from answerloom.functions.text import sentences
@@ -29,6 +28,10 @@ LEXICON = {
 }
 
 
+_RUN = r"\b[A-Z][a-z]+\.?(?: [A-Z][\p{L}\p{N}_]*\.?)+"
+_PERSON = r"\b(?:(?:Mr|Mrs|Ms|Dr|Prof)\.?|" + "|".join(sorted(GIVEN_NAMES)) + r")(?: [A-Z][a-z]+)+\b"
+
+
 def _quoted(pattern: str) -> str:
     return "'" + pattern.replace("'", "''") + "'"
 
@@ -36,8 +39,8 @@ def _quoted(pattern: str) -> str:
 def hits_sql(entity: str, text: str) -> str:
     if entity == "PERSON":
         return (
-            f"flatten(list_transform(regexp_extract_all({text}, {_quoted(CAPITALISED_RUN)}), "
-            f"lambda r: regexp_extract_all(r, {_quoted(person_pattern())})))"
+            f"flatten(list_transform(regexp_extract_all({text}, {_quoted(_RUN)}), "
+            f"lambda r: regexp_extract_all(r, {_quoted(_PERSON)})))"
         )
     pattern, group = PATTERNS[entity][:2]
     return f"regexp_extract_all({text}, {_quoted(pattern)}, {group})"

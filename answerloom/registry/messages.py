@@ -314,6 +314,7 @@ def dispatched_questions(spark: SparkSession, directory: str) -> DataFrame:
             "dashboards": answering(F.lower("question")),
             "general": answering(F.lit(UNROUTED_ANSWER)),
         },
+        default="general",
         then=lambda df: df.withColumn("answer", F.concat("answer", F.lit("!"))),
     )
 

@@ -147,3 +147,13 @@ def test_bad_threshold(spark):
     df = spark.range(1).select(F.lit("a").alias("sentence"), F.lit("a").alias("text"))
     with pytest.raises(ValueError):
         H.grounded_sentences(df, df, threshold=0)
+
+
+def test_long_runs_of_words_and_of_characters(spark):
+    """Neither the number of words in a run nor the length of a run of characters may hurt."""
+    from answerloom.functions.pii import pii_hits
+
+    texts = ["Aa Bb " * 50_000, "x" * 1_000_000 + "@", "Mr Smith " + "Ab " * 100_000]
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    hits = [r[0] for r in df.select(pii_hits("text", ["PERSON", "EMAIL_ADDRESS"])).collect()]
+    assert hits[:2] == [[], []] and [h.entity for h in hits[2]] == ["PERSON"]

@@ -127,3 +127,15 @@ def test_conversations_without_messages(spark):
     assert latest == {1: "q", 2: ""}
     first = {r.conv_id: (r.text, r.error) for r in M.first_message(conversations, messages).collect()}
     assert first == {1: ("q", None), 2: (None, "No messages found in payload")}
+
+
+def test_payload_with_tool_calls_and_no_content(spark):
+    call = {"id": "1", "name": "search", "args": "{}"}
+    payloads = [
+        json.dumps([{"role": "assistant", "content": None, "tool_calls": [call]}]),
+        json.dumps([{"type": "ai", "data": {"content": "", "tool_calls": [call]}}]),
+        json.dumps([{"role": "assistant", "content": None}]),
+    ]
+    df = spark.createDataFrame([(p,) for p in payloads], "p string")
+    got = [r[0] for r in df.select(M.parse_payload("p")).collect()]
+    assert [len(got[0][0].tool_calls), len(got[1][0].tool_calls), got[2]] == [1, 1, None]

@@ -130,16 +130,19 @@ def test_four_and_three_way(spark):
 
 
 def test_dispatch_and_trace(spark):
-    df = spark.createDataFrame([(1, "a"), (2, "b"), (3, "c")], "i int, route string")
+    df = spark.createDataFrame([(1, "a"), (2, "b"), (3, "c"), (4, None)], "i int, route string")
     out = R.dispatch(
         df,
         "route",
         {"a": lambda d: d.withColumn("x", F.lit(1)), "b": lambda d: d.withColumn("x", F.lit(2))},
+        default="b",
         then=lambda d: d.withColumn("y", F.col("x") * 10),
     )
-    assert sorted((r.i, r.y) for r in out.collect()) == [(1, 10), (2, 20)]
+    assert sorted((r.i, r.y) for r in out.collect()) == [(1, 10), (2, 20), (3, 20), (4, 20)]
     with pytest.raises(ValueError):
-        R.dispatch(df, "route", {})
+        R.dispatch(df, "route", {}, "a")
+    said = R.dispatch_columns("route", {"a": F.lit("x")}, F.lit("other"))
+    assert [r[0] for r in df.orderBy("i").select(said).collect()] == ["x", "other", "other", "other"]
 
 
 def test_registry(spark):
