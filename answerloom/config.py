@@ -4,8 +4,6 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from answerloom.functions.prompts import PASSAGE_TEMPLATE
-
 
 @dataclass(frozen=True)
 class Settings:
@@ -26,16 +24,10 @@ class Settings:
     embedding_dim: int = 64
     k: int = 5
     nprobe: int = 3
-    min_source_score: float = 0.8
-    topic_threshold: float = 0.8
-    banned_topics: tuple[str, ...] = ("politics",)
 
-    eval_max_docs: int = 500
     eval_questions: int = 25
 
-    passage_template: str = PASSAGE_TEMPLATE
     routes: tuple[str, ...] = ("code", "general", "tables", "dashboards")
-    default_route: str = "general"
     route_rules: tuple[tuple[str, tuple[str, ...]], ...] = field(
         default=(
             ("tables", ("finance", "accounts", "orders", "customers")),

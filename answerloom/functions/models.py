@@ -8,7 +8,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from answerloom.functions.text import first_sentence
+from answerloom.functions.columns import as_column, let
+from answerloom.functions.prompts import SUMMARY_PROMPT, render_prompt
+from answerloom.functions.text import sentence_array, token_array
 
 # A batch model is loaded by a function without arguments, once per task, and
 # then maps prompts to answers. A column model is an expression.
@@ -19,9 +21,9 @@ ColumnModel = Callable[[Column], Column]
 _BATCH_MODELS: dict[str, BatchModel] = {}
 _COLUMN_MODELS: dict[str, ColumnModel] = {}
 
-# A passage in a prompt runs to the next one, to the question or to the end.
-_PASSAGE_END = r"\n(?:Passage: |\n\nQuestion:\n)"
-PASSAGE = rf"(?s)Passage: (\S.*?(?:[.!?]+(?:\s|\z)|{_PASSAGE_END}|\z))"
+# Where the passages and the question stand in the prompt for questions and answers.
+ASKED = r"(?s)\nPassages:\n(.*)\nQuestion:\n(.*?)\n\nAnswer:\z"
+PASSAGE_START = r"(?m)^Passage: "
 
 
 def register_model(alias: str, model: BatchModel) -> None:
@@ -29,14 +31,44 @@ def register_model(alias: str, model: BatchModel) -> None:
     _BATCH_MODELS[alias] = model
 
 
+def best_sentence(sentences: Column, score: Callable[[Column], Column]) -> Column:
+    """The sentence whose distinct words score best; of equal ones the first; ``""`` if there is none."""
+
+    def scored(sentence: Column, place: Column) -> Column:
+        points = let(F.array_distinct(token_array(sentence)), score)
+        return F.struct(points.alias("points"), (-place).alias("place"), sentence.alias("sentence"))
+
+    def best(found: Column) -> Column:
+        first = F.array_max(F.transform(found, scored))["sentence"]
+        return F.when(found.isNotNull(), F.coalesce(first, F.lit("")))
+
+    return let(sentences, best)
+
+
 def extractive(prompt: Column) -> Column:
-    """First sentence of the first passage in a prompt, ``""`` without one."""
-    found = F.regexp_extract(prompt, PASSAGE, 1)
-    return F.rtrim(F.regexp_replace(found, rf"{_PASSAGE_END}\z", ""), F.lit(" \t\n\r\f"))
+    """Of all sentences of all passages the one most like the question, by the Dice overlap of their words."""
+    passages = F.split(F.regexp_extract(prompt, ASKED, 1), PASSAGE_START)
+    every = F.flatten(F.transform(passages, sentence_array))
+    question = F.array_distinct(token_array(F.regexp_extract(prompt, ASKED, 2)))
+
+    def best(asked: Column) -> Column:
+        def alike(words: Column) -> Column:
+            return 2.0 * F.size(F.array_intersect(words, asked)) / (F.size(words) + F.size(asked))
+
+        return best_sentence(every, alike)
+
+    return let(question, best)
+
+
+def covering(prompt: Column) -> Column:
+    """Of what follows the prompt's first colon, the sentence with the most distinct words."""
+    colon = F.instr(prompt, ": ")
+    start = F.when(colon > 0, colon + 2).otherwise(1)
+    return best_sentence(sentence_array(F.substring(prompt, start, F.length(prompt))), F.size)
 
 
 _COLUMN_MODELS["extractive"] = extractive
-_COLUMN_MODELS["lead"] = first_sentence
+_COLUMN_MODELS["covering"] = covering
 
 
 def apply_model(prompt: Column, model: str | BatchModel = "extractive") -> Column:
@@ -77,10 +109,13 @@ def map_model(
     return df.withColumn(output, apply_model(F.col(prompt), model))
 
 
-def summarize(df: DataFrame, text: str, model: str | BatchModel = "lead", output: str = "summary"):
-    """Add a summary; the offline default is the first sentence."""
-    from answerloom.functions.prompts import SUMMARY_PROMPT, render_prompt
+def summarize(
+    df: DataFrame, text: str, model: str | BatchModel = "covering", output: str = "summary"
+) -> DataFrame:
+    """Add a summary, by the summary prompt; NULL texts have none.
 
-    if model == "lead":
-        return df.withColumn(output, first_sentence(text))
-    return df.withColumn(output, apply_model(render_prompt(SUMMARY_PROMPT, input=text), model))
+    The offline default reads the whole text and picks the sentence that covers
+    most of its words.
+    """
+    prompt = F.when(as_column(text).isNotNull(), render_prompt(SUMMARY_PROMPT, input=text))
+    return df.withColumn(output, apply_model(prompt, model))

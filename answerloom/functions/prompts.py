@@ -22,31 +22,27 @@ SUMMARY_PROMPT = "Summarize: {input}"
 UNROUTED_ANSWER = "I am unable to route that question"
 ROUTING_LINE = "- If the user is asking about {description} then call the router with `{name}`"
 
-# Our own wording; the placeholders are what callers rely on.
+# Our own wording, written for the operators that fill in the placeholders and read the replies.
 ROUTING_PROMPT = (
-    "You classify a question and pass it on to whoever can answer it:\n"
+    "Choices, one a line:\n"
     "{criteria}\n"
-    "- If none of these fits, say that you are unable to help."
+    "Reply with one tool call whose argument `choice` is one of these names."
 )
 QA_PROMPT = (
-    "Answer the question from the retrieved passages only.\n\n"
-    "Summaries: \n{summaries}\n\nQuestion:\n{question}\n\nAnswer:"
+    "The best passages come first. Pick the sentence of a passage that says most about the question.\n\n"
+    "Passages:\n{summaries}\nQuestion:\n{question}\n\nAnswer:"
 )
 DOCUMENTS_PROMPT = (
-    "You look up information in the documentation.\n"
-    "Call the tool `{tool_name}` exactly once and use nothing it did not return.\n"
-    "Say so if you are unable to help."
+    "`{tool_name}` returns rows of `rk`, `source`, `content` and `score`, best first. "
+    "Quote a sentence of `content` and name its `source`."
 )
 TABLES_PROMPT = (
-    "You look up information in the tables.\n"
-    "Always answer through `{tool_name}`; pass its input as a dictionary.\n"
-    "Summarize the question without naming the tool.\n"
-    "Say so if you are unable to help."
+    "`{tool_name}` takes a map with the key `question` and returns a heading and a text table. "
+    "Pass both on unchanged."
 )
 FUNCTIONS_PROMPT = (
-    "You answer what the catalogued functions can compute.\n"
-    "Use only the tools you were given.\n"
-    "Say so if you are unable to help."
+    "`{tool_name}` takes a map of argument names to numbers in text form and returns one number. "
+    "Say that number."
 )
 
 

@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import mimetypes
+from html.entities import name2codepoint
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from answerloom.functions.columns import as_column
+from answerloom.functions.columns import as_column, let
 
 WHITESPACE = " \t\n\r\f"
 SENTENCE = r"(?s)\S.*?(?:[.!?]+(?:\s+|\z)|\z)"
@@ -41,30 +42,9 @@ MARKUP = (
     (r"</?[A-Za-z!][^>]*>", ""),
 )
 
-# Named character references, the ampersand last.
-ENTITIES = (
-    ("&lt;", "<"),
-    ("&gt;", ">"),
-    ("&quot;", '"'),
-    ("&#39;", "'"),
-    ("&apos;", "'"),
-    ("&nbsp;", " "),
-    ("&copy;", "©"),
-    ("&reg;", "®"),
-    ("&middot;", "·"),
-    ("&bull;", "•"),
-    ("&hellip;", "…"),
-    ("&ndash;", "–"),
-    ("&mdash;", "—"),
-    ("&laquo;", "«"),
-    ("&raquo;", "»"),
-    ("&lsquo;", "‘"),
-    ("&rsquo;", "’"),
-    ("&ldquo;", "“"),
-    ("&rdquo;", "”"),
-    ("&euro;", "€"),
-    ("&amp;", "&"),
-)
+# A character reference: by decimal number, by hexadecimal number or by one of the names of HTML 4.
+REFERENCE = r"&(?:#[0-9]{1,7}|#[xX][0-9A-Fa-f]{1,6}|[A-Za-z][A-Za-z0-9]{1,9});"
+NO_BREAK_SPACE, REPLACEMENT = 0xA0, 0xFFFD
 
 SPACING = ((r"[ \t\r\f]+", " "), (r" ?\n ?", "\n"), (r"\n{3,}", "\n\n"))
 
@@ -108,6 +88,44 @@ def mime_type(path: Column | str) -> Column:
     return F.try_element_at(known, extension)
 
 
+def decode_references(text: Column | str) -> Column:
+    """Character references replaced by their characters, each once; unknown names stay.
+
+    A no-break space becomes a blank, a number that is no character the replacement character.
+    """
+    names = {**name2codepoint, "apos": ord("'")}
+    known = F.create_map(*[F.lit(x) for pair in sorted(names.items()) for x in pair])
+
+    def number(hit: Column) -> Column:
+        digits = F.regexp_extract(hit, "^&#[xX]?([0-9A-Fa-f]+);", 1)
+        sixteen = F.conv(digits, 16, 10).cast("int")
+        return F.when(hit.rlike("^&#[xX]"), sixteen).otherwise(digits.cast("int"))
+
+    def point(hit: Column) -> Column:
+        by_name = F.try_element_at(known, F.substring(hit, F.lit(2), F.length(hit) - 2))
+        return F.when(hit.startswith("&#"), number(hit)).otherwise(by_name)
+
+    def character(code: Column) -> Column:
+        bad = (code == 0) | (code > 0x10FFFF) | code.between(0xD800, 0xDFFF)
+        whole = F.when(bad, REPLACEMENT).when(code == NO_BREAK_SPACE, ord(" ")).otherwise(code)
+        return F.decode(F.unhex(F.lpad(F.hex(whole), 8, "0")), "UTF-32")
+
+    def decoded(hit: Column) -> Column:
+        return let(point(hit), lambda code: F.when(code.isNull(), hit).otherwise(character(code)))
+
+    def woven(text: Column) -> Column:
+        hits = F.regexp_extract_all(text, F.lit(REFERENCE), F.lit(0))
+        pieces = F.zip_with(
+            F.split(text, REFERENCE, -1),
+            hits,
+            lambda gap, hit: F.concat(gap, F.when(hit.isNull(), "").otherwise(decoded(hit))),
+        )
+        return F.array_join(pieces, "")
+
+    text = as_column(text)
+    return let(text, lambda t: F.when(t.rlike(REFERENCE), woven(t)).otherwise(t))
+
+
 def html_to_text(html: Column | str) -> Column:
     """HTML to markdown-flavoured text; NULL stays NULL.
 
@@ -119,8 +137,7 @@ def html_to_text(html: Column | str) -> Column:
         text = F.regexp_replace(text, pattern, replacement)
     for level in range(1, 7):
         text = F.replace(text, F.lit(f"\x01{level}"), F.lit("#" * level))
-    for entity, character in ENTITIES:
-        text = F.replace(text, F.lit(entity), F.lit(character))
+    text = decode_references(text)
     for pattern, replacement in SPACING:
         text = F.regexp_replace(text, pattern, replacement)
     return F.trim(text, F.lit(WHITESPACE))
@@ -132,6 +149,17 @@ def parse_document(content: Column | str) -> Column:
     return F.when(text.rlike(LOOKS_LIKE_HTML), html_to_text(text))
 
 
+def why_unreadable(content: Column | str) -> Column:
+    """Why :func:`parse_document` gives NULL; NULL where it gives a text."""
+    content = as_column(content)
+    text = F.try_validate_utf8(content.cast("string"))
+    return (
+        F.when(content.isNull(), "no content")
+        .when(text.isNull(), "not UTF-8")
+        .when(~text.rlike(LOOKS_LIKE_HTML), "not HTML")
+    )
+
+
 def sentence_array(text: Column | str) -> Column:
     """Sentences in order. One ends at ``.!?`` before a blank or the end."""
     found = F.regexp_extract_all(as_column(text), F.lit(SENTENCE), F.lit(0))

@@ -8,7 +8,6 @@ from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from answerloom.functions.text import first_sentence
-from answerloom.operators.projections import head_by
 
 
 def make_eval_set(
@@ -16,16 +15,16 @@ def make_eval_set(
     key: str = "id",
     text: str = "content",
     uri: str = "doc_uri",
-    max_docs: int = 500,
     num_evals: int = 25,
 ) -> DataFrame:
-    """Up to ``num_evals`` questions from the first ``max_docs`` documents.
+    """Up to ``num_evals`` questions, drawn from all documents.
 
-    The offline question is a document's first sentence. Documents are picked
-    in the order of a hash of their key, the same on every run.
+    The offline question is a document's first sentence. Documents are drawn
+    in the order of a hash of their key, the same on every run; each task keeps
+    ``num_evals`` rows at most.
     """
-    first = head_by(documents.select(key, text, uri), key, max_docs)
-    picked = first.withColumn("eval_id", F.md5(F.col(key).cast("string"))).orderBy("eval_id", key)
+    keyed = documents.select(key, text, uri).withColumn("eval_id", F.md5(F.col(key).cast("string")))
+    picked = keyed.orderBy("eval_id", key)
     return picked.limit(num_evals).select(
         "eval_id",
         first_sentence(text).alias("question"),

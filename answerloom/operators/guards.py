@@ -13,6 +13,11 @@ from answerloom.operators.messages import append_messages
 
 Lexicon = Mapping[str, Sequence[str]]
 
+# The topic that is banned unless others are named, and the terms that tell it.
+BANNED_TOPICS: Lexicon = {
+    "politics": ("campaign", "election", "government", "minister", "parliament", "party", "vote")
+}
+
 
 def topic_scores(text: Column | str, lexicon: Lexicon) -> Column:
     """``array<struct<score, topic>>``: share of each topic's terms in the text."""

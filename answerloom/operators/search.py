@@ -27,7 +27,7 @@ from answerloom.session import cut_lineage
 
 MAX_SENT_QUERIES = 16_384
 MAX_SENT_BYTES = 64 << 20
-MAX_SENT_WINNERS = 1_000_000
+MERGE_GROUPS = 256
 CORPUS_BLOCK = 20_000
 QUERY_BLOCK = 4_096
 
@@ -123,13 +123,15 @@ def topk_pruned(
         .groupBy(F.col(query_key).alias("beaten_key"))
         .agg(F.min("score").alias("floor"))
     )
+    # Written once: an aggregate over the whole index that is read more than once.
+    radii = cut_lineage(cell_radii(index, centroids, vector))
     probing = (
         queries.select(query_key, F.col(vector).alias("q"))
         .join(to_beat, F.col(query_key) == F.col("beaten_key"), "left")
         .select(
             query_key,
             "q",
-            _promising_cells("q", "floor", cell_radii(index, centroids, vector)).alias("cells"),
+            _promising_cells("q", "floor", radii).alias("cells"),
         )
     )
     found = _search(
@@ -308,10 +310,10 @@ def _promising_cells(vector: str, floor: str, radii: DataFrame) -> Column:
 
 def _search(
     queries: DataFrame, corpus: DataFrame, k: int, query_key: str, key: str, max_sent: int
-) -> tuple[DataFrame, int | None]:
+) -> DataFrame:
     """Candidates ``query_key, key, score`` that include every true result.
 
-    With them comes a bound on the number of results, where there is one.
+    The queries are written and their number and size looked at before any of them is sent.
     """
     if k < 1:
         raise ValueError("k must be positive")
@@ -322,11 +324,13 @@ def _search(
             T.StructField("score", T.DoubleType()),
         ]
     )
-    if queries.select(query_key).count() <= max_sent:
-        table = _with_vector(queries.toArrow(), "q")
-        if table.nbytes <= MAX_SENT_BYTES:
-            return _scan(table, corpus, k, schema), table.num_rows * k
-    return _blocks(queries, corpus, k, query_key, key, schema), None
+    asked = cut_lineage(queries)
+    values = F.coalesce(F.sum(F.coalesce(F.size("q"), F.lit(0)) * 8), F.lit(0))
+    others = F.coalesce(F.sum(F.octet_length(F.col(query_key).cast("string")) + F.size("cells") * 4), F.lit(0))
+    size = asked.agg(F.count(F.lit(1)).alias("rows"), (values + others).alias("bytes")).first()
+    if size["rows"] <= max_sent and size["bytes"] <= MAX_SENT_BYTES:
+        return _scan(_with_vector(asked.toArrow(), "q"), corpus, k, schema)
+    return _blocks(asked, corpus, k, query_key, key, schema)
 
 
 def _with_vector(rows: pa.Table | pa.RecordBatch, name: str) -> pa.Table | pa.RecordBatch:
@@ -419,7 +423,7 @@ def _blocks(
 
 
 def _finish(
-    found: tuple[DataFrame, int | None],
+    candidates: DataFrame,
     corpus: DataFrame,
     k: int,
     query_key: str,
@@ -428,13 +432,19 @@ def _finish(
 ) -> DataFrame:
     """Rank the candidates and fetch the requested columns of the winners.
 
-    Winners of a bounded number are broadcast, so that the corpus is read for
-    their columns where it lies and not shuffled.
+    Candidates come from every task that read the corpus, so they are first cut to ``k`` within
+    groups of tasks; a query's last window holds ``k`` rows of each group. Winners are written
+    before they fetch columns: the planner then knows their size, and broadcasts them only if
+    they are small.
     """
-    candidates, bound = found
-    order = Window.partitionBy(query_key).orderBy(F.desc("score"), F.asc(key))
+    best = [F.desc("score"), F.asc(key)]
+    order = Window.partitionBy(query_key).orderBy(*best)
+    grouped = Window.partitionBy(query_key, "_group").orderBy(*best)
     ranked = (
         candidates.withColumn("score", ranked_score(F.col("score")))
+        .withColumn("_group", F.pmod(F.spark_partition_id(), F.lit(MERGE_GROUPS)))
+        .withColumn("rk", F.row_number().over(grouped))
+        .where(F.col("rk") <= k)
         .withColumn("rk", F.row_number().over(order))
         .where(F.col("rk") <= k)
         .select(query_key, F.col("rk").cast("bigint").alias("rk"), key, "score")
@@ -443,8 +453,6 @@ def _finish(
     if not wanted:
         return ranked.select(query_key, "rk", key, "score")
     require_columns(corpus, wanted)
-    if bound is not None and bound <= MAX_SENT_WINNERS:
-        ranked = F.broadcast(ranked)
-    return corpus.select(key, *wanted).join(ranked, key).select(
+    return corpus.select(key, *wanted).join(cut_lineage(ranked), key).select(
         query_key, "rk", key, *wanted, "score"
     )

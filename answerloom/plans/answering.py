@@ -63,6 +63,34 @@ def retrieve(
     )
 
 
+def answer_from_hits(
+    questions: DataFrame,
+    hits: DataFrame,
+    *,
+    query_key: str = "query_id",
+    text: str = "content",
+    uri: str = "source",
+    model: str | BatchModel = "extractive",
+) -> DataFrame:
+    """``query_key, question, context, answer, sources`` for each question, by the answering prompt.
+
+    A NULL question has a NULL answer. The model sees all passages of a question.
+    """
+    prompt = render_prompt(QA_PROMPT, summaries="context", question="question")
+    return (
+        questions.select(query_key, "question")
+        .join(stuff_context(hits, query_key, text, uri), query_key, "left")
+        .withColumn("prompt", F.when(F.col("question").isNotNull(), prompt))
+        .select(
+            query_key,
+            "question",
+            "context",
+            apply_model(F.col("prompt"), model).alias("answer"),
+            "sources",
+        )
+    )
+
+
 def answer_questions(
     conversations: DataFrame,
     messages: DataFrame,
@@ -90,22 +118,9 @@ def answer_questions(
         model=embedding_model,
         query_key="conv_id",
     )
-    stuffed = stuff_context(hits, "conv_id")
-    prompt = render_prompt(QA_PROMPT, summaries="context", question="question")
-    return (
-        conversations.select("conv_id")
-        .join(asked, "conv_id", "left")
-        .join(stuffed, "conv_id", "left")
-        .withColumn("prompt", F.when(F.col("question").isNotNull(), prompt))
-        .select(
-            "conv_id",
-            "question",
-            "context",
-            apply_model(F.col("prompt"), model).alias("answer"),
-            "sources",
-            F.when(F.col("question").isNull(), NO_QUESTION).alias("error"),
-        )
-    )
+    every = conversations.select("conv_id").join(asked, "conv_id", "left")
+    answered = answer_from_hits(every, hits, query_key="conv_id", model=model)
+    return answered.withColumn("error", F.when(F.col("question").isNull(), NO_QUESTION))
 
 
 def guarded_answers(answers: DataFrame, answer: str = "answer") -> DataFrame:

@@ -7,12 +7,13 @@ from pyspark.sql import functions as F
 
 from answerloom.config import Settings
 from answerloom.functions.embedding import EmbeddingModel
+from answerloom.functions.models import BatchModel
 from answerloom.functions.text import sentences
 from answerloom.operators.evaluation import evaluate, make_eval_set, score_run
 from answerloom.operators.grounding import grounded_sentences
 from answerloom.operators.index import sync_index, write_index
 from answerloom.operators.search import assign_cells
-from answerloom.plans.answering import retrieve
+from answerloom.plans.answering import answer_from_hits, retrieve
 from answerloom.sources import ensure_chunk_table, overwrite_table
 from answerloom.streaming.ingest import run_chunk_job, run_ingest_job
 
@@ -72,7 +73,6 @@ def write_eval_set(documents: DataFrame, settings: Settings) -> DataFrame:
         settings.key_column,
         settings.text_column,
         settings.uri_column,
-        settings.eval_max_docs,
         settings.eval_questions,
     )
     overwrite_table(evals, settings.eval_table)
@@ -86,21 +86,29 @@ def evaluate_retrieval(
     *,
     centroids: DataFrame | None = None,
     model: EmbeddingModel | None = None,
+    answerer: str | BatchModel = "extractive",
 ) -> DataFrame:
-    """One row of metrics for an index over an evaluation set."""
+    """One row of metrics for an index and its answers over an evaluation set.
+
+    The questions are answered from what was found, and each sentence of an answer is held
+    against the document it should come from. An answer from the wrong passages is not borne out.
+    """
     questions = evals.select(F.col("eval_id").alias("query_id"), "question")
     hits = retrieve(
         questions,
         index,
         settings.k,
-        [settings.text_column],
+        [settings.text_column, settings.uri_column],
         centroids=centroids,
         nprobe=settings.nprobe,
         model=model,
     )
+    answers = answer_from_hits(
+        questions, hits, text=settings.text_column, uri=settings.uri_column, model=answerer
+    )
     checked = grounded_sentences(
-        sentences(questions, "question", ["query_id"]),
-        hits.select("query_id", F.col(settings.text_column).alias("text")),
+        sentences(answers, "answer", ["query_id"]),
+        evals.select(F.col("eval_id").alias("query_id"), F.col("expected_text").alias("text")),
         pool="query_id",
     )
     return score_run(evaluate(evals, hits, settings.key_column), checked)

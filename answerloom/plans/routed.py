@@ -7,16 +7,14 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from answerloom.functions.models import BatchModel, apply_model
+from answerloom.functions.models import BatchModel, apply_model, summarize
 from answerloom.functions.prompts import (
     ANALYST_PROMPT,
     CODE_PROMPT,
     GENERAL_PROMPT,
-    SUMMARY_PROMPT,
     UNROUTED_ANSWER,
     render_prompt,
 )
-from answerloom.functions.text import first_sentence
 from answerloom.operators.routing import Rules, classify_route, dispatch_columns
 
 FOUR_ROUTES = ("code", "general", "tables", "dashboards")
@@ -27,15 +25,14 @@ def four_way(
     questions: DataFrame,
     rules: Rules,
     table_answers: Column | str,
-    model: str | BatchModel = "lead",
+    model: str | BatchModel = "covering",
     text: str = "question",
 ) -> DataFrame:
     """``route, prompt, answer, summary`` added to the questions.
 
     Code, dashboard and general questions become prompts for the model; table
     questions take the given answer. Every branch is an expression, so the
-    questions are read once. With the offline model the prompt's question part
-    stands in for the model's answer.
+    questions are read once. The model answers the prompts and sums up the answers.
     """
     routed = classify_route(questions, text, rules, FOUR_ROUTES)
     prompts = {
@@ -45,7 +42,7 @@ def four_way(
     }
     prompted = routed.withColumn("prompt", dispatch_columns("route", prompts))
     table_answer = F.col(table_answers) if isinstance(table_answers, str) else table_answers
-    modelled = F.col(text) if model == "lead" else apply_model(F.col("prompt"), model)
+    modelled = apply_model(F.col("prompt"), model)
     answered = prompted.withColumn(
         "answer",
         dispatch_columns(
@@ -53,10 +50,7 @@ def four_way(
             {"code": modelled, "general": modelled, "dashboards": modelled, "tables": table_answer},
         ),
     )
-    if model == "lead":
-        return answered.withColumn("summary", first_sentence("answer"))
-    summary_prompt = render_prompt(SUMMARY_PROMPT, input="answer")
-    return answered.withColumn("summary", apply_model(summary_prompt, model))
+    return summarize(answered, "answer", model)
 
 
 def three_way(

@@ -17,6 +17,29 @@ def first_sentence(text: str) -> str:
     return f"rtrim(regexp_extract({text}, '{SENTENCE}', 0), {BLANKS})"
 
 
+def covering(text: str) -> str:
+    """The sentence with the most distinct words, the first of equal ones."""
+    return (
+        f"(SELECT coalesce(list_extract(ss, list_position(ns, list_max(ns))), '') FROM "
+        f"(SELECT ss, list_transform(ss, lambda x: len(list_distinct({tokens('x')}))) AS ns "
+        f"FROM (SELECT {sentence_list(text)} AS ss)))"
+    )
+
+
+def best_sentences(name: str, passages: str, questions: str) -> str:
+    """CTE ``name(query, answer)`` of ``passages(query, rk, text)`` and ``questions(query, question)``."""
+    return f"""
+    {name} AS (
+      SELECT query, first(sent ORDER BY 2.0::DOUBLE * len(list_intersect(own, asked)) / (len(own) + len(asked)) DESC,
+                                        rk, ix) AS answer
+      FROM (SELECT query, rk, ix, sent, list_distinct({tokens('sent')}) AS own,
+                   list_distinct({tokens('question')}) AS asked
+            FROM (SELECT query, rk, generate_subscripts(ss, 1) AS ix, unnest(ss) AS sent
+                  FROM (SELECT query, rk, {sentence_list('text')} AS ss FROM {passages}))
+            JOIN {questions} USING (query))
+      GROUP BY query)"""
+
+
 def tokens(text: str) -> str:
     return rf"regexp_extract_all(lower({text}), '\S+')"
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from answerloom.functions.embedding import embed
@@ -11,14 +11,25 @@ from answerloom.functions.prompts import UNROUTED_ANSWER
 from answerloom.functions.text import sentences
 from answerloom.operators import evaluation as E
 from answerloom.operators.grounding import grounded_sentences
-from answerloom.operators.messages import USER, last_message
+from answerloom.operators.messages import TOOL_CALLS, USER, last_message
 from answerloom.operators.search import topk
-from answerloom.operators.tables import CuratedQuery, count_documents
-from answerloom.plans.answering import answer_questions, guarded_answers, stuff_context
-from answerloom.plans.turn import answer_turn
+from answerloom.operators.tables import CuratedQuery, count_documents, register_functions
+from answerloom.plans.answering import (
+    answer_from_hits,
+    answer_questions,
+    guarded_answers,
+    stuff_context,
+)
+from answerloom.plans.turn import (
+    answer_turn,
+    function_tool,
+    run_tool_calls,
+    table_tool,
+    with_agent_prompts,
+)
 from answerloom.registry import _sql
 from answerloom.registry._base import query
-from answerloom.registry.guards import LEXICON, pii_list_sql, topic_sql
+from answerloom.registry.guards import LEXICON, grounding_sql, pii_list_sql, topic_sql
 from answerloom.registry.messages import (
     _AGENT_MESSAGES,
     _QUESTIONS,
@@ -32,6 +43,7 @@ from answerloom.registry.search import (
     embedded_chunks,
     vectors_of,
 )
+from answerloom.session import cut_lineage
 from answerloom.sources import scan
 
 _ANSWERED = f"""
@@ -42,11 +54,13 @@ _ANSWERED = f"""
     {_sql.embedded('corpus', 'keyed', 'id', 'content')},
     {_sql.embedded('asked', 'question', 'conv_id', 'text')},
     {_sql.ranked('asked', 'corpus', 5)},
+    passage AS (SELECT query, rk, content AS text FROM hits JOIN keyed ON keyed.id = hits.key),
+    wanted AS (SELECT conv_id AS query, text AS question FROM question),
+    {_sql.best_sentences('best', 'passage', 'wanted')},
     stuffed AS (
       SELECT query AS conv_id, string_agg('Passage: ' || content || chr(10), '' ORDER BY rk) AS context,
-             string_agg(source, ',' ORDER BY rk) AS sources,
-             {_sql.first_sentence('arg_min(content, rk)')} AS answer
-      FROM hits JOIN keyed ON keyed.id = hits.key GROUP BY query
+             string_agg(source, ',' ORDER BY rk) AS sources, coalesce(any_value(best.answer), '') AS answer
+      FROM hits JOIN keyed ON keyed.id = hits.key LEFT JOIN best USING (query) GROUP BY query
     )"""
 
 
@@ -108,7 +122,7 @@ def model_in_batches(spark: SparkSession, directory: str) -> DataFrame:
     return map_model(messages, "text", echo).select("conv_id", "turn", "answer")
 
 
-@query("summaries", f"SELECT doc_id, {_sql.first_sentence('text')} AS summary FROM documents")
+@query("summaries", f"SELECT doc_id, CASE WHEN text IS NOT NULL THEN {_sql.covering('text')} END AS summary FROM documents")
 def summaries(spark: SparkSession, directory: str) -> DataFrame:
     return summarize(scan(spark, directory, "documents", spread=True), "text").select("doc_id", "summary")
 
@@ -164,13 +178,88 @@ def conversation_turn(spark: SparkSession, directory: str) -> DataFrame:
     return turn.select("conv_id", "turn", "role", "text", "name")
 
 
+@query(
+    "agent_prompts",
+    f"""WITH {_QUESTIONS},
+        routed AS (SELECT conv_id, {_rule_sql(_TURN_RULES)} AS route FROM question)
+        SELECT conv_id, turn, role, text FROM conversations
+        UNION ALL
+        SELECT conv_id, -1, 'system', CASE route
+          WHEN 'documents' THEN '`search` returns rows of `rk`, `source`, `content` and `score`, best first. '
+            || 'Quote a sentence of `content` and name its `source`.'
+          ELSE '`ask_table` takes a map with the key `question` and returns a heading and a text table. '
+            || 'Pass both on unchanged.' END
+        FROM routed WHERE route <> 'general'""",
+)
+def agent_prompts(spark: SparkSession, directory: str) -> DataFrame:
+    tools = {"documents": "search", "tables": "ask_table", "functions": "area"}
+    return with_agent_prompts(scan(spark, directory, "conversations"), _TURN_RULES, tools)
+
+
+@query(
+    "tool_turn",
+    """WITH last AS (SELECT conv_id, max(turn) AS turn, arg_max(role, turn) AS role, arg_max(text, turn) AS text
+                     FROM conversations GROUP BY conv_id),
+        calling AS (SELECT * FROM last WHERE role = 'assistant'),
+        languages AS (
+          SELECT 'Documents per language' || chr(10) || '| lang | n_docs |' || chr(10) || '| --- | --- |' || chr(10)
+            || string_agg('| ' || lang || ' | ' || n || ' |', chr(10) ORDER BY lang) AS response
+          FROM (SELECT lang, count(*) AS n FROM documents GROUP BY lang
+                UNION ALL SELECT 'all', count(*) FROM documents))
+        SELECT conv_id, turn, role, text,
+               CASE WHEN role = 'assistant' THEN 'functions' END AS name FROM conversations
+        UNION ALL
+        SELECT conv_id, turn + 1, 'tool', (length(text) * 2 + turn)::VARCHAR, 'area' FROM calling
+        UNION ALL
+        SELECT conv_id, turn + 2, 'tool', response, 'ask_table' FROM calling, languages
+        UNION ALL
+        SELECT conv_id, turn + 3, 'tool', 'There is no tool nothing', 'nothing' FROM calling""",
+)
+def tool_turn(spark: SparkSession, directory: str) -> DataFrame:
+    """Every answer calls a function, the tables and a tool that is not there; the last ones are run."""
+
+    def call(name: str, **args: Column) -> Column:
+        pairs = [x for key, value in args.items() for x in (F.lit(key), value.cast("string"))]
+        return F.struct(
+            F.concat_ws("-", "conv_id", "turn", F.lit(name)).alias("id"),
+            F.lit(name).alias("name"),
+            F.create_map(*pairs).alias("args"),
+        )
+
+    calls = F.array(
+        call("area", a=F.length("text"), b=F.col("turn")),
+        call("ask_table", question=F.lit("How many documents has each language?")),
+        call("nothing", a=F.col("turn")),
+    )
+    spoken = F.col("role") == "assistant"
+    messages = scan(spark, directory, "conversations").select(
+        "conv_id",
+        "turn",
+        "role",
+        "text",
+        F.when(spoken, "functions").alias("name"),
+        F.when(spoken, calls).cast(TOOL_CALLS).alias("tool_calls"),
+    )
+    register_functions(spark, {"area(a DOUBLE, b DOUBLE) RETURNS BIGINT": "CAST(a * 2 + b AS BIGINT)"})
+    curated = {
+        "languages": CuratedQuery(
+            "Documents per language",
+            ("language",),
+            count_documents(scan(spark, directory, "documents")),
+            ["lang"],
+        )
+    }
+    tools = {"area": function_tool("area", ["a", "b"]), "ask_table": table_tool(curated)}
+    return run_tool_calls(messages, tools).drop("tool_calls")
+
+
 # ---- evaluation ------------------------------------------------------------
 
 _EVALS = f"""
     evals AS (
       SELECT md5(doc_id::VARCHAR) AS eval_id, {_sql.first_sentence('text')} AS question,
              doc_id AS expected_source, text AS expected_text
-      FROM (SELECT * FROM documents ORDER BY doc_id LIMIT 500) ORDER BY 1 LIMIT 25)"""
+      FROM documents ORDER BY 1 LIMIT 25)"""
 
 
 def eval_set(spark: SparkSession, directory: str) -> DataFrame:
@@ -194,14 +283,14 @@ _EVALUATED = f"""
       FROM evals e LEFT JOIN hits h ON h.query = e.eval_id AND h.key = e.expected_source)"""
 
 
-def _evaluated(spark: SparkSession, directory: str) -> tuple[DataFrame, DataFrame]:
-    evals = eval_set(spark, directory)
+def _evaluated(spark: SparkSession, directory: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    evals = cut_lineage(eval_set(spark, directory))
     corpus = scan(spark, directory, "documents", spread=True).select(
-        F.col("doc_id").alias("id"), F.col("text").alias("content"), embed("text").alias("embedding")
+        F.col("doc_id").alias("id"), F.col("text").alias("content"), "source", embed("text").alias("embedding")
     )
     asked = evals.select(F.col("eval_id").alias("query_id"), embed("question").alias("embedding"))
-    hits = topk(asked, corpus, 5)
-    return evals, E.evaluate(evals, hits)
+    hits = cut_lineage(topk(asked, corpus, 5, columns=["content", "source"]))
+    return evals, hits, E.evaluate(evals, hits)
 
 
 @query(
@@ -210,28 +299,59 @@ def _evaluated(spark: SparkSession, directory: str) -> tuple[DataFrame, DataFram
         SELECT eval_id, rk, hit, round(reciprocal_rank, 6) AS reciprocal_rank FROM evaluated""",
 )
 def evaluated_questions(spark: SparkSession, directory: str) -> DataFrame:
-    _, evaluated = _evaluated(spark, directory)
+    _, _, evaluated = _evaluated(spark, directory)
     return evaluated.withColumn("reciprocal_rank", F.round("reciprocal_rank", 6))
 
 
 @query(
     "run_score",
     f"""WITH {_EVALUATED}
+        , passage AS (SELECT query, rk, text FROM hits JOIN documents ON doc_id = hits.key),
+        wanted AS (SELECT eval_id AS query, question FROM evals),
+        {_sql.best_sentences('best', 'passage', 'wanted')},
+        sentence AS (
+          SELECT query AS pool, sentence_ix, sentence, query || '-' || sentence_ix AS sid
+          FROM (SELECT query, generate_subscripts(ss, 1) AS sentence_ix, unnest(ss) AS sentence
+                FROM (SELECT query, {_sql.sentence_list('answer')} AS ss FROM best))),
+        source AS (SELECT expected_source AS src, eval_id AS pool, expected_text AS text FROM evals),
+        {grounding_sql('pool', 'sentence', 'source')}
         SELECT count(*) AS n_questions, round(avg(hit), 6) AS hit_rate, round(avg(reciprocal_rank), 6) AS mrr,
-               0.0::DOUBLE AS ungrounded_share
+               (SELECT round(avg(CASE WHEN sid IN (SELECT sid FROM borne) THEN 0.0::DOUBLE ELSE 1.0 END), 6)
+                FROM sentence) AS ungrounded_share
         FROM evaluated""",
 )
 def run_score(spark: SparkSession, directory: str) -> DataFrame:
-    """The questions are sentences of their documents, so all are grounded."""
-    evals, evaluated = _evaluated(spark, directory)
+    """The questions are answered and the answers' sentences held against the expected documents."""
+    evals, hits, evaluated = _evaluated(spark, directory)
+    questions = evals.select(F.col("eval_id").alias("query_id"), "question")
+    answers = answer_from_hits(questions, hits)
     checked = grounded_sentences(
-        sentences(evals, "question", ["eval_id"]),
-        evals.select("eval_id", F.col("expected_text").alias("text")),
-        pool="eval_id",
+        sentences(answers, "answer", ["query_id"]),
+        evals.select(F.col("eval_id").alias("query_id"), F.col("expected_text").alias("text")),
+        pool="query_id",
     )
     return E.score_run(evaluated, checked)
 
 
+@query(
+    "run_record",
+    """SELECT 'documents' AS run_id, 0 AS step_ix, 'read' AS step, count(*) AS rows, 0::BIGINT AS errors FROM documents
+       UNION ALL
+       SELECT 'documents', 1, 'label', count(*), count(*) FILTER (WHERE quality IS NULL)
+       FROM documents LEFT JOIN labels USING (doc_id)""",
+)
+def run_record(spark: SparkSession, directory: str) -> DataFrame:
+    """Rows and errors of two steps, counted while the rows pass; documents without a label are errors."""
+    record = E.RunRecord("documents")
+    read = record.observed(scan(spark, directory, "documents").select("doc_id"), "read")
+    labels = scan(spark, directory, "labels").select("doc_id", "quality")
+    labelled = read.join(labels, "doc_id", "left").withColumn(
+        "error", F.when(F.col("quality").isNull(), "no label")
+    )
+    record.observed(labelled, "label", "error").write.format("noop").mode("overwrite").save()
+    return record.as_rows(spark)
+
+
 _VERSION = "CASE WHEN p_size % 7 = 0 THEN p_type ELSE p_size::VARCHAR END"
 
 

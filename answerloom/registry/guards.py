@@ -125,7 +125,7 @@ def _grams(name: str, source: str, key: str, words: str, sizes: str) -> str:
             FROM (SELECT {key}, w, unnest({sizes}) AS n FROM (SELECT {key}, {words} AS w FROM {source}))))"""
 
 
-def _grounding_sql(pool: str, sentences_: str, sources: str) -> str:
+def grounding_sql(pool: str, sentences_: str, sources: str) -> str:
     """CTEs ending in ``borne(sid)``; inputs have ``sid, pool, sentence`` and ``src, pool, text``."""
     join_pool = "AND a.pool = b.pool" if pool else ""
     return f"""
@@ -146,7 +146,7 @@ def _grounding_sql(pool: str, sentences_: str, sources: str) -> str:
           FROM (SELECT item_id, generate_subscripts(ss, 1) - 1 AS sentence_ix, unnest(ss) AS sentence
                 FROM (SELECT item_id, {_sql.sentence_list('text')} AS ss FROM benchmark))),
         source AS (SELECT doc_id AS src, 0 AS pool, text FROM documents),
-        {_grounding_sql('', 'sentence', 'source')}
+        {grounding_sql('', 'sentence', 'source')}
         SELECT item_id, sentence_ix::BIGINT AS sentence_ix, sentence, sid IN (SELECT sid FROM borne) AS grounded
         FROM sentence""",
 )
@@ -169,7 +169,7 @@ _CHECKED = f"""
       SELECT DISTINCT h.key AS src, s.pool, d.text
       FROM hits h JOIN sentence s ON s.sid = h.query JOIN documents d ON d.doc_id = h.key
       WHERE h.score > 0.6),
-    {_grounding_sql('pool', 'sentence', 'source')},
+    {grounding_sql('pool', 'sentence', 'source')},
     checked AS (SELECT item_id, sentence_ix, sentence, sid IN (SELECT sid FROM borne) AS grounded FROM sentence)"""
 
 

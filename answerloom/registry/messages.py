@@ -18,8 +18,9 @@ from answerloom.operators import routing as R
 from answerloom.plans.routed import four_way, three_way
 from answerloom.registry import _sql
 from answerloom.registry._base import query
-from answerloom.sources import scan
-from answerloom.streaming.memory import conversation_memory
+from answerloom.session import new_folder
+from answerloom.sources import scan, stream_scan
+from answerloom.streaming.memory import conversation_memory, recall_threads, remember
 
 # The prose of the tables is invented, so the rules use its frequent words.
 RULES = (("code", ("der", "die")), ("tables", ("the",)), ("dashboards", ("que", "la")))
@@ -233,15 +234,27 @@ def next_steps(spark: SparkSession, directory: str) -> DataFrame:
 
 @query(
     "conversation_memory",
-    """SELECT conv_id, count(*) AS n_messages,
-              string_agg(turn || ':' || role, ',' ORDER BY turn) FILTER (WHERE nth <= 3) AS latest
-       FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS nth FROM conversations)
-       GROUP BY conv_id""",
+    """SELECT conv_id, turn, role, text, count(*) OVER (PARTITION BY conv_id) AS n_messages,
+              max(turn) OVER (PARTITION BY conv_id) AS last_turn
+       FROM conversations""",
 )
 def memory(spark: SparkSession, directory: str) -> DataFrame:
-    held = conversation_memory(scan(spark, directory, "conversations"), 3)
-    line = F.transform("messages", lambda m: F.concat_ws(":", m["turn"], m["role"]))
-    return held.select("conv_id", "n_messages", F.array_join(line, ",").alias("latest"))
+    """The messages are taken in by a stream, and by a second run of it that finds nothing new."""
+    path, checkpoint = new_folder(spark, "memory"), new_folder(spark, "memory-checkpoint")
+    for _ in range(2):
+        remember(stream_scan(spark, directory, "conversations"), path, checkpoint)
+    return conversation_memory(spark.read.parquet(path))
+
+
+@query(
+    "recalled_threads",
+    """SELECT conv_id, turn, role, text FROM conversations
+       WHERE conv_id IN (SELECT conv_id FROM conversations WHERE role = 'system')""",
+)
+def recalled_threads(spark: SparkSession, directory: str) -> DataFrame:
+    """Whole threads of the conversations with a system message."""
+    messages = scan(spark, directory, "conversations")
+    return recall_threads(messages, messages.where("role = 'system'"))
 
 
 # ---- routing ---------------------------------------------------------------
@@ -326,9 +339,9 @@ def dispatched_questions(spark: SparkSession, directory: str) -> DataFrame:
           CASE route WHEN 'code' THEN replace('{CODE_PROMPT}', '{{input}}', text)
                      WHEN 'dashboards' THEN replace('{ANALYST_PROMPT}', '{{input}}', text)
                      WHEN 'general' THEN replace('{GENERAL_PROMPT}', '{{input}}', text) END AS prompt,
-          CASE route WHEN 'tables' THEN 'Rows: ' || length(text) ELSE text END AS answer,
-          {_sql.first_sentence("CASE route WHEN 'tables' THEN 'Rows: ' || length(text) ELSE text END")} AS summary
-        FROM routed""",
+          answer, {_sql.covering('answer')} AS summary
+        FROM (SELECT *, CASE route WHEN 'tables' THEN 'Rows: ' || length(text) ELSE {_sql.covering('text')} END AS answer
+              FROM routed)""",
 )
 def four_way_routing(spark: SparkSession, directory: str) -> DataFrame:
     from_table = F.concat(F.lit("Rows: "), F.length("question"))
@@ -395,10 +408,10 @@ _AGENTS = """agent AS (
 @query(
     "routing_prompt",
     f"""WITH {_AGENTS}
-        SELECT 'You classify a question and pass it on to whoever can answer it:' || chr(10)
+        SELECT 'Choices, one a line:' || chr(10)
           || string_agg('- If the user is asking about ' || description || ' then call the router with `'
                         || name || '`', chr(10) ORDER BY name)
-          || chr(10) || '- If none of these fits, say that you are unable to help.' AS prompt,
+          || chr(10) || 'Reply with one tool call whose argument `choice` is one of these names.' AS prompt,
           'should be one of: ' || string_agg(name, ',' ORDER BY name) AS choices
         FROM agent""",
 )

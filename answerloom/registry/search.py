@@ -5,13 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from answerloom.config import Settings
 from answerloom.functions.chunking import chunk_documents
 from answerloom.functions.embedding import embed
 from answerloom.functions.text import sentences
 from answerloom.operators import search as S
 from answerloom.operators.index import content_hash, sync_actions, sync_index
+from answerloom.plans.refresh import refresh_index
 from answerloom.registry import _sql
 from answerloom.registry._base import query
+from answerloom.session import cut_lineage, new_folder
 from answerloom.sources import scan
 
 _VECTORS = "SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings"
@@ -278,3 +281,24 @@ def index_sync(spark: SparkSession, directory: str) -> DataFrame:
     )
     synced = sync_index(documents.where("lang <> 'de'"), indexed)
     return synced.select("id", "source", "content_hash", (F.col("embedding")[0] == -1).alias("kept"))
+
+
+@query(
+    "topk_stored",
+    f"""WITH RECURSIVE {_sql.chunks('documents', 'doc_id', 'text')},
+        keyed AS (SELECT {CHUNK_KEY_SQL} AS id, content FROM chunk),
+        {_sql.embedded('corpus', 'keyed', 'id', 'content')},
+        {_sql.embedded('asked', 'benchmark', 'item_id', 'text')},
+        {_sql.ranked('asked', 'corpus', 3)}
+        SELECT query AS query_id, rk, id, content, score FROM hits JOIN keyed ON keyed.id = hits.key""",
+)
+def topk_stored(spark: SparkSession, directory: str) -> DataFrame:
+    """An index written by cells, its k-means centroids; with all cells probed nothing is missed."""
+    chunks = embedded_chunks(spark, directory).select("id", "source", "content")
+    settings, first_path = Settings(), new_folder(spark, "index")
+    first = refresh_index(chunks, settings, first_path)
+    centroids = cut_lineage(S.train_centroids(first, 8))
+    index = refresh_index(
+        first.select("id", "source", "content"), settings, new_folder(spark, "index"), first_path, centroids=centroids
+    )
+    return S.topk_ann(embedded_benchmark(spark, directory), index, centroids, 3, nprobe=8, columns=["content"])

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from answerloom.operators import tables as Q
 from answerloom.registry._base import query
 from answerloom.registry.messages import _QUESTIONS, _rule_sql, questions
-from answerloom.sources import scan
+from answerloom.sources import local_rows, scan
 
 
 @query(
@@ -143,9 +143,54 @@ def table_function_calls(spark: SparkSession, directory: str) -> DataFrame:
 )
 def nation_table_text(spark: SparkSession, directory: str) -> DataFrame:
     nation = scan(spark, directory, "nation")
-    text = Q.rows_to_markdown(nation, nation.columns, ["n_nationkey"])
-    rows = Q.markdown_to_rows(text, "markdown", [])
-    return rows.select("row_ix", *[F.col("cells")[name].alias(name) for name in nation.columns])
+    rows = Q.lines_to_rows(Q.rows_to_lines(nation, nation.columns, ["n_nationkey"]))
+    return rows.select("row_ix", *[Q.cell_named(name).alias(name) for name in nation.columns])
+
+
+@query(
+    "order_table_text",
+    """SELECT row_ix, col_ix, name AS "column", cell FROM (
+         SELECT (row_number() OVER (ORDER BY o_orderkey) - 1)::BIGINT AS row_ix,
+                unnest([0, 1, 2]) AS col_ix, unnest(['o_orderkey', 'note', 'priority']) AS name,
+                unnest([o_orderkey::VARCHAR, ' ' || o_orderstatus || '|a&#124;b' || chr(10) || o_custkey || ' ',
+                        CASE WHEN o_orderkey % 3 = 0 THEN '' ELSE o_orderpriority END]) AS cell
+         FROM orders)""",
+)
+def order_table_text(spark: SparkSession, directory: str) -> DataFrame:
+    """Cells with bars, references, line breaks, blanks at their ends and NULL, there and back."""
+    note = F.concat(F.lit(" "), "o_orderstatus", F.lit("|a&#124;b\n"), F.col("o_custkey").cast("string"), F.lit(" "))
+    orders = scan(spark, directory, "orders").select(
+        "o_orderkey",
+        note.alias("note"),
+        F.when(F.col("o_orderkey") % 3 != 0, F.col("o_orderpriority")).alias("priority"),
+    )
+    lines = Q.rows_to_lines(orders, orders.columns, ["o_orderkey"])
+    cells = Q.row_cells(Q.lines_to_rows(lines))
+    return cells.withColumn("col_ix", F.col("col_ix").cast("int"))
+
+
+@query(
+    "documents_without_language",
+    """WITH d AS (SELECT nullif(lang, 'fr') AS lang FROM documents)
+       SELECT lang, count(*) AS n_docs FROM d GROUP BY lang UNION ALL SELECT 'all', count(*) FROM d""",
+)
+def documents_without_language(spark: SparkSession, directory: str) -> DataFrame:
+    """One language made NULL is counted as NULL and apart from the total."""
+    return Q.count_documents(
+        scan(spark, directory, "documents").withColumn("lang", F.expr("nullif(lang, 'fr')"))
+    )
+
+
+@query(
+    "documents_by_label",
+    """SELECT label, count(doc_id) AS n_docs FROM (VALUES ('en', 'English'), ('de', 'German'), ('xx', 'none')) l(lang, label)
+       LEFT JOIN documents USING (lang) GROUP BY label""",
+)
+def documents_by_label(spark: SparkSession, directory: str) -> DataFrame:
+    """Rows given by the caller, met with a table that is counted first."""
+    labels = local_rows(spark, [("en", "English"), ("de", "German"), ("xx", "none")], "lang string, label string")
+    counts = scan(spark, directory, "documents").groupBy("lang").agg(F.count("doc_id").alias("n"))
+    return labels.join(counts, "lang", "left").select("label", F.coalesce("n", F.lit(0)).alias("n_docs"))
 
 
 @query(
@@ -162,7 +207,7 @@ def customer_table_text(spark: SparkSession, directory: str) -> DataFrame:
     return rows.select(
         "c_custkey",
         "row_ix",
-        F.col("cells")["name"].alias("name"),
-        F.col("cells")["segment"].alias("segment"),
-        Q.rows_to_json("cells").alias("json"),
+        Q.cell_named("name").alias("name"),
+        Q.cell_named("segment").alias("segment"),
+        Q.rows_to_json().alias("json"),
     )

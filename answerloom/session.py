@@ -70,14 +70,25 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return configured
 
 
+def new_folder(spark: SparkSession, label: str = "rows") -> str:
+    """The name of a folder of its own below the checkpoint folder, removed when the driver ends."""
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/answerloom-{label}-{uuid.uuid4().hex}"
+    context = spark.sparkContext
+    folder = context._jvm.org.apache.hadoop.fs.Path(path)
+    files = folder.getFileSystem(context._jsc.hadoopConfiguration())
+    files.mkdirs(folder)
+    files.deleteOnExit(folder)
+    return f"{path}/{label}"
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write ``df`` once to the shared checkpoint folder and read it from there.
 
     Parquet rather than a serialised checkpoint: what is read later can skip
     columns, and its size is known to the planner. Lost executors cost nothing,
-    the files are not theirs. The folder is the session's to clean up.
+    the files are not theirs.
     """
     spark = df.sparkSession
-    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/answerloom-{uuid.uuid4().hex}"
+    path = new_folder(spark)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

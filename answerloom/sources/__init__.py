@@ -8,6 +8,7 @@ from answerloom.sources.tables import (
     local_rows,
     overwrite_table,
     scan,
+    stream_scan,
     stream_table,
     with_chunk_id,
 )
@@ -22,6 +23,7 @@ __all__ = [
     "read_files",
     "read_files_stream",
     "scan",
+    "stream_scan",
     "stream_table",
     "with_chunk_id",
 ]

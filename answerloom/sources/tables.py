@@ -13,6 +13,8 @@ TABLES = (
     "documents embeddings pages benchmark labels conversations"
 ).split()
 
+SPREAD_KEY = "spark.answerloom.spread"
+
 CHUNK_COLUMNS = "id BIGINT, source STRING, chunk_ix INT, mime_type STRING, content STRING"
 
 
@@ -21,16 +23,24 @@ def scan(
 ) -> DataFrame:
     """One table of a parquet directory. Nothing is read until an action runs.
 
-    ``spread`` is for work that is heavy per row: a table with fewer splits than
-    there are cores (a small one, or one of few row groups) is dealt out over
-    all of them. A table of many splits is read where it lies, unshuffled.
+    ``spread`` marks work that is heavy per row. A session on one machine, whose
+    files are of one row group each, may set ``SPREAD_KEY`` to a number of
+    partitions that such tables are dealt out over. Where it is unset, as on a
+    cluster, a table of any size is read where it lies, unshuffled.
     """
     table = spark.read.parquet(f"{directory.rstrip('/')}/{name}.parquet")
-    if spread:
-        cores = spark.sparkContext.defaultParallelism
-        if table.rdd.getNumPartitions() < cores:
-            return table.repartition(cores)
-    return table
+    wanted = spark.conf.get(SPREAD_KEY, None) if spread else None
+    return table if wanted is None else table.repartition(int(wanted))
+
+
+def stream_scan(spark: SparkSession, directory: str, name: str) -> DataFrame:
+    """One table of a parquet directory as a stream: what was added since the last checkpoint.
+
+    The last letter stands in brackets because a stream takes a plain path for a folder, while a
+    pattern may name one file as well.
+    """
+    path = f"{directory.rstrip('/')}/{name}.parque[t]"
+    return spark.readStream.schema(scan(spark, directory, name).schema).parquet(path)
 
 
 def load_tables(

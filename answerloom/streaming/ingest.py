@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from answerloom.functions.chunking import chunk_array
-from answerloom.functions.text import mime_type, parse_document
+from answerloom.functions.text import mime_type, parse_document, why_unreadable
 from answerloom.sources import read_files_stream, stream_table, with_chunk_id
 
 ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
@@ -28,6 +28,18 @@ def append_available(df: DataFrame, table: str, checkpoint: str) -> None:
     )
 
 
+def append_files(df: DataFrame, path: str, checkpoint: str) -> None:
+    """:func:`append_available` to a parquet folder instead of a table."""
+    (
+        df.writeStream.trigger(availableNow=True)
+        .option("checkpointLocation", checkpoint)
+        .outputMode("append")
+        .format("parquet")
+        .start(path)
+        .awaitTermination()
+    )
+
+
 def run_ingest_job(
     spark: SparkSession,
     path: str,
@@ -43,7 +55,7 @@ def run_ingest_job(
 def chunk_rows(
     raw: DataFrame, size: int = 500, overlap: int = 10, partitions: int | None = None
 ) -> DataFrame:
-    """Raw files to rows of the chunk table; files that cannot be read vanish.
+    """Raw files to rows of the chunk table. :func:`rejected_rows` has the files that give none.
 
     ``partitions`` spreads a few large input files over more tasks.
     """
@@ -59,6 +71,14 @@ def chunk_rows(
     return with_chunk_id(chunks).select("id", "source", "chunk_ix", "mime_type", "content")
 
 
+def rejected_rows(raw: DataFrame) -> DataFrame:
+    """``source, mime_type, reason`` of the raw files that cannot be read as a document."""
+    reason = why_unreadable("content")
+    return raw.select(F.col("path").alias("source"), "mime_type", reason.alias("reason")).where(
+        F.col("reason").isNotNull()
+    )
+
+
 def run_chunk_job(
     spark: SparkSession,
     raw_table: str,
@@ -68,12 +88,17 @@ def run_chunk_job(
     overlap: int = 10,
     arrow_rows: int = 10,
     partitions: int | None = None,
+    reject_table: str | None = None,
 ) -> None:
     """Chunk the raw rows that are new since the last run.
 
     Documents are large, so Arrow batches are kept to ``arrow_rows`` of them;
-    the session's own setting is put back afterwards.
+    the session's own setting is put back afterwards. Files that cannot be read
+    are appended to ``reject_table`` with the reason, by a stream of its own.
     """
+    if reject_table is not None:
+        rejected = rejected_rows(stream_table(spark, raw_table))
+        append_available(rejected, reject_table, f"{checkpoint.rstrip('/')}-rejects")
     before = spark.conf.get(ARROW_ROWS)
     spark.conf.set(ARROW_ROWS, str(arrow_rows))
     try:

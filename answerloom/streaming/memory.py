@@ -1,83 +1,39 @@
-"""Conversation memory: the latest messages of every thread."""
+"""Conversation memory: every message of every thread, and counters for each thread.
 
-from __future__ import annotations
+The messages themselves are rows of a table, in long form, so a thread of any length is kept
+whole and is never one row. The state of the stream is two numbers for each thread.
+"""
 
-from collections.abc import Iterator
+from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
-from pyspark.sql.window import Window
-
-_PARTIAL = "conv_id long, turn long, role string, text string, n long"
-_OUT = "conv_id long, n_messages long, messages array<struct<turn:long,role:string,text:string>>"
-_STATE = "n long, turns array<long>, roles array<string>, texts array<string>"
 
+from answerloom.streaming.ingest import append_files
 
-def conversation_memory(messages: DataFrame, keep: int = 20) -> DataFrame:
-    """Batch form: ``conv_id, n_messages, messages`` with the last ``keep``.
+COLUMNS = ("conv_id", "turn", "role", "text")
 
-    The limit is applied before rows are shuffled, so a very long thread sends
-    ``keep`` rows per task and not its history.
-    """
-    newest = Window.partitionBy("conv_id").orderBy(F.desc("turn"))
-    last = (
-        messages.select("conv_id", "turn", "role", "text")
-        .withColumn("_nth", F.row_number().over(newest))
-        .where(F.col("_nth") <= keep)
-        .groupBy("conv_id")
-        .agg(F.sort_array(F.collect_list(F.struct("turn", "role", "text"))).alias("messages"))
-    )
-    counts = messages.groupBy("conv_id").agg(F.count(F.lit(1)).alias("n_messages"))
-    return counts.join(last, "conv_id").select("conv_id", "n_messages", "messages")
 
+def remember(messages: DataFrame, path: str, checkpoint: str) -> None:
+    """Append the messages of a stream that are new since the last run to the memory at ``path``."""
+    append_files(messages.select(*COLUMNS), path, checkpoint)
 
-def conversation_state(
-    stream: DataFrame, keep: int = 20, idle_minutes: int | None = None
-) -> DataFrame:
-    """Streaming form, in update mode: threads that got messages in a batch.
 
-    Batches of rows are cut to ``keep`` per thread before they are shuffled and
-    the state holds no more than that, so neither a hot thread nor a long one
-    grows a task. With ``idle_minutes`` a thread is forgotten after that time.
-    """
+def recall_threads(memory: DataFrame, conversations: DataFrame) -> DataFrame:
+    """All remembered messages of some ``conversations``; ``turn`` gives their order."""
+    return memory.join(conversations.select("conv_id").distinct(), "conv_id", "left_semi")
 
-    def newest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            ordered = batch.sort_values("turn", kind="stable")
-            threads = ordered.groupby("conv_id", sort=False)
-            sizes = threads["turn"].transform("size")
-            last = ordered.assign(n=0)
-            last.loc[~ordered["conv_id"].duplicated(keep="last"), "n"] = sizes
-            yield last.groupby("conv_id", sort=False).tail(keep)
 
-    def remember(
-        key: tuple, batches: Iterator[pd.DataFrame], state: GroupState
-    ) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        total, held = 0, []
-        if state.exists:
-            total, turns, roles, texts = state.get
-            held = list(zip(turns, roles, texts, strict=True))
-        for batch in batches:
-            total += int(batch["n"].sum())
-            held += list(zip(batch["turn"], batch["role"], batch["text"], strict=True))
-            held = sorted(held, key=lambda m: m[0])[-keep:]
-        state.update(
-            (total, [int(m[0]) for m in held], [m[1] for m in held], [m[2] for m in held])
-        )
-        if idle_minutes is not None:
-            state.setTimeoutDuration(idle_minutes * 60_000)
-        shown = [{"turn": int(t), "role": r, "text": x} for t, r, x in held]
-        yield pd.DataFrame({"conv_id": [key[0]], "n_messages": [total], "messages": [shown]})
+def conversation_state(messages: DataFrame) -> DataFrame:
+    """``conv_id, n_messages, last_turn`` of a table, or of a stream in update mode.
 
-    timeout = (
-        GroupStateTimeout.NoTimeout if idle_minutes is None else GroupStateTimeout.ProcessingTimeTimeout
-    )
-    partial = stream.select("conv_id", "turn", "role", "text").mapInPandas(newest, _PARTIAL)
-    return partial.groupBy("conv_id").applyInPandasWithState(
-        remember, _OUT, _STATE, "update", timeout
+    Both are partial aggregates: a task sends one row for each thread it saw, however hot.
+    """
+    return messages.groupBy("conv_id").agg(
+        F.count(F.lit(1)).alias("n_messages"), F.max("turn").alias("last_turn")
     )
+
+
+def conversation_memory(messages: DataFrame) -> DataFrame:
+    """Every message with the counters of its thread: ``COLUMNS``, ``n_messages``, ``last_turn``."""
+    return messages.select(*COLUMNS).join(conversation_state(messages), "conv_id", "left")

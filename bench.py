@@ -15,6 +15,7 @@ sys.path.insert(0, str(Path(__file__).resolve().parent))
 
 from answerloom.registry import REGISTRY  # noqa: E402
 from answerloom.session import build_session  # noqa: E402
+from answerloom.sources.tables import SPREAD_KEY  # noqa: E402
 
 HEADLINE = (
     "page_text",
@@ -51,6 +52,7 @@ def main() -> None:
             "spark.ui.enabled": "false",
             "spark.ui.showConsoleProgress": "false",
             "spark.driver.memory": "16g",
+            SPREAD_KEY: cpus,  # the tables are files of one row group
         },
     )
     spark.sparkContext.setLogLevel("ERROR")

@@ -26,7 +26,7 @@ def test_routing_prompt(spark):
         [("tables", "finance"), ("documents", "how-to guides")], "name string, description string"
     )
     row = routing_prompt(agents).first()
-    assert "about how-to guides then call the router with `documents`\n- If" in row.prompt
+    assert "about how-to guides then call the router with `documents`\n- If the user is asking about finance" in row.prompt
     assert row.choices == "should be one of: documents,tables"
 
 
@@ -41,16 +41,31 @@ def test_models(spark):
         models.apply_model(F.col("p"), "unheard of")
 
 
-def test_extractive_model_reads_the_first_passage(spark):
+def test_extractive_model_reads_every_passage(spark):
     def prompt(*passages):
         context = "".join(f"Passage: {p}\n" for p in passages)
         return (QA_PROMPT.format(summaries=context, question="Why? Because."),)
 
     df = spark.createDataFrame(
-        [prompt("One two. Three."), prompt("no stop", "next. one"), prompt("no stop"), prompt()], "p string"
+        [
+            prompt("One two. Three."),
+            prompt("no stop", "next. Because. Why? Because. one"),
+            prompt("no stop"),
+            prompt(),
+            prompt("Far off. Then Why? it", "Question:\nWhy? Because. Passage: of a kind"),
+            (None,),
+        ],
+        "p string",
     )
-    got = [r[0] for r in df.select(models.apply_model(F.col("p"))).collect()]
-    assert got == ["One two.", "no stop", "no stop", ""]
+    got = [r[0] for r in df.coalesce(1).select(models.apply_model(F.col("p"))).collect()]
+    assert got == ["One two.", "Because.", "no stop", "", "Because.", None]
+
+
+def test_covering_model_reads_the_whole_text(spark):
+    long = "One two. " * 20_000 + "three four five. Six six six six."
+    df = spark.createDataFrame([(long,), ("",), ("Do this: a: b c. d",)], "p string").coalesce(1)
+    got = [r[0] for r in df.select(models.apply_model(F.col("p"), "covering")).collect()]
+    assert got == ["three four five.", "", "a: b c."]
 
 
 def test_answers_with_sources_and_errors(spark):
@@ -113,7 +128,7 @@ def test_four_and_three_way(spark):
         for r in four_way(df, Settings().route_rules, F.lit("42 rows. Done.")).collect()
     }
     assert got == {
-        1: ("code", "Any code? Yes.", "Any code?"),
+        1: ("code", "Any code?", "Any code?"),
         2: ("tables", "42 rows. Done.", "42 rows."),
         3: ("general", "hm", "hm"),
     }

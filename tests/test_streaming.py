@@ -10,6 +10,8 @@ from answerloom.streaming import (
     append_available,
     conversation_memory,
     conversation_state,
+    recall_threads,
+    remember,
     run_chunk_job,
     run_ingest_job,
 )
@@ -37,7 +39,7 @@ def test_files_to_chunks_incrementally(spark, tmp_path, new_folder, names):
 
     def run():
         run_ingest_job(spark, str(folder), raw, checkpoints[0], max_files=1)
-        run_chunk_job(spark, raw, chunks, checkpoints[1], size=6, overlap=2)
+        run_chunk_job(spark, raw, chunks, checkpoints[1], size=6, overlap=2, reject_table=f"{raw}_rejects")
 
     batch_rows = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
     IO.ensure_chunk_table(spark, "stream_tests", chunks)
@@ -56,11 +58,14 @@ def test_files_to_chunks_incrementally(spark, tmp_path, new_folder, names):
     run()
     after = spark.table(chunks).collect()
     assert spark.table(raw).count() == 4
+    rejects = spark.table(f"{raw}_rejects").collect()
+    assert [(Path(r.source).name, r.mime_type, r.reason) for r in rejects] == [("broken.pdf", "application/pdf", "not UTF-8")]
     assert len({r.id for r in after}) == len(after) > len(first)
     added = [r for r in after if Path(r.source).name == "c.html"]
     assert [r.chunk_ix for r in sorted(added, key=lambda r: r.chunk_ix)] == list(range(len(added)))
     spark.sql(f"DROP TABLE {raw}")
     spark.sql(f"DROP TABLE {chunks}")
+    spark.sql(f"DROP TABLE {raw}_rejects")
 
 
 def test_batch_reader_sees_the_same_files(spark, tmp_path):
@@ -83,10 +88,10 @@ def test_stream_state_equals_batch(spark, tiny, new_folder):
 
     def take(batch, _):
         for row in batch.collect():
-            seen[row.conv_id] = (row.n_messages, [tuple(m) for m in row.messages])
+            seen[row.conv_id] = (row.n_messages, row.last_turn)
 
     query = (
-        conversation_state(stream, 3)
+        conversation_state(stream)
         .writeStream.outputMode("update")
         .option("checkpointLocation", new_folder("checkpoint"))
         .trigger(availableNow=True)
@@ -94,13 +99,25 @@ def test_stream_state_equals_batch(spark, tiny, new_folder):
         .start()
     )
     query.awaitTermination()
-    expected = {
-        r.conv_id: (r.n_messages, [tuple(m) for m in r.messages])
-        for r in conversation_memory(messages, 3).collect()
-    }
+    expected = {r.conv_id: (r.n_messages, r.last_turn) for r in conversation_state(messages).collect()}
     assert seen == expected
 
 
+def test_memory_keeps_whole_threads(spark, new_folder):
+    schema = "conv_id long, turn long, role string, text string"
+    incoming, memory, checkpoint = new_folder("in"), new_folder("memory"), new_folder("checkpoint")
+    for first in (0, 300):
+        rows = [(c, t, "user", f"{c}-{t}") for c in (1, 2) for t in range(first, first + 300)]
+        spark.createDataFrame(rows, schema).write.mode("append").parquet(incoming)
+        for _ in range(2):
+            remember(spark.readStream.schema(schema).parquet(incoming), memory, checkpoint)
+    held = conversation_memory(spark.read.parquet(memory)).collect()
+    assert len(held) == 1200 and {(r.n_messages, r.last_turn) for r in held} == {(600, 599)}
+    asked = spark.createDataFrame([(2,), (2,), (9,)], "conv_id long")
+    thread = recall_threads(spark.read.parquet(memory), asked).orderBy("turn").collect()
+    assert [(r.conv_id, r.text) for r in thread] == [(2, f"2-{t}") for t in range(600)]
+
+
 def test_table_stream_and_writes(spark, new_folder, names):
     raw, copy = names
     rows = IO.local_rows(spark, [(1, "a"), (2, "b")], "id int, t string")

@@ -52,10 +52,18 @@ def test_html_to_text(spark):
     assert got[1][0] is None
 
 
+def test_references(spark):
+    rows = [("&#8212;&#x27;&eacute;&nbsp;&apos;",), ("&amp;lt; &AMP; &nobody; & &#; &#0;&#1114112;&#xd800;",), ("none",), (None,)]
+    got = spark.createDataFrame(rows, "t string").coalesce(1).select(X.decode_references("t")).collect()
+    assert [r[0] for r in got] == ["—'é '", "&lt; &AMP; &nobody; & &#; \ufffd\ufffd\ufffd", "none", None]
+
+
 def test_unreadable_documents_are_null(spark):
     rows = [(b"<p>ok</p>",), (b"\xff\xfe<p>broken</p>",), (b"plain text",), (b"%PDF-1.7",), (None,), (b"",)]
     got = spark.createDataFrame(rows, "b binary").select(X.parse_document("b")).collect()
     assert [r[0] for r in got] == ["ok", None, None, None, None, None]
+    why = spark.createDataFrame(rows, "b binary").select(X.why_unreadable("b")).collect()
+    assert [r[0] for r in why] == [None, "not UTF-8", "not HTML", "not HTML", "no content", "not HTML"]
 
 
 def test_sentences(spark):
