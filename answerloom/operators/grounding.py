@@ -26,9 +26,10 @@ from answerloom.session import cut_lineage
 MIN_SHARE = 0.8
 
 
-def word_grams(text: Column | str, lengths: list[int], whole: bool = False) -> Column:
-    """Distinct word n-grams of the given lengths.
+def gram_hashes(text: Column | str, lengths: list[int], whole: bool = False) -> Column:
+    """Distinct word n-grams of the given lengths, as 64-bit hashes.
 
+    Words are hashed once and a gram is a hash of its words' hashes, so no gram is ever a string.
     With ``whole``, a text shorter than the one length given is its own gram.
     """
 
@@ -36,36 +37,38 @@ def word_grams(text: Column | str, lengths: list[int], whole: bool = False) -> C
         starts = F.slice(words, F.lit(1), F.greatest(F.size(words) - length + 1, F.lit(0)))
         # By element: a slice per position would copy the text each time.
         return F.transform(
-            starts,
-            lambda word, i: F.concat_ws(" ", word, *[F.get(words, i + j) for j in range(1, length)]),
+            starts, lambda word, i: F.xxhash64(word, *[F.get(words, i + j) for j in range(1, length)])
         )
 
     def grams(words: Column) -> Column:
-        found = [of_length(words, length) for length in lengths]
         if not whole:
-            return F.flatten(F.array(F.array().cast("array<string>"), *found))
-        alone = F.filter(F.array(F.array_join(words, " ")), lambda gram: gram != "")
-        return F.when(F.size(words) >= lengths[0], found[0]).otherwise(alone)
+            none = F.array().cast("array<bigint>")
+            return F.flatten(F.array(none, *[of_length(words, length) for length in lengths]))
+        found = of_length(words, lengths[0])
+        for shorter in range(1, lengths[0]):
+            found = F.when(F.size(words) == shorter, of_length(words, shorter)).otherwise(found)
+        return found
 
-    return F.array_distinct(let(token_array(text), grams))
+    hashed = F.transform(token_array(text), lambda word: F.xxhash64(word))
+    return F.array_distinct(let(hashed, grams))
 
 
-def _tagged(identity: Column, grams: Column, counted: bool = False) -> Column:
-    """Grams with the id of their text; ``counted`` adds their length and number."""
+def _tagged(identity: Column, grams: Column, words: Column | None = None) -> Column:
+    """Grams with the id of their text; with ``words``, their length, also with it and their number."""
 
     def tag(both: Column) -> Column:
         every = both["grams"]
 
         def row(gram: Column) -> Column:
             fields = [both["id"].alias("id"), gram.alias("gram")]
-            if counted:
-                fields.append(F.size(F.split(gram, " ")).alias("words"))
-                fields.append(F.size(every).alias("size"))
+            if words is not None:
+                fields += [both["words"].alias("words"), F.size(every).alias("size")]
             return F.struct(*fields)
 
         return F.transform(every, row)
 
-    return let(F.struct(identity.alias("id"), grams.alias("grams")), tag)
+    fields = [identity.alias("id"), grams.alias("grams")]
+    return let(F.struct(*fields, *([] if words is None else [words.alias("words")])), tag)
 
 
 def grounded_sentences(
@@ -86,14 +89,17 @@ def grounded_sentences(
     if not 0 < threshold <= 1:
         raise ValueError("threshold must be above 0 and at most 1")
     place = F.col(pool) if pool else F.lit(0)
-    sentence_id = F.md5(F.concat_ws("\x01", place.cast("string"), F.lower(as_column(sentence))))
+    sentence_id = F.unhex(
+        F.md5(F.concat_ws("\x01", place.cast("string"), F.lower(as_column(sentence))))
+    )
+    length = F.least(F.lit(n), F.size(token_array(sentence)))
     # Ids go through the explode with the grams: as columns beside it they would
     # be computed again for every gram, from a text carried along with each.
     wanted = cut_lineage(
         asked.select(
             place.alias("pool"),
             F.explode(
-                _tagged(sentence_id, word_grams(sentence, [n], whole=True), counted=True)
+                _tagged(sentence_id, gram_hashes(sentence, [n], whole=True), length)
             ).alias("g"),
         )
         .select("pool", F.col("g.id").alias("sid"), "g.gram", "g.words", "g.size")
@@ -106,7 +112,7 @@ def grounded_sentences(
         sources.select(
             place.alias("pool"),
             F.explode(
-                _tagged(F.md5(F.lower(as_column(text))), word_grams(text, lengths))
+                _tagged(F.unhex(F.md5(F.lower(as_column(text)))), gram_hashes(text, lengths))
             ).alias("g"),
         )
         .select("pool", F.col("g.id").alias("source"), "g.gram")

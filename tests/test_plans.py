@@ -9,7 +9,9 @@ from answerloom.functions.embedding import embed
 from answerloom.functions.prompts import QA_PROMPT, placeholders, render_prompt, routing_prompt
 from answerloom.operators import routing as R
 from answerloom.plans.answering import NO_QUESTION, answer_questions, guarded_answers
+from answerloom.operators.tables import register_functions
 from answerloom.plans.routed import four_way, three_way
+from answerloom.plans.turn import function_tool, run_tool_calls
 
 
 def test_render_prompt(spark):
@@ -167,3 +169,30 @@ def test_registry(spark):
     )
     assert R.agent_names(agents) == ["tables", "documents", "none"]
     assert sorted(r.tool for r in R.agent_tools(agents).collect()) == ["ask", "read", "search"]
+
+
+def test_tool_calls_run_as_rows(spark):
+    register_functions(spark, {"add_up(a DOUBLE, b DOUBLE)": "a + b"})
+    call = "struct<id: string, name: string, args: map<string,string>>"
+    schema = f"conv_id long, turn long, role string, text string, name string, tool_calls array<{call}>"
+    add = ("c1", "add_up", {"a": "1.5", "b": "2"})
+    rows = [
+        (1, 0, "user", "q", None, None),
+        (1, 1, "assistant", None, "functions", [add, ("c2", "lost", {}), ("c3", None, None), add]),
+        (2, 0, "assistant", "x", "router", [("c4", "route", {"choice": "tables"})]),
+        (3, 0, "assistant", "x", "tables", []),
+        (4, 0, "assistant", "x", "functions", [("c5", "add_up", {"a": "no number"})]),
+        (5, 0, "assistant", "x", "functions", [add]),
+        (5, 1, "user", "stop", None, None),
+    ]
+    messages = spark.createDataFrame(rows, schema)
+    after = run_tool_calls(messages, {"add_up": function_tool("add_up", ["a", "b"])}).collect()
+    assert len(after) == len(rows) + 5
+    added = sorted((r.conv_id, r.turn, r.name, r.text) for r in after if r.role == "tool" and r.name)
+    assert added == [
+        (1, 2, "add_up", "3.5"),
+        (1, 3, "lost", "There is no tool lost"),
+        (1, 5, "add_up", "3.5"),
+        (4, 1, "add_up", None),
+    ]
+    assert [(r.turn, r.text) for r in after if r.role == "tool" and r.name is None] == [(4, "There is no tool NULL")]
