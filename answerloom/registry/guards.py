@@ -6,9 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from answerloom.functions.pii import (
-    DEFAULT_ENTITIES,
     GIVEN_NAMES,
-    PATTERNS,
     detect_pii,
     pii_verdict,
 )
@@ -32,6 +30,26 @@ _RUN = r"\b[A-Z][a-z]+\.?(?: [A-Z][\p{L}\p{N}_]*\.?)+"
 _PERSON = r"\b(?:(?:Mr|Mrs|Ms|Dr|Prof)\.?|" + "|".join(sorted(GIVEN_NAMES)) + r")(?: [A-Z][a-z]+)+\b"
 
 
+# What each entity looks like, and the group that is the hit, in reporting order; written from the
+# definition of the entities and not from the operator.
+_ENTITIES = {
+    "PERSON": (_PERSON, 0),
+    "CREDIT_CARD": (r"\b\d{4}[ -]?\d{4}[ -]?\d{4}[ -]?\d{4}\b", 0),
+    "PHONE_NUMBER": (r"[(]?\b\d{3}[)]?[ .-]\d{3}[ .-]\d{4}\b", 0),
+    "IP_ADDRESS": (r"\b\d{1,3}[.]\d{1,3}[.]\d{1,3}[.]\d{1,3}\b", 0),
+    "US_SSN": (r"\b\d{3}-\d\d-\d{4}\b", 0),
+    "US_PASSPORT": (r"\b[A-Z]\d{8}\b", 0),
+    "US_BANK_NUMBER": (r"\b(?i:account|acct|routing|bank|aba)\b[^\d\n]{0,24}(\d{8,17})\b", 1),
+    "US_ITIN": (r"\b9\d\d-[5-9]\d-\d{4}\b", 0),
+    "US_DRIVER_LICENSE": (
+        r"\b(?i:drivers? licen[cs]e|driver's? licen[cs]e|driving licen[cs]e|dl)\b[^\d\n]{0,16}\b([A-Za-z]?\d{7,8})\b",
+        1,
+    ),
+    "EMAIL_ADDRESS": (r"[\w.%+-]{1,64}@[A-Za-z\d.-]{1,255}[.][A-Za-z]{2,24}", 0),
+    "CRYPTO": (r"\b(?:bc1|1|3)[1-9A-HJ-NP-Za-km-z]{25,39}\b", 0),
+}
+
+
 def _quoted(pattern: str) -> str:
     return "'" + pattern.replace("'", "''") + "'"
 
@@ -42,14 +60,14 @@ def hits_sql(entity: str, text: str) -> str:
             f"flatten(list_transform(regexp_extract_all({text}, {_quoted(_RUN)}), "
             f"lambda r: regexp_extract_all(r, {_quoted(_PERSON)})))"
         )
-    pattern, group = PATTERNS[entity][:2]
+    pattern, group = _ENTITIES[entity]
     return f"regexp_extract_all({text}, {_quoted(pattern)}, {group})"
 
 
 def pii_list_sql(text: str) -> str:
     """List with the entity's name once per hit."""
     parts = [
-        f"list_transform({hits_sql(entity, text)}, lambda h: '{entity}')" for entity in DEFAULT_ENTITIES
+        f"list_transform({hits_sql(entity, text)}, lambda h: '{entity}')" for entity in _ENTITIES
     ]
     return f"flatten([{', '.join(parts)}])"
 
@@ -59,7 +77,7 @@ def pii_list_sql(text: str) -> str:
     " UNION ALL ".join(
         f"SELECT doc_id, '{entity}' AS entity, (generate_subscripts(h, 1) - 1)::BIGINT AS ix, unnest(h) AS hit "
         f"FROM (SELECT doc_id, {hits_sql(entity, 'text')} AS h FROM documents)"
-        for entity in DEFAULT_ENTITIES
+        for entity in _ENTITIES
     ),
 )
 def personal_data(spark: SparkSession, directory: str) -> DataFrame:
