@@ -33,7 +33,9 @@ KEY = "answerloom"
 #: From this attempt on a coined word gets a letter longer with every attempt, so there is room for all.
 WIDEN = 3
 
-_NAME = r"\p{Lu}[\p{L}'’-]{1,40}+"
+#: An apostrophe or hyphen belongs to a name only before a capital, so "Smith's" names Smith.
+_NAME = r"\p{Lu}(?:\p{L}{1,40}+|(?=['’]\p{Lu}))(?:['’-]\p{Lu}\p{L}{1,40}+){0,2}"
+_WORD = rf"(?=\p{{Lu}})(?<![\p{{L}}\p{{N}}]){_NAME}(?![\p{{L}}\p{{N}}])"
 _TITLE = "|".join((*MALE_TITLES, *FEMALE_TITLES, *OTHER_TITLES))
 _KNOWN = "|".join(name for names in GIVEN.values() for name in names)
 #: No group repeats without a bound, so no text makes a match slow or deep.
@@ -279,21 +281,39 @@ def _rendered(hit: Column, known: Column) -> Column:
     return let(_units(hit), body)
 
 
+def _alone(gap: Column, known: Column) -> Column:
+    """What lies between matches, with surnames of the text's persons replaced, alone or as parts of a name.
+
+    The capitalised words are looked up one by one, so it takes one pass whatever the number of names.
+    """
+
+    def lookup(word: Column) -> Column:
+        return F.element_at(known, F.concat(F.lit("surname:"), F.lower(word)))
+
+    def part(word: Column) -> Column:
+        return let(lookup(word), lambda said: F.when(said.isNull(), word).otherwise(_cased(said, word)))
+
+    def name(word: Column) -> Column:
+        parts = F.array_join(F.transform(F.split(word, r"(?<=['’-])|(?=['’-])"), part), "")
+        return let(lookup(word), lambda said: F.when(said.isNull(), parts).otherwise(_cased(said, word)))
+
+    words = F.regexp_extract_all(gap, F.lit(_WORD), F.lit(0))
+    pieces = F.zip_with(
+        F.split(gap, _WORD, -1), words, lambda rest, word: F.concat(rest, F.when(word.isNull(), F.lit("")).otherwise(name(word)))
+    )
+    return F.array_join(pieces, "")
+
+
 def _rewritten(text: Column, hits: Column, known: Column) -> Column:
     """``text`` with every match rendered, and surnames of its persons replaced where they stand alone."""
+    named = F.exists(F.map_keys(known), lambda key: key.startswith("surname:"))
+    gaps = F.split(text, ANY, -1)
     pieces = F.zip_with(
-        F.split(text, ANY, -1),
+        F.when(named, F.transform(gaps, lambda gap: _alone(gap, known))).otherwise(gaps),
         hits,
         lambda gap, hit: F.concat(gap, F.when(hit.isNull(), F.lit("")).otherwise(_rendered(hit, known))),
     )
-    surnames = F.filter(F.map_entries(known), lambda e: e["key"].startswith("surname:"))
-
-    def alone(said: Column, entry: Column) -> Column:
-        name = F.initcap(F.substring(entry["key"], F.lit(len("surname:") + 1), F.length(entry["key"])))
-        pattern = F.concat(F.lit(r"(?<![\p{L}\p{N}])\Q"), name, F.lit(r"\E(?![\p{L}\p{N}])"))
-        return F.regexp_replace(said, pattern, F.initcap(entry["value"]))
-
-    return F.aggregate(surnames, F.array_join(pieces, ""), alone)
+    return F.array_join(pieces, "")
 
 
 def replace_entities(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", key: str = KEY) -> DataFrame:

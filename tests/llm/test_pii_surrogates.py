@@ -36,6 +36,33 @@ def test_formats_and_coreference(spark):
     assert not re.search("Анна|Иванова|John|Smith|Mary|Jones|555-7280|45473700|123-45-6789", a + b + c)
 
 
+def test_names_written_in_other_ways(spark):
+    """Possessives, inner capitals, double names, capitals and parts still mean the same person."""
+    text = (
+        "Dr. Smith's car. Mr. Smith left, SMITH said; Smith's and Smith-like. Mrs. Mary O'Brien, O'Brien's. "
+        "Ms. McDonald or McDonald. Mr. Paul Smith-Jones, Smith-Jones, Jones. Goldsmith Smithers smith 1Smith"
+    )
+    found = replaced(spark, [text])[0]
+    said = re.match(r"Dr\. (\w+)'s car\. Mr\. (\w+) left, (\w+) said; (\w+)'s and (\w+)-like\.", found).groups()
+    assert said[0] == said[1] == said[3] == said[4] and said[2] == said[0].upper() and said[0] != "Smith"
+    obrien = re.search(r"Mrs\. (\w+) ([\w']+), ([\w']+)'s\. ", found).groups()
+    assert obrien[0] in P.GIVEN["latin", "f"] and obrien[1] == obrien[2] and "Brien" not in found
+    assert re.search(r"Ms\. (\w+) or (\w+)\.", found)[1] == re.search(r"Ms\. (\w+) or (\w+)\.", found)[2] and "Donald" not in found
+    double = re.search(r"Mr\. (\w+) ([\w-]+), ([\w-]+), Jones\. ", found).groups()
+    assert double[1] == double[2] and "Smith-Jones" not in found
+    assert found.endswith("Jones. Goldsmith Smithers smith 1Smith")
+
+
+def test_given_surrogate_is_not_replaced_again(spark):
+    """A listed given name may be a real surname of the same text; each keeps its own surrogate."""
+    text = " ".join(f"Mr. Hans {name}, {name}." for name in P.GIVEN["latin", "m"] if name != "Hans")
+    found = replaced(spark, [text])[0]
+    pairs = re.findall(r"Mr\. (\w+) (\w+), (\w+)\.", found)
+    assert len(pairs) == len(P.GIVEN["latin", "m"]) - 1
+    assert len({given for given, _, _ in pairs}) == 1 and all(a == b for _, a, b in pairs)
+    assert len({a for _, a, _ in pairs}) == len(pairs)
+
+
 def test_surrogates_are_distinct_and_never_real(spark):
     """More one-letter mailboxes than there are letters to draw, and both halves of a small space of numbers."""
     mails = [f"{c}@x.co" for c in "abcdefghijklmnopqrstuvwxyz0123456789"]
