@@ -31,6 +31,15 @@ def test_by_brute_force(spark):
         assert got[ix] == slow(text), text
 
 
+def test_many_matches_in_one_text(spark):
+    """More matches than are added up at once, also exactly as many."""
+    texts = ["x token=abcdef " * n + "AKIA" + "B" * 20 for n in (1, 255, 256, 257, 512, 2000)] + ["password: 0123456 😀" * 20_000]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    got = {r.doc_id: [tuple(s) for s in r.secrets] for r in S.scan_secrets(docs).collect()}
+    for ix, text in enumerate(texts):
+        assert got[ix] == slow(text)
+
+
 def test_trigram_queries():
     query = S.trigram_query
     assert query("AKIA[A-Z0-9]+") == [[frozenset({"aki", "kia"})]]
