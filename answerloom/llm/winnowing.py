@@ -16,12 +16,16 @@ WINDOW = 8
 #: rightmost is the least; the high bits hold the hash.
 PLACE_BITS = 28
 PLACES = (1 << PLACE_BITS) - 1
+#: Scripts written without blanks: every character is a word of its own.
+UNSPACED = r"\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}"
 BUCKETS_PER_PARTITION = 4
 
 
 def _grams(text: Column, gram: int) -> Column:
     """The packed hashes of every ``gram`` adjacent words; a shorter text is one gram."""
-    words = F.split(F.translate(F.lower(F.coalesce(text, F.lit(""))), "\t\n\x0b\x0c\r", "     "), " ")
+    said = F.translate(F.lower(F.coalesce(text, F.lit(""))), "\t\n\x0b\x0c\r", "     ")
+    apart = F.regexp_replace(said, rf"(?<=[{UNSPACED}])(?=[^ ])|(?<=[^ ])(?=[{UNSPACED}])", " ")
+    words = F.split(F.when(said.rlike(f"[{UNSPACED}]"), apart).otherwise(said), " ")
     hashes = F.transform(words, lambda w: F.xxhash64(w))
 
     def roll(a: Column) -> Column:

@@ -36,6 +36,15 @@ def test_shared_stretch_shares_a_hash(spark):
     assert sets[0] & sets[1] and sets[1] & sets[2]
 
 
+def test_scripts_without_blanks_share_stretches(spark):
+    draw = random.Random(2)
+    made = lambda n: "".join(chr(draw.randrange(0x4E00, 0x9000)) for _ in range(n))
+    shared = made(W.GRAM + W.WINDOW - 1)
+    texts = [made(7) + shared + made(30), "a1 " + made(20) + shared + "b2", made(40), "漢ab字 cd", "漢 ab 字 cd"]
+    sets = [set(r[0]) for r in spark.createDataFrame([(t,) for t in texts], "t string").select(W.hashes_of(W.winnow(F.col("t")))).collect()]
+    assert sets[0] & sets[1] and not sets[0] & sets[2] and sets[3] == sets[4]
+
+
 def test_edited_texts(spark, tiny):
     docs = spark.read.parquet(f"{tiny}/documents.parquet")
     rows = docs.select("doc_id", "text").orderBy("doc_id").collect()
