@@ -27,6 +27,7 @@ from answerloom.session import cut_lineage
 
 MAX_SENT_QUERIES = 16_384
 MAX_SENT_BYTES = 64 << 20
+MAX_SENT_CELLS = 1 << 16
 MERGE_GROUPS = 256
 CORPUS_BLOCK = 20_000
 QUERY_BLOCK = 4_096
@@ -80,11 +81,7 @@ def topk_ann(
     ``index`` carries the ``cell`` that :func:`assign_cells` gave its rows.
     """
     kept = index if where is None else index.where(where)
-    probing = queries.select(
-        query_key,
-        F.col(vector).alias("q"),
-        nearest_cells(vector, centroids, nprobe).alias("cells"),
-    )
+    probing = with_cells(queries.select(query_key, F.col(vector).alias("q")), centroids, "q", nprobe)
     found = _search(
         probing,
         kept.select(key, F.col(vector).alias("v"), "cell"),
@@ -112,8 +109,14 @@ def topk_pruned(
 
     A first search of the nearest cell gives each query a score to beat. No row
     of a cell scores above ``q.c + |q| * radius``, so cells whose bound lies
-    below that score are left out of the second search.
+    below that score are left out of the second search. With more centroids than
+    can be sent to every task nothing is pruned; the result is the same.
     """
+    if not _few(centroids):
+        return topk(
+            queries, index, k, query_key=query_key, key=key, vector=vector, columns=columns,
+            max_sent_queries=max_sent_queries,
+        )
     first = topk_ann(
         queries, index, centroids, k, 1, query_key=query_key, key=key, vector=vector,
         max_sent_queries=max_sent_queries,
@@ -215,16 +218,19 @@ def label_centroids(corpus: DataFrame, label: str, vector: str = "embedding") ->
     return cut_lineage(means)
 
 
+def _few(centroids: DataFrame) -> bool:
+    """Whether the centroids may be sent to every task; their number and size are looked at first."""
+    size = centroids.agg(
+        F.count(F.lit(1)).alias("rows"),
+        F.coalesce(F.sum(F.size("centroid") * F.lit(8).cast("bigint")), F.lit(0)).alias("bytes"),
+    ).first()
+    return size["rows"] <= MAX_SENT_CELLS and size["bytes"] <= MAX_SENT_BYTES
+
+
 def _centroid_matrix(centroids: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Cells and their centroids on the driver, refused beyond a fixed size."""
-    cells = centroids.count()
-    if cells > 1 << 16:
-        raise ValueError(f"{cells} centroids are too many to send to every task")
+    """Cells and their centroids on the driver; the caller has seen that they are few."""
     table = centroids.select("cell", "centroid").orderBy("cell").toArrow()
-    matrix = matrix_of(table.column("centroid"))
-    if matrix.nbytes > MAX_SENT_BYTES:
-        raise ValueError(f"{matrix.nbytes} bytes of centroids are too many to send to every task")
-    return keys_of(table.column("cell")).astype(np.int32), matrix
+    return keys_of(table.column("cell")).astype(np.int32), matrix_of(table.column("centroid"))
 
 
 def _distances(rows: np.ndarray, centroids: np.ndarray) -> np.ndarray:
@@ -238,7 +244,12 @@ def _rows(series) -> np.ndarray:
 
 
 def nearest_cells(vector: Column | str, centroids: DataFrame, nprobe: int = 1) -> Column:
-    """The ``nprobe`` nearest cells, nearest first; ties go to the smaller cell."""
+    """The ``nprobe`` nearest cells, nearest first; ties go to the smaller cell.
+
+    The centroids are sent to every task, so they must be few; :func:`with_cells` takes any number.
+    """
+    if not _few(centroids):
+        raise ValueError("too many centroids to send to every task, use with_cells")
     shared = centroids.sparkSession.sparkContext.broadcast(_centroid_matrix(centroids))
 
     @F.pandas_udf("array<int>")
@@ -257,13 +268,53 @@ def nearest_cells(vector: Column | str, centroids: DataFrame, nprobe: int = 1) -
     return nearest.asNondeterministic()(as_column(vector))
 
 
+def with_cells(
+    df: DataFrame, centroids: DataFrame, vector: str = "embedding", nprobe: int = 1, name: str = "cells"
+) -> DataFrame:
+    """``df`` with the :func:`nearest_cells` of every row, of any number of centroids.
+
+    More than can be sent to every task are searched like any large corpus, in blocks: the
+    squared distance, negated, is a dot product of vectors that are two entries longer.
+    """
+    if _few(centroids):
+        return df.withColumn(name, nearest_cells(vector, centroids, nprobe))
+
+    def square(v: Column) -> Column:
+        return F.aggregate(v, F.lit(0.0), lambda total, x: total + x * x)
+
+    rows = cut_lineage(df.withColumn("_row", F.monotonically_increasing_id()))
+    own, other = F.col(vector).cast("array<double>"), F.col("centroid").cast("array<double>")
+    asked = rows.where(own.isNotNull()).select(
+        "_row",
+        F.concat(F.transform(own, lambda x: 2 * x), F.array(-square(own), F.lit(-1.0))).alias("q"),
+        F.array(F.lit(0)).alias("cells"),
+    )
+    known = centroids.select(
+        F.col("cell").cast("int").alias("_cell"),
+        F.concat(other, F.array(F.lit(1.0), square(other))).alias("v"),
+        F.lit(0).alias("cell"),
+    )
+    schema = T.StructType(
+        [T.StructField("_row", T.LongType()), T.StructField("_cell", T.IntegerType()), T.StructField("score", T.DoubleType())]
+    )
+    near = _finish(_blocks(asked, known, nprobe, "_row", "_cell", schema), known, nprobe, "_row", "_cell", ())
+    in_order = F.sort_array(F.collect_list(F.struct("rk", "_cell")))
+    found = near.groupBy("_row").agg(F.transform(in_order, lambda hit: hit["_cell"]).alias("_found"))
+    return (
+        rows.join(found, "_row", "left")
+        .withColumn(name, F.col("_found"))
+        .drop("_row", "_found")
+    )
+
+
 def assign_cells(corpus: DataFrame, centroids: DataFrame, vector: str = "embedding") -> DataFrame:
     """Add the nearest ``cell``. Write the result partitioned by it to prune scans."""
-    return corpus.withColumn("cell", F.get(nearest_cells(vector, centroids, 1), F.lit(0)))
+    found = with_cells(corpus, centroids, vector, 1, "_cells")
+    return found.withColumn("cell", F.get("_cells", F.lit(0))).drop("_cells")
 
 
 def cell_radii(index: DataFrame, centroids: DataFrame, vector: str = "embedding") -> DataFrame:
-    """Centroids with the distance of the farthest row of their cell."""
+    """Centroids, few enough to send, with the distance of the farthest row of their cell."""
     shared = centroids.sparkSession.sparkContext.broadcast(_centroid_matrix(centroids))
 
     @F.pandas_udf("double")
@@ -280,7 +331,6 @@ def cell_radii(index: DataFrame, centroids: DataFrame, vector: str = "embedding"
 
 def _promising_cells(vector: str, floor: str, radii: DataFrame) -> Column:
     """Cells whose bound reaches ``floor``; all of them where it is NULL."""
-    _centroid_matrix(radii)
     table = radii.select("cell", "centroid", "radius").orderBy("cell").toArrow()
     shared = radii.sparkSession.sparkContext.broadcast(
         (
@@ -373,7 +423,8 @@ def _blocks(
 ) -> DataFrame:
     """Join bounded blocks of queries with bounded blocks of the corpus."""
     asked = queries.select(query_key, "q", F.explode("cells").alias("cell"))
-    sizes = F.broadcast(  # one row per cell, so as small as the centroids
+    # One row per cell, written so that the planner knows its size.
+    sizes = cut_lineage(
         corpus.groupBy("cell")
         .agg(F.ceil(F.count(F.lit(1)) / CORPUS_BLOCK).alias("c_slots"))
         .join(

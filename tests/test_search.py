@@ -72,6 +72,24 @@ def test_pruned_search_is_exact(small, sent):
     assert rows(got) == brute(queries, corpus, 5)
 
 
+def test_more_centroids_than_can_be_sent(spark, small, monkeypatch):
+    """Searched in blocks they give the same cells, and the searches the same rows."""
+    queries, corpus, q, c = small
+    centroids = S.train_centroids(c, 8)
+    more = c.union(spark.createDataFrame([(999, None)], c.schema))
+    sent = S.with_cells(more, centroids, nprobe=3).orderBy("id").collect()
+    monkeypatch.setattr(S, "MAX_SENT_CELLS", 7)
+    monkeypatch.setattr(S, "CORPUS_BLOCK", 3)
+    monkeypatch.setattr(S, "QUERY_BLOCK", 64)
+    assert S.with_cells(more, centroids, nprobe=3).orderBy("id").collect() == sent
+    with pytest.raises(ValueError, match="with_cells"):
+        S.nearest_cells("embedding", centroids)
+    index = S.assign_cells(c, centroids)
+    expected = brute(queries, corpus, 5)
+    assert rows(S.topk_ann(q, index, centroids, 5, nprobe=8)) == expected
+    assert rows(S.topk_pruned(q, index, centroids, 5)) == expected
+
+
 def test_string_keys_nulls_and_columns(spark):
     corpus = spark.createDataFrame(
         [("b", [1.0, 0.0], "B"), ("a", [1.0, 0.0], "A"), ("n", None, "N"), ("z", [0.0, 1.0], None)],
