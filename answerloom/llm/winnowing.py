@@ -16,16 +16,20 @@ WINDOW = 8
 #: rightmost is the least; the high bits hold the hash.
 PLACE_BITS = 28
 PLACES = (1 << PLACE_BITS) - 1
-#: Scripts written without blanks: every character is a word of its own.
-UNSPACED = r"\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}"
+#: Blocks of scripts written without blanks (Thai, Lao, Burmese, Khmer, kana, Chinese characters):
+#: every character is a word of its own. Texts without a character from the first of them on are
+#: not searched for them.
+UNSPACED = r"\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff\x{20000}-\x{3ffff}"
+BEYOND = r"[^\x00-\u0dff]"
 BUCKETS_PER_PARTITION = 4
 
 
 def _grams(text: Column, gram: int) -> Column:
     """The packed hashes of every ``gram`` adjacent words; a shorter text is one gram."""
-    said = F.translate(F.lower(F.coalesce(text, F.lit(""))), "\t\n\x0b\x0c\r", "     ")
-    apart = F.regexp_replace(said, rf"(?<=[{UNSPACED}])(?=[^ ])|(?<=[^ ])(?=[{UNSPACED}])", " ")
-    words = F.split(F.when(said.rlike(f"[{UNSPACED}]"), apart).otherwise(said), " ")
+    between = rf"(?<=[{UNSPACED}])(?=[^ ])|(?<=[^ ])(?=[{UNSPACED}])"
+    plain = F.translate(F.lower(F.coalesce(text, F.lit(""))), "\t\n\x0b\x0c\r", "     ")
+    said = let(plain, lambda t: F.when(t.rlike(BEYOND), F.regexp_replace(t, F.lit(between), F.lit(" "))).otherwise(t))
+    words = F.split(said, " ")
     hashes = F.transform(words, lambda w: F.xxhash64(w))
 
     def roll(a: Column) -> Column:
