@@ -14,12 +14,10 @@ WITH_SQL = [name for name, entry in REGISTRY.items() if entry.sql is not None]
 
 
 @pytest.fixture(scope="module")
-def database(request):
-    from conftest import TINY
-
+def database(tiny):
     connection = duckdb.connect()
     for name in TABLES:
-        connection.sql(f"CREATE VIEW {name} AS SELECT * FROM '{TINY}/{name}.parquet'")
+        connection.sql(f"CREATE VIEW {name} AS SELECT * FROM '{tiny}/{name}.parquet'")
     return connection
 
 
