@@ -16,6 +16,8 @@ SEED = "mix"
 #: Hex digits of the drawing key that one round of the cut's search looks at, and the rounds.
 DIGITS = 2
 ROUNDS = 3
+#: A cut after every key.
+ALL = "g"
 
 
 def word_count(text: Column) -> Column:
@@ -84,20 +86,22 @@ def water_fill(sources: DataFrame, max_epochs: float = MAX_EPOCHS) -> DataFrame:
 def _cuts(rows: DataFrame, sources: DataFrame) -> DataFrame:
     """Add ``cut`` and ``filler``: documents with a key up to the one or equal to the other get one more repetition.
 
-    ``sources`` has ``source_key`` and ``left``, the words to draw. The cut is searched digit by
+    ``sources`` has ``source_key``, ``source_size`` and ``left``, the words to draw. The cut is searched digit by
     digit: a round sums sizes by source and the next digits of the key, finds where the running
     sum passes what is to be drawn, and goes on below these digits. Each round pre-aggregates, so
     a source of any share of the rows is summed by all tasks; the running sum of a source has at
     most 256 rows. After the last round only the few keys that share all digits are looked at one
     by one. What is then still missing is filled by the undrawn key whose size comes nearest, if
-    any comes nearer than none. Equal keys are drawn together.
+    any comes nearer than none. Equal keys are drawn together. A remainder that a round meets
+    exactly goes on as 0, so the cut ends before the next key that has words; a source of which
+    all words are to be drawn has no such key and is cut after every key.
     """
-    state = sources.select("source_key", F.lit("").alias("prefix"), "left")
+    state = sources.where("left > 0").select("source_key", F.lit("").alias("prefix"), "left")
     for depth in range(ROUNDS):
         digits = F.substring("key", depth * DIGITS + 1, DIGITS)
         sums = (
             rows.join(state, "source_key")
-            .where(F.col("key").startswith(F.col("prefix")) & (F.col("left") > 0))
+            .where(F.col("key").startswith(F.col("prefix")))
             .groupBy("source_key", "prefix", "left", digits.alias("digits"))
             .agg(F.sum("size").alias("size"))
         )
@@ -141,7 +145,7 @@ def _cuts(rows: DataFrame, sources: DataFrame) -> DataFrame:
     return (
         sources.join(last.select("source_key", "cut"), "source_key", "left")
         .join(filler, "source_key", "left")
-        .withColumn("cut", F.coalesce("cut", F.lit("")))
+        .withColumn("cut", F.when((F.col("left") > 0) & (F.col("left") >= F.col("source_size")), ALL).otherwise(F.coalesce("cut", F.lit(""))))
         .withColumn("filler", F.coalesce("filler", F.lit("")))
     )
 

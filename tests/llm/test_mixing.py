@@ -51,3 +51,21 @@ def test_skewed_sources_equal_sql(spark):
     documents = docs.toPandas()  # noqa: F841
     expected = {r[0]: (r[1], r[2], round(r[3], 6), r[4]) for r in duckdb.sql(f"WITH documents AS (SELECT CAST(doc_id AS BIGINT) AS doc_id, text, source FROM documents) SELECT doc_id, size, source_size, target, taken FROM ({OP2_SQL})").fetchall()}
     assert got == expected
+
+
+def test_sums_that_meet_the_remainder_equal_sql(spark):
+    """Equal one-word documents: the running sum of a bucket of keys often is exactly what is to be drawn."""
+    rows = [(100 * s + i, "w", f"s{s:02}") for s in range(24) for i in range(50)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    got = {r.doc_id: (r["size"], r.source_size, round(r.target, 6), r.taken) for r in M.mix_counts(docs).collect()}
+    documents = docs.toPandas()  # noqa: F841
+    expected = {r[0]: (r[1], r[2], round(r[3], 6), r[4]) for r in duckdb.sql(f"SELECT doc_id, size, source_size, target, taken FROM ({OP2_SQL})").fetchall()}
+    wrong = {key // 100 for key in got if got[key] != expected[key]}
+    assert not wrong, f"{len(wrong)} of 24 sources differ"
+    assert len(got) == len(expected) == len(rows)
+
+
+def test_a_remainder_of_all_words_draws_every_document(spark):
+    rows = spark.createDataFrame([("0a", k, 1) for k in ("0" * 32, "7" * 32, "f" * 32)], "source_key string, key string, size bigint")
+    sources = spark.createDataFrame([("0a", 3, 3)], "source_key string, source_size bigint, left bigint")
+    assert rows.join(M._cuts(rows, sources), "source_key").where("key <= cut").count() == 3
