@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
 from functools import reduce
@@ -10,7 +11,7 @@ from functools import reduce
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from answerloom.llm._common import free_name
@@ -122,25 +123,29 @@ def item_windows(
 ) -> Iterator[tuple[int, int, int]]:
     """``start``, ``n_words``, fingerprint of a document's windows of the items' sizes.
 
-    A window that shares too few shingles with all items together to be as similar as
-    ``similarity`` to any of them is not fingerprinted: of n shingles on either side at least
-    2nt/(1+t) must be shared.
+    Items longer than the document are compared with all of it, as one window. A window that
+    shares too few shingles with all items together to be as similar as ``similarity`` to any of
+    them is not fingerprinted: of m and n shingles at least (m+n)t/(1+t) must be shared.
     """
     if not words:
         return
     hashes = _hashed(words, memo)
     by_width: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-    for size in sizes:
-        if size > len(words):
-            continue
+    at = bisect_right(sizes, len(words))
+    wanted = [(size, size) for size in sizes[:at]]
+    if at < len(sizes) and len(words) >= SHINGLE_WORDS and len(words) not in sizes[:at][-1:]:
+        wanted.append((len(words), sizes[at]))
+    for size, of_item in wanted:
         width, count = shingle_count(size)
+        need = int(np.ceil((2 * count + of_item - size) * similarity / (1 + similarity) - 1e-9))
+        if need > count:
+            continue
         if width not in by_width:
             shingles = _shingle_hashes(hashes, width)
             by_width[width] = shingles, np.concatenate(([0], _known(filter_words, shingles).cumsum()))
         shingles, upto = by_width[width]
         if not upto[-1]:
             continue
-        need = int(np.ceil(2 * count * similarity / (1 + similarity) - 1e-9))
         starts = np.nonzero(upto[count:] - upto[: len(upto) - count] >= need)[0]
         if len(starts):
             for start, fp in zip(starts.tolist(), _simhashes(shingles, starts, count).tolist(), strict=True):
@@ -148,7 +153,7 @@ def item_windows(
 
 
 def _windows(docs: DataFrame, text: str, keys: list[str], items: DataFrame, similarity: float) -> DataFrame:
-    """Windows of ``docs`` with ``keys``, ``start``, ``n_words``, ``fp``, ``words``."""
+    """Windows of ``docs`` with ``keys``, ``start``, ``n_words``, ``fp``, ``words``, ``whole`` (all of the document)."""
     sizes = sorted(r["n_words"] for r in items.where("n_words > 0").select("n_words").distinct().collect())
     context = docs.sparkSession.sparkContext
     shared = context.broadcast((sizes, _filter(items)))
@@ -159,21 +164,35 @@ def _windows(docs: DataFrame, text: str, keys: list[str], items: DataFrame, simi
         lengths, known = shared.value
         memo = _Hashes()
         for batch in batches:
-            rows, starts, counts, prints, joined = [], [], [], [], []
+            rows, starts, counts, prints, joined, whole = [], [], [], [], [], []
             for row, one in enumerate(batch.column(len(keys)).to_pylist()):
                 words = words_of(one)
                 for start, size, fp in item_windows(words, lengths, known, similarity, memo):
                     rows.append(row), starts.append(start), counts.append(size), prints.append(fp)
-                    joined.append(" ".join(words[start : start + size]))
+                    joined.append(" ".join(words[start : start + size])), whole.append(size == len(words))
             if rows:
                 taken = pa.array(rows, pa.int64())
                 yield pa.RecordBatch.from_arrays(
                     [*(batch.column(ix).take(taken) for ix in range(len(keys))), pa.array(starts, pa.int32()),
-                     pa.array(counts, pa.int32()), pa.array(prints, pa.int64()), pa.array(joined, pa.string())],
-                    [*keys, "start", "n_words", "fp", "words"],
+                     pa.array(counts, pa.int32()), pa.array(prints, pa.int64()), pa.array(joined, pa.string()), pa.array(whole, pa.bool_())],
+                    [*keys, "start", "n_words", "fp", "words", "whole"],
                 )
 
-    return docs.select(*keys, text).mapInArrow(run, f"{head}, start int, n_words int, fp bigint, words string")
+    return docs.select(*keys, text).mapInArrow(run, f"{head}, start int, n_words int, fp bigint, words string, whole boolean")
+
+
+def _sized(df: DataFrame, name: str, key: str, similarity: float, whole: Column, steps: int) -> DataFrame:
+    """``name`` and ``fp`` of ``key`` under each ``n_words`` by which ``hamming_pairs`` is to find them.
+
+    Besides their own size, rows that are ``whole`` come under ``steps`` steps of shingle counts,
+    written below 0. A step is a factor of 1/t, so a document whose shingles are at least a share t
+    of an item's is on the item's step or on the one before.
+    """
+    step = F.floor(F.log(F.col("n_words") - (SHINGLE_WORDS - 1.0)) / F.log(F.lit(1 / max(similarity - 1e-6, 1e-9)))).cast("int")
+    own = F.array("n_words")
+    more = F.array("n_words", *(-1 - step - ix for ix in range(steps)))
+    sizes = F.when(whole & (F.col("n_words") >= SHINGLE_WORDS), more).otherwise(own)
+    return df.select(F.col(key).alias(name), "fp", F.explode(sizes).alias("n_words"))
 
 
 def _blocks(radius: int) -> list[tuple[int, int]]:
@@ -249,8 +268,9 @@ def find_passages(
 ) -> DataFrame:
     """``keys``, ``item_id``, ``similarity``, ``start``, ``n_words``, ``bits``: the best window for each pair.
 
-    The best window is the most similar, then the first. Rows with equal keys are one document;
-    keys may be null. Null or wordless texts and items match nothing, an item of fewer than five
+    An item is compared with the windows of its size, or with the whole of a document that is
+    shorter. The best window is the most similar, then the first. Rows with equal keys are one document;
+    keys and ids of items may be null. Null or wordless texts and items match nothing, an item of fewer than five
     words is one shingle, items with equal texts are all found, and empty tables give an empty
     result. Other columns are not looked at. Documents stay where they are: only windows that
     may match are written and joined.
@@ -260,16 +280,21 @@ def find_passages(
             _item_rows,
             f"item_id {benchmark.schema[item_id].dataType.simpleString()}, "
             "n_words int, fp bigint, words string, shingles array<bigint>",
-        )
+        ).withColumn("item", F.monotonically_increasing_id())
     ).where("n_words > 0")
     windows = cut_lineage(
         _windows(docs, text, keys, items, similarity).withColumn("window", F.monotonically_increasing_id())
     )
-    pairs = hamming_pairs(windows, items, radius)
-    texts = items.select("item_id", F.col("words").alias("item_words")).distinct()
+    pairs = hamming_pairs(
+        _sized(windows, "window", "window", similarity, F.col("whole"), 2),
+        _sized(items, "item_id", "item", similarity, F.lit(True), 1),
+        radius,
+    ).withColumnRenamed("item_id", "item")
+    texts = items.select("item", "item_id", F.col("n_words").alias("item_size"), F.col("words").alias("item_words"))
     compared = (
         pairs.join(windows.select(*keys, "start", "n_words", "window", "words"), "window")
-        .join(texts, "item_id")
+        .join(texts, "item")
+        .where("item_size >= n_words")
         .select(*keys, "item_id", "start", "n_words", "bits", "words", "item_words")
     )
     head = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in compared.schema.fields[:-2])

@@ -86,3 +86,42 @@ def test_awkward_rows(spark, awkward, nothing):
     empty = spark.createDataFrame([], "item_id bigint, text string")
     assert D.drop_contaminated(awkward, empty).count() == awkward.count()
     assert D.find_passages(nothing, bench, ["doc_id"]).collect() == []
+
+
+def test_items_longer_than_the_document_by_brute_force(spark):
+    """Documents that are an item less some words, at either end or within, are compared as a whole."""
+    draw = random.Random(5)
+    made = lambda n: [draw.choice(VOCABULARY) for _ in range(n)]
+    items = [(i, " ".join(made(n))) for i, n in enumerate([40, 41, 60, 37, 7, 6, 3, 200])]
+    docs = []
+    for item, text in items:
+        words = text.split()
+        for k, cut in enumerate([1, 3, len(words) // 15, len(words) // 2]):
+            docs.append((100 * item + 10 * k, " ".join(words[: len(words) - cut])))
+            docs.append((100 * item + 10 * k + 1, " ".join(words[cut:])))
+            docs.append((100 * item + 10 * k + 2, " ".join(made(1) + words[cut:-1])))
+    items.append((90, " ".join(docs[0][1].split() + made(2))))
+
+    expected = {}
+    for doc, text in docs:
+        words = D.words_of(text)
+        for item, wanted in items:
+            size = min(len(words), len(D.words_of(wanted)))
+            best = max((D.similarity_of(" ".join(words[i : i + size]), wanted) for i in range(len(words) - size + 1) if size), default=0)
+            if best >= 0.8:
+                expected[doc, item] = best
+    got = D.find_passages(
+        spark.createDataFrame(docs, "doc_id bigint, text string"),
+        spark.createDataFrame(items, "item_id bigint, text string"),
+        ["doc_id"],
+    ).collect()
+    assert {(r.doc_id, r.item_id): round(r.similarity, 9) for r in got} == {k: round(v, 9) for k, v in expected.items()}
+    assert {(10, 0), (11, 0), (210, 2), (710, 7)} <= expected.keys()
+
+
+def test_items_without_an_id_contaminate(spark):
+    words = [f"x{i}" for i in range(40)]
+    docs = spark.createDataFrame([(1, " ".join(words)), (2, " ".join(words[:37])), (3, "something else altogether, and not short")], "doc_id bigint, text string")
+    bench = spark.createDataFrame([(None, " ".join(words))], "item_id bigint, text string")
+    assert sorted((r.doc_id, r.item_id) for r in D.find_passages(docs, bench, ["doc_id"]).collect()) == [(1, None), (2, None)]
+    assert [r.doc_id for r in D.drop_contaminated(docs, bench).collect()] == [3]
