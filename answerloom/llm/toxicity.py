@@ -32,9 +32,13 @@ GAPS = " .-_*'~^"
 READ, DROP, CLOSE, BREAK, REPEAT, MASK = 0.7, 9.0, 0.3, 5.0, 0.4, 2.5
 BEAM = 24
 EDGES = ".,;:!?\"'()[]{}<>|&%#*/\\~^=+-_…«»“”‘’"
+DOUBLED = re.compile(r"([^\W\d_])\1")
 REPEATED = re.compile(r"([^\W\d_])\1\1")
-SPACED = re.compile(r"(?<![^\s\"'(])[^\W_](?:[ .*_-]{1,3}[^\W_]){2,}(?![^\s.,;:!?\"')])")
-PAUSE = re.compile(r"[ .*_-]+")
+#: A letter, digit or sign that may stand for one, and what may lie between two of a word: any run of blanks and ``GAPS``.
+_LETTER = f"(?:[^\\W_]|[{re.escape(''.join(sign for sign in LEET if not sign.isalnum()))}])"
+_PAUSE = rf"[\s{re.escape(GAPS)}]+"
+SPACED = re.compile(rf"(?<![^\s\"'(]){_LETTER}(?:{_PAUSE}+{_LETTER}){{2,}}(?![^\s.,;:!?\"')])")
+PAUSE = re.compile(_PAUSE)
 JUNK = re.compile(r"([^\w\s])\1{2,}")
 #: Words a task counts before it hands its counts on.
 FLUSH = 500_000
@@ -176,27 +180,31 @@ class Restorer:
         start = bare.find(word)
         if start > 0 and bare[start - 1] in LEET:
             word = bare[start - 1] + word
-        return [word] if word.isalpha() and not REPEATED.search(word) else self._read(word)
+        return self._letters(word) if word.isalpha() else self._read(word)
+
+    def _letters(self, token: str) -> list[str]:
+        """A token of letters alone: as written, unless it is stretched, and if a letter is doubled, as read."""
+        if not DOUBLED.search(token):
+            return [token]
+        return self._read(token) if REPEATED.search(token) else [token, *self._read(token)]
 
     def words(self, text: str | None) -> set[str]:
         """The distinct words of a text, lower-cased, as written and as restored.
 
-        Letters standing alone are read together, and once more without the first and without the
-        last, which may be words of their own.
+        Letters and signs standing alone are read together, and again without the first, the last
+        and both, which may be words or signs of their own.
         """
         low = (text or "").lower()
         found: set[str] = set()
         for run in SPACED.findall(low) if SPACED.search(low) else ():
             letters = PAUSE.split(run)
-            for part in (letters, letters[1:], letters[:-1]) if len(letters) > 3 else (letters,):
+            if not any(map(str.isalnum, letters)):
+                continue
+            for part in (letters, letters[1:], letters[:-1], letters[1:-1]) if len(letters) > 3 else (letters,):
                 found.update(self._read(" ".join(part)))
-        stretched = REPEATED.search(low) is not None
         for token in set(low.split()):
             if token.isalpha():
-                if stretched and REPEATED.search(token):
-                    found.update(self._read(token))
-                else:
-                    found.add(token)
+                found.update(self._letters(token))
             else:
                 found.update(self._noisy(token))
         return found

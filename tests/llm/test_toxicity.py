@@ -31,6 +31,21 @@ def test_restores_words(model, written, word):
     assert model.score(words) > 0.5
 
 
+@pytest.mark.parametrize(
+    "written,word",
+    [("iddiott", "idiot"), ("stuupiid!", "stupid"), ("$ t u p i d", "stupid"), ("m 0 r @ n, tr@sh", "trash"), ("i d ! o t", "idiot"),
+     ("i    d    i    o    t", "idiot"), ("i\td\ti\to\tt", "idiot"), ("m\no\nr\no\nn", "moron"), ("a i d i o t !", "idiot"), ("i~d~i~o~t", "idiot")],
+)
+def test_restores_doubled_and_spaced_words(model, written, word):
+    words = X.Restorer(model.costs).words(f"this {written} is here")
+    assert word in words and "here" in words
+    assert model.score(words) > 0.5
+
+
+def test_doubled_words_stay_as_written(model):
+    assert {"all", "letters", "happy"} <= X.Restorer(model.costs).words("all letters, happy")
+
+
 def test_clean_text_stays_clean(model):
     read = X.Restorer(model.costs).words
     assert model.score(read("the garden is nice, version 2.0 costs $5 and 1,000 came.")) < 0.5
