@@ -282,13 +282,15 @@ def _rendered(hit: Column, known: Column) -> Column:
 
 
 def _alone(gap: Column, known: Column) -> Column:
-    """What lies between matches, with surnames of the text's persons replaced, alone or as parts of a name.
+    """What lies between matches, with names of the text's persons replaced, alone or as parts of a name.
 
+    A word that is both a surname and a given name of the text is taken as the surname.
     The capitalised words are looked up one by one, so it takes one pass whatever the number of names.
     """
 
     def lookup(word: Column) -> Column:
-        return F.element_at(known, F.concat(F.lit("surname:"), F.lower(word)))
+        kinds = ("surname", "given_m", "given_f", "given_x")
+        return F.coalesce(*(F.element_at(known, F.concat(F.lit(f"{kind}:"), F.lower(word))) for kind in kinds))
 
     def part(word: Column) -> Column:
         return let(lookup(word), lambda said: F.when(said.isNull(), word).otherwise(_cased(said, word)))
@@ -305,8 +307,8 @@ def _alone(gap: Column, known: Column) -> Column:
 
 
 def _rewritten(text: Column, hits: Column, known: Column) -> Column:
-    """``text`` with every match rendered, and surnames of its persons replaced where they stand alone."""
-    named = F.exists(F.map_keys(known), lambda key: key.startswith("surname:"))
+    """``text`` with every match rendered, and names of its persons replaced where they stand alone."""
+    named = F.exists(F.map_keys(known), lambda key: key.startswith("surname:") | key.startswith("given_"))
     gaps = F.split(text, ANY, -1)
     pieces = F.zip_with(
         F.when(named, F.transform(gaps, lambda gap: _alone(gap, known))).otherwise(gaps),

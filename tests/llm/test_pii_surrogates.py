@@ -53,6 +53,15 @@ def test_names_written_in_other_ways(spark):
     assert found.endswith("Jones. Goldsmith Smithers smith 1Smith")
 
 
+def test_later_mentions_by_given_name_alone(spark):
+    """A given name alone means the person of the text; a word that is a surname too is taken as that."""
+    a, b = replaced(spark, ["Mr. John Smith came. John sat down, JOHN's hat. Mrs. Xenia Paul and Paul Jones; Xenia, Paul.", "John stays."])
+    said = re.match(r"Mr\. (\w+) (\w+) came\. (\w+) sat down, (\w+)'s hat\. Mrs\. (\w+) (\w+) and (\w+) (\w+); (\w+), (\w+)\.", a).groups()
+    assert said[0] == said[2] and said[3] == said[0].upper() and said[0] != "John"
+    assert said[4] == said[8] and said[5] == said[9] != said[6]
+    assert not re.search("(?i)john|smith|xenia|paul|jones", a) and b == "John stays."
+
+
 def test_given_surrogate_is_not_replaced_again(spark):
     """A listed given name may be a real surname of the same text; each keeps its own surrogate."""
     text = " ".join(f"Mr. Hans {name}, {name}." for name in P.GIVEN["latin", "m"] if name != "Hans")
