@@ -15,6 +15,7 @@ from answerloom.llm import (
     secret_scan,
     sharding,
     simhash_dedup,
+    token_alignment,
     toxicity,
     url_filter,
     winnowing,
@@ -237,6 +238,17 @@ def op10_sharding(spark: SparkSession, directory: str) -> DataFrame:
     return sharding.shard_documents(scan(spark, directory, "documents"))
 
 
+#: Where the public vocabularies are.
+TOKENIZERS = "/opt/tokenizers"
+
+
+def op12_token_alignment(spark: SparkSession, directory: str, tokenizers: str = TOKENIZERS) -> DataFrame:
+    """Groups and links of two tokenizers' tokens in every document, with corpus-wide link counts."""
+    files = token_alignment.Vocabularies.read(f"{tokenizers}/byte_bpe_50k.json", f"{tokenizers}/piece_bpe_32k.model")
+    found = token_alignment.align(scan(spark, directory, "documents"), files, digest=True)
+    return found.withColumnRenamed("groups", "groups_sha256")
+
+
 QUERIES: dict[str, Query] = {
     "op1_toxicity": op1_toxicity,
     "op2_mix_sources": op2_mix_sources,
@@ -248,6 +260,7 @@ QUERIES: dict[str, Query] = {
     "op8_winnowing": op8_winnowing,
     "op9_language_id": op9_language_id,
     "op10_sharding": op10_sharding,
+    "op12_token_alignment": op12_token_alignment,
 }
 
 SQL: dict[str, str] = {"op2_mix_sources": OP2_SQL, "op4_url_filter": OP4_SQL, "op6_secret_scan": OP6_SQL}
