@@ -8,10 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from answerloom.llm import (
+    collocations,
     decontamination,
     language_id,
     mixing,
     pii_surrogates,
+    quality_neighbours,
     secret_scan,
     sharding,
     simhash_dedup,
@@ -238,6 +240,47 @@ def op10_sharding(spark: SparkSession, directory: str) -> DataFrame:
     return sharding.shard_documents(scan(spark, directory, "documents"))
 
 
+def op11_collocations(spark: SparkSession, directory: str) -> DataFrame:
+    """The best phrases of each language, by the lowest score of their cuts in two."""
+    return collocations.mine(scan(spark, directory, "documents"))
+
+
+OP11_SQL = r"""
+WITH p AS (
+  SELECT coalesce(lang, 'und') AS lang,
+         unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                   '[.,;:!?\x0A-\x0D]')) AS piece
+  FROM documents
+),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS words FROM p),
+g AS (
+  SELECT lang, k, unnest(list_transform(range(1, len(words) - k + 2), lambda i: array_to_string(words[i:i + k - 1], ' '))) AS phrase
+  FROM w, range(1, 6) sizes(k) WHERE len(words) >= k
+),
+f AS (SELECT lang, k, phrase, count(*) AS f FROM g GROUP BY ALL HAVING count(*) >= 100),
+n AS (SELECT lang, CAST(sum(len(words)) AS BIGINT) AS n FROM w GROUP BY lang),
+c AS (SELECT lang, k AS size, phrase, f AS a, string_split(phrase, ' ') AS words FROM f WHERE k >= 2),
+cut AS (
+  SELECT c.*, j AS k, array_to_string(words[1:j], ' ') AS first, array_to_string(words[j + 1:size], ' ') AS rest
+  FROM c, range(1, 5) cuts(j) WHERE j < size
+),
+scored AS (
+  SELECT cut.lang, cut.phrase, cut.size, a, cut.k, l.f AS l, r.f AS r, n,
+         CAST((1000::HUGEINT * a * n) // (l.f::HUGEINT * r.f) AS BIGINT) AS score
+  FROM cut JOIN f l ON l.lang = cut.lang AND l.phrase = first JOIN f r ON r.lang = cut.lang AND r.phrase = rest
+  JOIN n ON n.lang = cut.lang
+),
+lowest AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+kept AS (
+  SELECT * FROM lowest WHERE NOT EXISTS (
+    SELECT 1 FROM c WHERE c.lang = lowest.lang AND c.size > lowest.size AND 100 * c.a >= 100 * lowest.a
+      AND contains(' ' || c.phrase || ' ', ' ' || lowest.phrase || ' '))
+),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept)
+SELECT lang, rank, phrase, a, l, r, n, score FROM ranked WHERE rank <= 2000
+"""
+
+
 #: Where the public vocabularies are.
 TOKENIZERS = "/opt/tokenizers"
 
@@ -249,6 +292,18 @@ def op12_token_alignment(spark: SparkSession, directory: str, tokenizers: str =
     return found.withColumnRenamed("groups", "groups_sha256")
 
 
+def op13_quality_neighbours(spark: SparkSession, directory: str) -> DataFrame:
+    """Quality of every document, by votes of labelled documents whose fold is not 0."""
+    documents = scan(spark, directory, "documents")
+    model = quality_neighbours.fit(documents, scan(spark, directory, "labels").where(fold_of("doc_id", 5) != 0))
+    return quality_neighbours.score_texts(documents, model, ["doc_id"]).select(
+        "doc_id",
+        (fold_of("doc_id", 5) == 0).alias("held_out"),
+        "score",
+        (F.col("score") >= 0.3).cast("int").alias("predicted"),
+    )
+
+
 QUERIES: dict[str, Query] = {
     "op1_toxicity": op1_toxicity,
     "op2_mix_sources": op2_mix_sources,
@@ -260,7 +315,14 @@ QUERIES: dict[str, Query] = {
     "op8_winnowing": op8_winnowing,
     "op9_language_id": op9_language_id,
     "op10_sharding": op10_sharding,
+    "op11_collocations": op11_collocations,
     "op12_token_alignment": op12_token_alignment,
+    "op13_quality_neighbours": op13_quality_neighbours,
 }
 
-SQL: dict[str, str] = {"op2_mix_sources": OP2_SQL, "op4_url_filter": OP4_SQL, "op6_secret_scan": OP6_SQL}
+SQL: dict[str, str] = {
+    "op2_mix_sources": OP2_SQL,
+    "op4_url_filter": OP4_SQL,
+    "op6_secret_scan": OP6_SQL,
+    "op11_collocations": OP11_SQL,
+}
