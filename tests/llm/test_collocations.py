@@ -119,6 +119,25 @@ def test_frequent_words_are_joined_where_they_are_too_many_to_send(spark, monkey
     assert sorted(map(tuple, C.mine(docs, least=20).collect())) == sent and len(sent) > 50
 
 
+def test_pairs_are_never_missed_and_few_pass():
+    draw = np.random.default_rng(8)
+    grams = draw.integers(0, 5000, (20_000, 2))
+    bits = np.zeros(1 << (C.PAIR_BITS - 6), np.uint64)
+    for place in C.PairFilter.places("en", grams[:10_000]):
+        np.bitwise_or.at(bits, place >> np.uint64(6), np.uint64(1) << (place & np.uint64(63)))
+    pairs = C.PairFilter(bits)
+    assert pairs.holds("en", grams[:10_000]).all()
+    assert pairs.holds("en", grams[10_000:]).mean() < 0.01 and pairs.holds("de", grams[:10_000]).mean() < 0.01
+
+
+def test_longer_runs_need_allowed_pairs():
+    ids = np.array([1, 2, 3, 4, -1, 2, 3, 4, 1, 2])
+    every = {tuple(g): n for grams, counts in C.count_phrases(ids, 4) for g, n in zip(grams.tolist(), counts.tolist())}
+    assert every[2, 3, 4] == 2 and every[1, 2] == 2 and every[1, 2, 3, 4] == 1 and (4, 2) not in every
+    some = {tuple(g) for grams, _ in C.count_phrases(ids, 4, lambda grams: ~((grams == [3, 4]).all(axis=1))) for g in grams.tolist()}
+    assert some == {(1, 2), (2, 3), (3, 4), (4, 1), (1, 2, 3), (4, 1, 2)}
+
+
 def test_scores_beyond_64_bits(spark):
     rows = [(10**12, 10**15, 2 * 10**12, 3 * 10**12), (123456789012, 98765432109876, 234567890123, 345678901234), (1, 1, 1, 1)]
     found = spark.createDataFrame(rows, "a bigint, n bigint, l bigint, r bigint").select(
