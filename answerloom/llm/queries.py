@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import secrets
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -211,9 +212,14 @@ FROM d LEFT JOIN t USING (row)
 """
 
 
+#: Where a session names the secret that surrogates are made with; without one a new secret is drawn.
+SURROGATE_KEY = "spark.answerloom.surrogate.key"
+
+
 def op7_pii_surrogates(spark: SparkSession, directory: str) -> DataFrame:
     """Every document with its personal data replaced."""
-    return pii_surrogates.replace_entities(scan(spark, directory, "documents"))
+    key = spark.conf.get(SURROGATE_KEY, None) or secrets.token_hex(16)
+    return pii_surrogates.replace_entities(scan(spark, directory, "documents"), key)
 
 
 def op8_winnowing(spark: SparkSession, directory: str) -> DataFrame:
