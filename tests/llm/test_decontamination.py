@@ -70,6 +70,32 @@ def test_no_pair_within_the_radius_is_missed(spark):
     assert sorted(got) == sorted(expected)
 
 
+def test_few_pairs_are_candidates(spark):
+    """Random fingerprints of one size: about one pair in twenty meets, where one value of sixteen would let all meet."""
+    draw = random.Random(3)
+    left = spark.createDataFrame([(w, draw.getrandbits(64) - (1 << 63), 10) for w in range(1500)], "window bigint, fp bigint, n_words int")
+    right = spark.createDataFrame([(i, draw.getrandbits(64) - (1 << 63), 10) for i in range(400)], "item_id bigint, fp bigint, n_words int")
+    assert D.hamming_candidates(left, right).count() <= 0.05 * 1500 * 400
+
+
+def test_recall_by_band_of_similarity():
+    """Texts as similar as the threshold mostly lie within the radius, more similar ones nearly always."""
+    draw, memo = random.Random(6), D._Hashes()
+    print_of = lambda words: D._simhashes(D._shingle_hashes(D._hashed(words, memo), 5), np.array([0]), len(words) - 4)[0]
+    near = {0.80: [], 0.85: [], 0.9: []}
+    while min(map(len, near.values())) < 250:
+        words = [draw.choice(VOCABULARY) for _ in range(draw.randrange(40, 200))]
+        edited = list(words)
+        for _ in range(draw.randrange(1, 5)):
+            edited[draw.randrange(len(edited))] = "new"
+        similar = D.similarity_of(" ".join(words), " ".join(edited))
+        band = max((b for b in near if similar >= b), default=None)
+        if band is not None:
+            apart = np.int64(print_of(words)) ^ np.int64(print_of(edited))
+            near[band].append(int(apart & np.int64(2**63 - 1)).bit_count() + int(apart < 0) <= D.RADIUS)
+    assert np.mean(near[0.80]) > 0.95 and np.mean(near[0.85]) > 0.98 and np.mean(near[0.9]) > 0.99
+
+
 def test_filter_misses_no_shingle(spark):
     items = spark.createDataFrame([(list(map(int, np.arange(500) * 7919**4)),)], "shingles array<bigint>")
     hashes = np.array(items.first().shingles, np.int64).view(np.uint64)
