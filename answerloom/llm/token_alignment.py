@@ -29,7 +29,7 @@ from answerloom.llm._common import free_name
 from answerloom.session import cut_lineage
 
 #: Bytes of text in a block. A longer document is a block of its own.
-BLOCK = 2 << 20
+BLOCK = 1 << 20
 #: Fixed value: how the byte-level vocabulary cuts text before its merges.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: A blank at either end or beside other white space: such texts are not cut at blanks.
