@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from answerloom.functions.columns import as_column, let
 from answerloom.functions.prompts import SUMMARY_PROMPT, render_prompt
 from answerloom.functions.text import sentence_array, token_array
+from answerloom.session import cut_lineage, folder_exists
 
 # A batch model is loaded by a function without arguments, once per task, and
 # then maps prompts to answers. A column model is an expression.
@@ -109,6 +110,40 @@ def map_model(
     return df.withColumn(output, apply_model(F.col(prompt), model))
 
 
+def map_model_once(
+    df: DataFrame,
+    prompt: str,
+    model: str | BatchModel,
+    answers: str,
+    *,
+    alias: str = "",
+    output: str = "answer",
+) -> DataFrame:
+    """:func:`map_model` that asks for each distinct prompt once, ever.
+
+    Answers are kept in the folder ``answers`` by a hash of prompt and ``alias`` (which names the
+    model and its settings); prompts that have none yet are answered and appended before
+    anything is returned. Rows that share a prompt, in this run or a later one, share its answer.
+    A run that was lost half-way has appended nothing and is repeated.
+    """
+    spark = df.sparkSession
+    digest = F.sha2(F.concat(F.lit(f"{alias}\x00"), F.col(prompt)).cast("binary"), 256)
+    schema = "_digest string, _answer string"
+    kept = folder_exists(spark, answers)
+    asked = df.where(F.col(prompt).isNotNull()).select(digest.alias("_digest"), F.col(prompt).alias("_prompt"))
+    new = asked.groupBy("_digest").agg(F.min("_prompt").alias("_prompt"))
+    if kept:
+        new = new.join(spark.read.schema(schema).parquet(answers), "_digest", "left_anti")
+    made = map_model(cut_lineage(new), "_prompt", model, "_answer").select("_digest", "_answer")
+    made.write.mode("append").parquet(answers)
+    known = spark.read.schema(schema).parquet(answers)
+    return (
+        df.withColumn("_digest", digest)
+        .join(known.withColumnRenamed("_answer", output), "_digest", "left")
+        .drop("_digest")
+    )
+
+
 def summarize(
     df: DataFrame, text: str, model: str | BatchModel = "covering", output: str = "summary"
 ) -> DataFrame:

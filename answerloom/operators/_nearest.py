@@ -53,14 +53,17 @@ class TopK:
         step = max(1, TILE // len(keys))
         for start in range(0, len(queries), step):
             numbers = queries[start : start + step]
-            scores = vectors[start : start + step] @ rows.T
-            kept = np.ones(scores.shape, dtype=bool)
-            if scores.shape[1] > self.k:
-                coarse = np.round(scores, 6)
-                cut = -np.partition(-coarse, self.k - 1, axis=1)[:, self.k - 1]
-                kept = coarse >= cut[:, None]
-            at_query, at_row = np.nonzero(kept)
-            self._merge(numbers[at_query], keys[at_row], scores[at_query, at_row])
+            self.offer_scores(numbers, vectors[start : start + step] @ rows.T, keys)
+
+    def offer_scores(self, numbers: np.ndarray, scores: np.ndarray, keys: np.ndarray) -> None:
+        """Scores of the queries ``numbers`` (rows) and of ``keys`` (columns)."""
+        kept = np.ones(scores.shape, dtype=bool)
+        if scores.shape[1] > self.k:
+            coarse = np.round(scores, 6)
+            cut = -np.partition(-coarse, self.k - 1, axis=1)[:, self.k - 1]
+            kept = coarse >= cut[:, None]
+        at_query, at_row = np.nonzero(kept)
+        self._merge(numbers[at_query], keys[at_row], scores[at_query, at_row])
 
     def _merge(self, query: np.ndarray, key: np.ndarray, score: np.ndarray) -> None:
         if self.key is not None:

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -12,6 +13,9 @@ from answerloom.functions.text import token_array
 from answerloom.operators.messages import append_messages
 
 Lexicon = Mapping[str, Sequence[str]]
+# A topic model is loaded by a function without arguments, once per task; from texts and the names of
+# topics it makes a list of scores, one a topic and from 0 to 1, for each text.
+TopicModel = Callable[[], Callable[[Sequence[str], Sequence[str]], Sequence[Sequence[float]]]]
 
 # The topic that is banned unless others are named, and the terms that tell it.
 BANNED_TOPICS: Lexicon = {
@@ -42,9 +46,41 @@ def topic_scores(text: Column | str, lexicon: Lexicon) -> Column:
     return let(F.array_distinct(token_array(text)), scores)
 
 
-def detect_topics(text: Column | str, lexicon: Lexicon, threshold: float = 0.8) -> Column:
-    """Topics scoring above ``threshold``, best first, then by name."""
-    found = F.filter(topic_scores(text, lexicon), lambda s: s["score"] > threshold)
+def model_topic_scores(text: Column | str, topics: Sequence[str], model: TopicModel) -> Column:
+    """``array<struct<score, topic>>`` by a model that scores each topic by itself; NULL of a NULL text.
+
+    The model is loaded once a task. It is declared nondeterministic, so no plan calls it twice for a row.
+    """
+    if not topics:
+        raise ValueError("topics must not be empty")
+    names = list(topics)
+
+    @F.pandas_udf("array<double>")
+    def scored(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        score = model()
+        for batch in batches:
+            known = batch.notna().to_numpy()
+            out: list[list[float] | None] = [None] * len(batch)
+            if known.any():
+                for place, row in zip(known.nonzero()[0], score(batch[known].tolist(), names), strict=True):
+                    out[place] = [float(x) for x in row]
+            yield pd.Series(out, dtype=object)
+
+    told = F.array(*map(F.lit, names))
+    return F.zip_with(
+        scored.asNondeterministic()(as_column(text)), told, lambda score, topic: F.struct(score.alias("score"), topic.alias("topic"))
+    )
+
+
+def detect_topics(
+    text: Column | str, lexicon: Lexicon | Sequence[str], threshold: float = 0.8, model: TopicModel | None = None
+) -> Column:
+    """Topics scoring above ``threshold``, best first, then by name.
+
+    Without a ``model`` the share of a topic's terms is its score; with one only the topics' names are used.
+    """
+    scores = topic_scores(text, lexicon) if model is None else model_topic_scores(text, list(lexicon), model)
+    found = F.filter(scores, lambda s: s["score"] > threshold)
     keyed = F.transform(
         found, lambda s: F.struct((-s["score"]).alias("o"), s["topic"].alias("topic"))
     )
@@ -57,7 +93,9 @@ def quoted_list(values: Column) -> Column:
     return F.concat(F.lit("["), F.array_join(quoted, ", "), F.lit("]"))
 
 
-def topic_verdict(text: Column | str, lexicon: Lexicon, threshold: float = 0.8) -> Column:
+def topic_verdict(
+    text: Column | str, lexicon: Lexicon | Sequence[str], threshold: float = 0.8, model: TopicModel | None = None
+) -> Column:
     """``struct<passed, message, detail>`` for banned topics."""
 
     def verdict(found: Column) -> Column:
@@ -69,7 +107,7 @@ def topic_verdict(text: Column | str, lexicon: Lexicon, threshold: float = 0.8)
             (F.size(found) == 0).alias("passed"), message.alias("message"), found.alias("detail")
         )
 
-    return let(detect_topics(text, lexicon, threshold), verdict)
+    return let(detect_topics(text, lexicon, threshold, model), verdict)
 
 
 def grounding_verdicts(checked: DataFrame, key: str) -> DataFrame:

@@ -14,18 +14,19 @@ def content_hash(text: Column | str) -> Column:
 
 
 def sync_actions(
-    source: DataFrame, index: DataFrame, key: str = "id", text: str = "content"
+    source: DataFrame, index: DataFrame, key: str = "id", text: Column | str = "content"
 ) -> DataFrame:
     """What a sync has to do per key: ``insert``, ``update``, ``delete``, ``keep``.
 
     Only keys and hashes are shuffled; the texts stay behind.
     """
-    new = source.select(key, content_hash(text).alias("new_hash"))
-    old = index.select(key, F.col("content_hash").alias("old_hash"))
+    new = source.select(key, content_hash(text).alias("new_hash"), F.lit(True).alias("new"))
+    old = index.select(key, F.col("content_hash").alias("old_hash"), F.lit(True).alias("old"))
+    # A NULL text has a NULL hash, which is no sign that the row is missing.
     action = (
-        F.when(F.col("old_hash").isNull(), "insert")
-        .when(F.col("new_hash").isNull(), "delete")
-        .when(F.col("new_hash") == F.col("old_hash"), "keep")
+        F.when(F.col("old").isNull(), "insert")
+        .when(F.col("new").isNull(), "delete")
+        .when(F.col("new_hash").eqNullSafe(F.col("old_hash")), "keep")
         .otherwise("update")
     )
     return new.join(old, key, "full_outer").select(key, action.alias("action"))

@@ -16,18 +16,19 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from answerloom.functions.columns import as_column, ranked_score, require_columns
 from answerloom.operators._nearest import TopK, keys_of, matrix_of
-from answerloom.session import cut_lineage
+from answerloom.session import cut_and_measure, cut_lineage
 
 MAX_SENT_QUERIES = 16_384
 MAX_SENT_BYTES = 64 << 20
 MAX_SENT_CELLS = 1 << 16
+HANDFUL = 256
 MERGE_GROUPS = 256
 CORPUS_BLOCK = 20_000
 QUERY_BLOCK = 4_096
@@ -103,6 +104,7 @@ def topk_pruned(
     key: str = "id",
     vector: str = "embedding",
     columns: Sequence[str] = (),
+    radii: DataFrame | None = None,
     max_sent_queries: int = MAX_SENT_QUERIES,
 ) -> DataFrame:
     """Exact :func:`topk` that skips cells which cannot hold a better row.
@@ -110,7 +112,8 @@ def topk_pruned(
     A first search of the nearest cell gives each query a score to beat. No row
     of a cell scores above ``q.c + |q| * radius``, so cells whose bound lies
     below that score are left out of the second search. With more centroids than
-    can be sent to every task nothing is pruned; the result is the same.
+    can be sent to every task nothing is pruned; the result is the same. ``radii`` (``cell, centroid,
+    radius``) may come with a stored index, else the index is read once more to find them.
     """
     if not _few(centroids):
         return topk(
@@ -127,7 +130,7 @@ def topk_pruned(
         .agg(F.min("score").alias("floor"))
     )
     # Written once: an aggregate over the whole index that is read more than once.
-    radii = cut_lineage(cell_radii(index, centroids, vector))
+    radii = cut_lineage(cell_radii(index, centroids, vector) if radii is None else radii)
     probing = (
         queries.select(query_key, F.col(vector).alias("q"))
         .join(to_beat, F.col(query_key) == F.col("beaten_key"), "left")
@@ -192,11 +195,12 @@ def recall(approximate: DataFrame, exact: DataFrame, query_key: str, key: str) -
 def train_centroids(
     corpus: DataFrame, n_cells: int, vector: str = "embedding", seed: int = 7
 ) -> DataFrame:
-    """``cell, centroid`` rows from k-means over the whole corpus."""
+    """``cell, centroid`` rows from k-means over all vectors of the corpus."""
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
 
-    features = corpus.select(array_to_vector(F.col(vector).cast("array<double>")).alias("features"))
+    known = corpus.where(F.col(vector).isNotNull())
+    features = known.select(array_to_vector(F.col(vector).cast("array<double>")).alias("features"))
     model = KMeans(k=n_cells, seed=seed, initSteps=2, maxIter=20).fit(features)
     rows = [(i, [float(x) for x in c]) for i, c in enumerate(model.clusterCenters())]
     return corpus.sparkSession.createDataFrame(rows, "cell int, centroid array<double>")
@@ -220,19 +224,38 @@ def label_centroids(corpus: DataFrame, label: str, vector: str = "embedding") ->
 
 def _few(centroids: DataFrame) -> bool:
     """Whether the centroids may be sent to every task; their number and size are looked at first."""
-    size = centroids.agg(
-        F.count(F.lit(1)).alias("rows"),
-        F.coalesce(F.sum(F.size("centroid") * F.lit(8).cast("bigint")), F.lit(0)).alias("bytes"),
-    ).first()
-    return size["rows"] <= MAX_SENT_CELLS and size["bytes"] <= MAX_SENT_BYTES
+    return _sent(centroids) is not None
 
 
-def _centroid_matrix(centroids: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Cells and their centroids on the driver; the caller has seen that they are few."""
-    table = centroids.select("cell", "centroid").orderBy("cell").toArrow()
+def _sent(centroids: DataFrame) -> tuple[np.ndarray, np.ndarray] | None:
+    """Cells and their centroids on the driver, or None if they are too many.
+
+    ``HANDFUL`` rows are always few; whether more are is counted before any is fetched.
+    """
+    known = centroids.select("cell", "centroid")
+    table = known.limit(HANDFUL + 1).toArrow()
+    if table.num_rows > MAX_SENT_CELLS:
+        return None
+    if table.num_rows > HANDFUL:
+        size = known.agg(
+            F.count(F.lit(1)).alias("rows"),
+            F.sum(F.size("centroid") * F.lit(8).cast("bigint")).alias("bytes"),
+        ).first()
+        if size["rows"] > MAX_SENT_CELLS or size["bytes"] > MAX_SENT_BYTES:
+            return None
+        table = known.toArrow()
+    table = table.sort_by("cell")
     return keys_of(table.column("cell")).astype(np.int32), matrix_of(table.column("centroid"))
 
 
+def _centroid_matrix(centroids: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Cells and their centroids, which must be few."""
+    found = _sent(centroids)
+    if found is None:
+        raise ValueError("too many centroids to send to every task, use with_cells")
+    return found
+
+
 def _distances(rows: np.ndarray, centroids: np.ndarray) -> np.ndarray:
     """Squared Euclidean distances, rows by centroids."""
     squares = (rows * rows).sum(1)[:, None] + (centroids * centroids).sum(1)[None, :]
@@ -248,9 +271,11 @@ def nearest_cells(vector: Column | str, centroids: DataFrame, nprobe: int = 1) -
 
     The centroids are sent to every task, so they must be few; :func:`with_cells` takes any number.
     """
-    if not _few(centroids):
-        raise ValueError("too many centroids to send to every task, use with_cells")
-    shared = centroids.sparkSession.sparkContext.broadcast(_centroid_matrix(centroids))
+    return _nearest(vector, centroids.sparkSession, _centroid_matrix(centroids), nprobe)
+
+
+def _nearest(vector: Column | str, spark: SparkSession, centroids: tuple[np.ndarray, np.ndarray], nprobe: int) -> Column:
+    shared = spark.sparkContext.broadcast(centroids)
 
     @F.pandas_udf("array<int>")
     def nearest(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -276,8 +301,9 @@ def with_cells(
     More than can be sent to every task are searched like any large corpus, in blocks: the
     squared distance, negated, is a dot product of vectors that are two entries longer.
     """
-    if _few(centroids):
-        return df.withColumn(name, nearest_cells(vector, centroids, nprobe))
+    sent = _sent(centroids)
+    if sent is not None:
+        return df.withColumn(name, _nearest(vector, df.sparkSession, sent, nprobe))
 
     def square(v: Column) -> Column:
         return F.aggregate(v, F.lit(0.0), lambda total, x: total + x * x)
@@ -374,10 +400,9 @@ def _search(
             T.StructField("score", T.DoubleType()),
         ]
     )
-    asked = cut_lineage(queries)
     values = F.coalesce(F.sum(F.coalesce(F.size("q"), F.lit(0)) * 8), F.lit(0))
     others = F.coalesce(F.sum(F.octet_length(F.col(query_key).cast("string")) + F.size("cells") * 4), F.lit(0))
-    size = asked.agg(F.count(F.lit(1)).alias("rows"), (values + others).alias("bytes")).first()
+    asked, size = cut_and_measure(queries, rows=F.count(F.lit(1)), bytes=values + others)
     if size["rows"] <= max_sent and size["bytes"] <= MAX_SENT_BYTES:
         return _scan(_with_vector(asked.toArrow(), "q"), corpus, k, schema)
     return _blocks(asked, corpus, k, query_key, key, schema)
@@ -473,6 +498,22 @@ def _blocks(
     return left.groupBy(*slots).cogroup(right.groupBy(*slots)).applyInArrow(best_of, schema)
 
 
+def rank_candidates(candidates: DataFrame, k: int, query_key: str, key: str) -> DataFrame:
+    """``query_key, rk, key, score``: the best ``k`` candidates of each query, ties to the smaller key."""
+    best = [F.desc("score"), F.asc(key)]
+    order = Window.partitionBy(query_key).orderBy(*best)
+    grouped = Window.partitionBy(query_key, "_group").orderBy(*best)
+    return (
+        candidates.withColumn("score", ranked_score(F.col("score")))
+        .withColumn("_group", F.pmod(F.spark_partition_id(), F.lit(MERGE_GROUPS)))
+        .withColumn("rk", F.row_number().over(grouped))
+        .where(F.col("rk") <= k)
+        .withColumn("rk", F.row_number().over(order))
+        .where(F.col("rk") <= k)
+        .select(query_key, F.col("rk").cast("bigint").alias("rk"), key, "score")
+    )
+
+
 def _finish(
     candidates: DataFrame,
     corpus: DataFrame,
@@ -488,18 +529,7 @@ def _finish(
     before they fetch columns: the planner then knows their size, and broadcasts them only if
     they are small.
     """
-    best = [F.desc("score"), F.asc(key)]
-    order = Window.partitionBy(query_key).orderBy(*best)
-    grouped = Window.partitionBy(query_key, "_group").orderBy(*best)
-    ranked = (
-        candidates.withColumn("score", ranked_score(F.col("score")))
-        .withColumn("_group", F.pmod(F.spark_partition_id(), F.lit(MERGE_GROUPS)))
-        .withColumn("rk", F.row_number().over(grouped))
-        .where(F.col("rk") <= k)
-        .withColumn("rk", F.row_number().over(order))
-        .where(F.col("rk") <= k)
-        .select(query_key, F.col("rk").cast("bigint").alias("rk"), key, "score")
-    )
+    ranked = rank_candidates(candidates, k, query_key, key)
     wanted = [name for name in columns if name != key]
     if not wanted:
         return ranked.select(query_key, "rk", key, "score")

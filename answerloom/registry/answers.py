@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from answerloom.functions.embedding import embed
-from answerloom.functions.models import map_model, summarize
+from answerloom.functions.models import map_model, map_model_once, summarize
 from answerloom.functions.prompts import UNROUTED_ANSWER
 from answerloom.functions.text import sentences
 from answerloom.operators import evaluation as E
@@ -27,7 +27,7 @@ from answerloom.plans.turn import (
     table_tool,
     with_agent_prompts,
 )
-from answerloom.registry import _sql
+from answerloom.registry import _kept, _sql
 from answerloom.registry._base import query
 from answerloom.registry.guards import LEXICON, grounding_sql, pii_list_sql, topic_sql
 from answerloom.registry.messages import (
@@ -40,10 +40,9 @@ from answerloom.registry.messages import (
 from answerloom.registry.search import (
     CHUNK_KEY_SQL,
     as_queries,
-    embedded_chunks,
     vectors_of,
 )
-from answerloom.session import cut_lineage
+from answerloom.session import cut_lineage, new_folder
 from answerloom.sources import scan
 
 _ANSWERED = f"""
@@ -81,7 +80,7 @@ _ANSWERED = f"""
 def answered(spark: SparkSession, directory: str) -> DataFrame:
     messages = scan(spark, directory, "conversations")
     answers = answer_questions(
-        conversation_ids(messages), messages, embedded_chunks(spark, directory), 5
+        conversation_ids(messages), messages, _kept.chunk_index(spark, directory).live(spark), 5
     )
     return guarded_answers(answers).select(
         "conv_id",
@@ -101,7 +100,7 @@ def answered(spark: SparkSession, directory: str) -> DataFrame:
 def stuffed_context(spark: SparkSession, directory: str) -> DataFrame:
     asked = last_message(scan(spark, directory, "conversations"), USER)
     queries = asked.select(F.col("conv_id").alias("query_id"), embed("text").alias("embedding"))
-    hits = topk(queries, embedded_chunks(spark, directory), 5, columns=["content", "source"])
+    hits = topk(queries, _kept.chunk_index(spark, directory).live(spark), 5, columns=["content", "source"])
     stuffed = stuff_context(hits)
     return stuffed.select(
         F.col("query_id").alias("conv_id"), "context", F.array_join("sources", ",").alias("sources")
@@ -122,6 +121,20 @@ def model_in_batches(spark: SparkSession, directory: str) -> DataFrame:
     return map_model(messages, "text", echo).select("conv_id", "turn", "answer")
 
 
+@query(
+    "model_called_once",
+    """SELECT conv_id, turn, '<' || text || '> (' || length(text) || ')' AS answer,
+              (SELECT count(DISTINCT text) FROM conversations) AS calls FROM conversations""",
+)
+def model_called_once(spark: SparkSession, directory: str) -> DataFrame:
+    """Two runs over the conversations, with one call for each distinct text in all."""
+    messages, answers = scan(spark, directory, "conversations"), new_folder(spark, "answers")
+    map_model_once(messages.where("turn < 2"), "text", echo, answers, alias="echo")
+    answered = map_model_once(messages, "text", echo, answers, alias="echo")
+    calls = spark.read.parquet(answers).count()
+    return answered.select("conv_id", "turn", "answer", F.lit(calls).cast("bigint").alias("calls"))
+
+
 @query("summaries", f"SELECT doc_id, CASE WHEN text IS NOT NULL THEN {_sql.covering('text')} END AS summary FROM documents")
 def summaries(spark: SparkSession, directory: str) -> DataFrame:
     return summarize(scan(spark, directory, "documents", spread=True), "text").select("doc_id", "summary")
@@ -171,7 +184,7 @@ def conversation_turn(spark: SparkSession, directory: str) -> DataFrame:
             "Documents per language", ("the",), count_documents(documents), ["lang"]
         )
     }
-    index = embedded_chunks(spark, directory)
+    index = _kept.chunk_index(spark, directory).live(spark)
     turn = answer_turn(
         agent_messages(spark, directory), index, curated, _TURN_RULES, banned=LEXICON
     )
@@ -285,9 +298,7 @@ _EVALUATED = f"""
 
 def _evaluated(spark: SparkSession, directory: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     evals = cut_lineage(eval_set(spark, directory))
-    corpus = scan(spark, directory, "documents", spread=True).select(
-        F.col("doc_id").alias("id"), F.col("text").alias("content"), "source", embed("text").alias("embedding")
-    )
+    corpus = _kept.document_index(spark, directory).live(spark)
     asked = evals.select(F.col("eval_id").alias("query_id"), embed("question").alias("embedding"))
     hits = cut_lineage(topk(asked, corpus, 5, columns=["content", "source"]))
     return evals, hits, E.evaluate(evals, hits)

@@ -14,6 +14,7 @@ from answerloom.functions.text import sentences
 from answerloom.operators import guards as G
 from answerloom.operators.grounding import check_answers, grounded_sentences
 from answerloom.operators.messages import last_message
+from answerloom.operators.topics import Topics, fit_topics, learned_scores, topic_model
 from answerloom.registry import _sql
 from answerloom.registry._base import query
 from answerloom.sources import scan
@@ -134,6 +135,52 @@ def topic_verdicts(spark: SparkSession, directory: str) -> DataFrame:
     return judged.select("doc_id", "v.passed", "v.message")
 
 
+_LEARNED = f"""
+    marked AS (
+      SELECT doc_id, 'junk' AS topic, CASE WHEN quality = 0 THEN 1 ELSE 0 END AS has FROM labels WHERE quality IS NOT NULL
+      UNION ALL SELECT doc_id, 'toxic', CASE WHEN toxic = 1 THEN 1 ELSE 0 END FROM labels WHERE toxic IS NOT NULL),
+    sizes AS (SELECT topic, sum(has) AS yes, sum(1 - has) AS no FROM marked JOIN documents USING (doc_id) GROUP BY topic),
+    word AS (SELECT doc_id, unnest(list_distinct({_sql.tokens('text')})) AS word FROM documents),
+    counted AS (SELECT topic, word, sum(has) AS a, sum(1 - has) AS b FROM word JOIN marked USING (doc_id)
+                GROUP BY ALL HAVING count(*) >= 5),
+    weighed AS (SELECT topic, word, round(ln((a + 1) / (yes + 2)) - ln((b + 1) / (no + 2)), 9) AS weight
+                FROM counted JOIN sizes USING (topic)),
+    kept AS (SELECT * FROM weighed
+             QUALIFY row_number() OVER (PARTITION BY topic ORDER BY abs(weight) DESC, word) <= 2000),
+    told AS (SELECT doc_id, topic, sum(weight) AS told FROM word JOIN kept USING (word) GROUP BY ALL),
+    scored AS (
+      SELECT d.doc_id, s.topic, 1 / (1 + exp(-greatest(-500, least(500,
+               round(ln((yes + 1) / (no + 1)), 9) + coalesce(told, 0))))) AS score
+      FROM documents d CROSS JOIN sizes s LEFT JOIN told t ON t.doc_id = d.doc_id AND t.topic = s.topic)"""
+
+
+def _learned(spark: SparkSession, directory: str) -> Topics:
+    documents, labels = scan(spark, directory, "documents", spread=True), scan(spark, directory, "labels")
+    return fit_topics(documents, labels, {"junk": F.col("quality") == 0, "toxic": F.col("toxic") == 1})
+
+
+@query("learned_topics", f"WITH {_LEARNED} SELECT doc_id, topic, round(score, 4) AS score FROM scored")
+def learned_topics(spark: SparkSession, directory: str) -> DataFrame:
+    """Two topics learned from the labels, scored on every document."""
+    found = learned_scores(scan(spark, directory, "documents", spread=True), _learned(spark, directory))
+    return found.withColumn("score", F.round("score", 4))
+
+
+@query(
+    "learned_topic_verdicts",
+    f"""WITH {_LEARNED},
+        found AS (SELECT doc_id, string_agg(topic, ',' ORDER BY topic) AS topics FROM scored WHERE score > 0.8 GROUP BY doc_id)
+        SELECT doc_id, topics IS NULL AS passed, coalesce(topics, '') AS detail
+        FROM documents LEFT JOIN found USING (doc_id)""",
+)
+def learned_topic_verdicts(spark: SparkSession, directory: str) -> DataFrame:
+    """The topic guard with the learned scorer as its model."""
+    model = topic_model(_learned(spark, directory))
+    verdict = G.topic_verdict("text", ["junk", "toxic"], model=model)
+    judged = scan(spark, directory, "documents", spread=True).select("doc_id", verdict.alias("v"))
+    return judged.select("doc_id", "v.passed", F.array_join(F.array_sort("v.detail"), ",").alias("detail"))
+
+
 def _grams(name: str, source: str, key: str, words: str, sizes: str) -> str:
     """CTE ``name(key, gram)``: distinct word grams of the given sizes."""
     return f"""

@@ -6,13 +6,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from answerloom.config import Settings
-from answerloom.functions.chunking import chunk_documents
 from answerloom.functions.embedding import embed
 from answerloom.functions.text import sentences
 from answerloom.operators import search as S
+from answerloom.operators.compressed import topk_compressed
 from answerloom.operators.index import content_hash, sync_actions, sync_index
+from answerloom.operators.index_log import IndexLog
+from answerloom.operators.search_many import topk_many
 from answerloom.plans.refresh import refresh_index
-from answerloom.registry import _sql
+from answerloom.registry import _kept, _sql
 from answerloom.registry._base import query
 from answerloom.session import cut_lineage, new_folder
 from answerloom.sources import scan
@@ -51,20 +53,6 @@ def as_queries(vectors: DataFrame) -> DataFrame:
     return vectors.select(F.col("vec_id").alias("query_id"), "embedding")
 
 
-def embedded_chunks(spark: SparkSession, directory: str) -> DataFrame:
-    """``id, doc_id, source, content, embedding`` over all documents."""
-    chunks = chunk_documents(scan(spark, directory, "documents", spread=True), "text", ["doc_id", "source"])
-    document = F.lpad(F.col("doc_id").cast("string"), 12, "0")
-    part = F.lpad(F.col("chunk_ix").cast("string"), 6, "0")
-    return chunks.select(
-        F.concat_ws("-", document, part).alias("id"),
-        "doc_id",
-        "source",
-        "content",
-        embed("content").alias("embedding"),
-    )
-
-
 CHUNK_KEY_SQL = "lpad(key::VARCHAR, 12, '0') || '-' || lpad(chunk_ix::VARCHAR, 6, '0')"
 
 
@@ -114,9 +102,8 @@ def topk_vectors(spark: SparkSession, directory: str) -> DataFrame:
         SELECT query AS query_id, rk, id, content, score FROM hits JOIN keyed ON keyed.id = hits.key""",
 )
 def topk_chunks(spark: SparkSession, directory: str) -> DataFrame:
-    return S.topk(
-        embedded_benchmark(spark, directory), embedded_chunks(spark, directory), 3, columns=["content"]
-    )
+    index = _kept.chunk_index(spark, directory).live(spark)
+    return S.topk(embedded_benchmark(spark, directory), index, 3, columns=["content"])
 
 
 @query(
@@ -158,10 +145,9 @@ def nearest_cells(spark: SparkSession, directory: str) -> DataFrame:
         WHERE rk <= 5""",
 )
 def topk_ann(spark: SparkSession, directory: str) -> DataFrame:
-    vectors = vectors_of(spark, directory)
-    centroids = S.label_centroids(vectors, "label")
-    index = S.assign_cells(vectors, centroids)
-    return S.topk_ann(as_queries(vectors), index, centroids, 5, 3, key="vec_id", columns=["label"])
+    log = _kept.vector_index(spark, directory)
+    asked = as_queries(vectors_of(spark, directory))
+    return S.topk_ann(asked, log.live(spark), log.centroids(spark), 5, 3, key="vec_id", columns=["label"])
 
 
 @query(
@@ -172,10 +158,9 @@ def topk_ann(spark: SparkSession, directory: str) -> DataFrame:
         WHERE rk <= 5""",
 )
 def topk_pruned(spark: SparkSession, directory: str) -> DataFrame:
-    vectors = vectors_of(spark, directory)
-    centroids = S.label_centroids(vectors, "label")
-    index = S.assign_cells(vectors, centroids)
-    return S.topk_pruned(as_queries(vectors), index, centroids, 5, key="vec_id")
+    log = _kept.vector_index(spark, directory)
+    asked = as_queries(vectors_of(spark, directory))
+    return S.topk_pruned(asked, log.live(spark), log.centroids(spark), 5, key="vec_id", radii=log.radii(spark))
 
 
 @query(
@@ -196,11 +181,9 @@ def topk_pruned(spark: SparkSession, directory: str) -> DataFrame:
         FROM exact e LEFT JOIN approximate a USING (query_id, vec_id) GROUP BY e.query_id""",
 )
 def ann_recall(spark: SparkSession, directory: str) -> DataFrame:
-    vectors = vectors_of(spark, directory)
-    centroids = S.label_centroids(vectors, "label")
-    index = S.assign_cells(vectors, centroids)
+    log, vectors = _kept.vector_index(spark, directory), vectors_of(spark, directory)
     exact = S.topk(as_queries(vectors), vectors, 5, key="vec_id")
-    near = S.topk_ann(as_queries(vectors), index, centroids, 5, 3, key="vec_id")
+    near = S.topk_ann(as_queries(vectors), log.live(spark), log.centroids(spark), 5, 3, key="vec_id")
     return S.recall(near, exact, "query_id", "vec_id").withColumn("recall", F.round("recall", 6))
 
 
@@ -219,25 +202,137 @@ def packed_results(spark: SparkSession, directory: str) -> DataFrame:
     return packed.select("query_id", F.array_join(line, ",").alias("results"))
 
 
-@query(
-    "relevant_sources",
-    f"""WITH RECURSIVE sentence AS (
+def _relevant_sql(least: float) -> str:
+    return f"""WITH RECURSIVE sentence AS (
           SELECT lpad(item_id::VARCHAR, 6, '0') || '-' || generate_subscripts(ss, 1) AS sid, unnest(ss) AS s
           FROM (SELECT item_id, {_sql.sentence_list('text')} AS ss FROM benchmark)),
         {_sql.embedded('asked', 'sentence', 'sid', 's')},
         {_sql.embedded('corpus', 'documents', 'doc_id', 'text')},
         {_sql.ranked('asked', 'corpus', 5)}
-        SELECT query AS sentence_id, rk, key AS doc_id, score FROM hits WHERE score > 0.5""",
-)
-def relevant_sources(spark: SparkSession, directory: str) -> DataFrame:
+        SELECT query AS sentence_id, rk, key AS doc_id, score FROM hits WHERE score > {least}"""
+
+
+def _relevant(spark: SparkSession, directory: str, least: float) -> DataFrame:
     asked = sentences(scan(spark, directory, "benchmark", spread=True), "text", ["item_id"]).select(
         F.concat_ws(
             "-", F.lpad(F.col("item_id").cast("string"), 6, "0"), (F.col("sentence_ix") + 1)
         ).alias("sentence_id"),
         embed("sentence").alias("embedding"),
     )
-    sources = scan(spark, directory, "documents", spread=True).select("doc_id", embed("text").alias("embedding"))
-    return S.relevant_sources(asked, sources, 5, 0.5, query_key="sentence_id", key="doc_id")
+    sources = _kept.document_index(spark, directory).live(spark).withColumnRenamed("id", "doc_id")
+    return S.relevant_sources(asked, sources, 5, least, query_key="sentence_id", key="doc_id")
+
+
+@query("relevant_sources", _relevant_sql(0.5))
+def relevant_sources(spark: SparkSession, directory: str) -> DataFrame:
+    return _relevant(spark, directory, 0.5)
+
+
+@query("most_relevant_sources", _relevant_sql(0.8))
+def most_relevant_sources(spark: SparkSession, directory: str) -> DataFrame:
+    """At the reference's threshold."""
+    return _relevant(spark, directory, 0.8)
+
+
+@query(
+    "similar_documents",
+    f"""WITH {_sql.embedded('corpus', 'documents', 'doc_id', 'text')},
+        {_sql.ranked('corpus', 'corpus', 3)}
+        SELECT query AS query_id, rk, key AS id, score FROM hits""",
+)
+def similar_documents(spark: SparkSession, directory: str) -> DataFrame:
+    """Every document's most similar ones, itself included: many queries against many rows, by blocks and bounds."""
+    rows, blocks = _kept.document_blocks(spark, directory)
+    return topk_many(rows.select(F.col("id").alias("query_id"), "embedding"), rows, blocks, 3)[0]
+
+
+@query("similar_documents_work")
+def similar_documents_work(spark: SparkSession, directory: str) -> DataFrame:
+    """Pairs of vectors that each round of :func:`similar_documents` compared, beside all there are."""
+    rows, blocks = _kept.document_blocks(spark, directory)
+    _, report = topk_many(rows.select(F.col("id").alias("query_id"), "embedding"), rows, blocks, 3)
+    n = rows.count()
+    return spark.createDataFrame(
+        [(r["round"], r["queries"], r["pairs"], n * n) for r in report], "round int, queries bigint, pairs bigint, all_pairs bigint"
+    )
+
+
+def _compressed(spark: SparkSession, directory: str, k: int, survivors: int) -> DataFrame:
+    codes, book = _kept.chunk_codes(spark, directory)
+    index = _kept.chunk_index(spark, directory).live(spark)
+    return topk_compressed(embedded_benchmark(spark, directory), codes, index, book, k, survivors)
+
+
+@query("topk_compressed")
+def compressed_search(spark: SparkSession, directory: str) -> DataFrame:
+    """The best chunks of each benchmark item by codes of 16 bytes; the best hundred are ranked again."""
+    return _compressed(spark, directory, 5, 100)
+
+
+@query(
+    "compressed_recall",
+    "SELECT count(*) AS queries, true AS nine_tenths_found, true AS tenth_read FROM benchmark",
+)
+def compressed_recall(spark: SparkSession, directory: str) -> DataFrame:
+    """Whether nine tenths of the exact results are found, by codes of a tenth of the vectors' bytes."""
+    index = _kept.chunk_index(spark, directory).live(spark)
+    exact = cut_lineage(S.topk(embedded_benchmark(spark, directory), index, 5))
+    found = S.recall(_compressed(spark, directory, 5, 100), exact, "query_id", "id")
+    codes = _kept.chunk_codes(spark, directory)[0].agg(F.sum(F.octet_length("code"))).first()[0] or 0
+    vectors = index.agg(F.sum(F.size("embedding") * 4)).first()[0] or 0
+    return found.agg(F.count(F.lit(1)).alias("queries"), (F.avg("recall") >= 0.9).alias("nine_tenths_found")).withColumn(
+        "tenth_read", F.lit(codes * 10 <= vectors)
+    )
+
+
+def _changed_log(spark: SparkSession, directory: str, compacted: bool) -> IndexLog:
+    """An index of older documents, brought in step with newer ones; some are new, changed and gone."""
+    documents = scan(spark, directory, "documents", spread=True).select(
+        F.col("doc_id").alias("id"), "source", F.col("text").alias("content"), "lang"
+    )
+    older = F.when(F.col("lang") == "es", F.concat("content", F.lit("."))).otherwise(F.col("content"))
+    log = IndexLog(new_folder(spark, "log"))
+    log.sync(documents.where("lang <> 'fr'").withColumn("content", older))
+    log.sync(documents.where("lang <> 'de'"))
+    if compacted:
+        log.compact(spark, 0.0)
+    return log
+
+
+@query(
+    "index_log_rows",
+    """SELECT 1 AS version, 'base' AS kind, count(*) AS rows FROM documents WHERE lang <> 'fr'
+       UNION ALL SELECT 2, 'delta', count(*) FROM documents WHERE lang IN ('fr', 'es')
+       UNION ALL SELECT 2, 'gone', count(*) FROM documents WHERE lang IN ('de', 'es')
+       UNION ALL SELECT 3, 'base', count(*) FROM documents WHERE lang <> 'de'""",
+)
+def index_log_rows(spark: SparkSession, directory: str) -> DataFrame:
+    """What each version wrote: all at first, then what changed, then the buckets that compaction took."""
+    written = _changed_log(spark, directory, True).entries(spark).where("kind <> 'schema'")
+    return written.groupBy("version", "kind").agg(F.sum("rows").alias("rows"))
+
+
+def _log_search_sql() -> str:
+    return f"""WITH wanted AS (SELECT * FROM documents WHERE lang <> 'de'),
+        {_sql.embedded('corpus', 'wanted', 'doc_id', 'text')},
+        {_sql.embedded('asked', 'benchmark', 'item_id', 'text')},
+        {_sql.ranked('asked', 'corpus', 3)}
+        SELECT query AS query_id, rk, key AS id, d.source, md5(d.text) AS content_hash, score
+        FROM hits JOIN wanted d ON d.doc_id = hits.key"""
+
+
+@query("index_log_search", _log_search_sql())
+def index_log_search(spark: SparkSession, directory: str) -> DataFrame:
+    """Search over base, changes and keys that are gone, read together."""
+    live = _changed_log(spark, directory, False).live(spark)
+    return S.topk(embedded_benchmark(spark, directory), live, 3, columns=["source", "content_hash"])
+
+
+@query("index_log_compacted", _log_search_sql())
+def index_log_compacted(spark: SparkSession, directory: str) -> DataFrame:
+    """The same after compaction."""
+    live = _changed_log(spark, directory, True).live(spark)
+    return S.topk(embedded_benchmark(spark, directory), live, 3, columns=["source", "content_hash"])
 
 
 @query(
@@ -294,7 +389,7 @@ def index_sync(spark: SparkSession, directory: str) -> DataFrame:
 )
 def topk_stored(spark: SparkSession, directory: str) -> DataFrame:
     """An index written by cells, its k-means centroids; with all cells probed nothing is missed."""
-    chunks = embedded_chunks(spark, directory).select("id", "source", "content")
+    chunks = cut_lineage(_kept.chunks_of(spark, directory).select("id", "source", "content"))
     settings, first_path = Settings(), new_folder(spark, "index")
     first = refresh_index(chunks, settings, first_path)
     centroids = cut_lineage(S.train_centroids(first, 8))

@@ -7,7 +7,8 @@ import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from py4j.protocol import Py4JJavaError
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 CHECKPOINT_KEY = "spark.checkpoint.dir"
 
@@ -81,6 +82,43 @@ def new_folder(spark: SparkSession, label: str = "rows") -> str:
     return f"{path}/{label}"
 
 
+def _files(spark: SparkSession, path: str):
+    """The Hadoop path of ``path``, and the file context that has it."""
+    context = spark.sparkContext
+    folder = context._jvm.org.apache.hadoop.fs.Path(path)
+    absolute = folder.getFileSystem(context._jsc.hadoopConfiguration()).makeQualified(folder)
+    return absolute, context._jvm.org.apache.hadoop.fs.FileContext.getFileContext(
+        absolute.toUri(), context._jsc.hadoopConfiguration()
+    )
+
+
+def folder_exists(spark: SparkSession, path: str) -> bool:
+    """Whether there is a file or folder of that name, wherever Spark stores it."""
+    folder, files = _files(spark, path)
+    return files.util().exists(folder)
+
+
+def rename_folder(spark: SparkSession, source: str, target: str) -> bool:
+    """Rename a folder; False if the target is there already. Missing parents are made."""
+    jvm, gateway = spark.sparkContext._jvm, spark.sparkContext._gateway
+    old, files = _files(spark, source)
+    new, _ = _files(spark, target)
+    if files.util().exists(new):
+        return False
+    parent = new.getParent()
+    parent.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).mkdirs(parent)
+    kind = getattr(jvm.org.apache.hadoop.fs, "Options$Rename")
+    options = gateway.new_array(kind, 1)
+    options[0] = kind.valueOf("NONE")  # does not replace, nor move into, what is there
+    try:
+        files.rename(old, new, options)
+    except Py4JJavaError as refused:
+        if "AlreadyExists" in str(refused.java_exception):
+            return False
+        raise
+    return True
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write ``df`` once to the shared checkpoint folder and read it from there.
 
@@ -92,3 +130,9 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     path = new_folder(spark)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def cut_and_measure(df: DataFrame, **metrics: Column) -> tuple[DataFrame, dict]:
+    """:func:`cut_lineage`, and aggregates over the rows that are taken while they are written."""
+    seen = Observation()
+    return cut_lineage(df.observe(seen, *(value.alias(name) for name, value in metrics.items()))), seen.get

@@ -33,6 +33,15 @@ def scan(
     return table if wanted is None else table.repartition(int(wanted))
 
 
+def table_stamp(spark: SparkSession, directory: str, name: str) -> tuple[int, int, int]:
+    """Bytes, files and last change of a table's files, to tell whether it was written again."""
+    context = spark.sparkContext
+    path = context._jvm.org.apache.hadoop.fs.Path(f"{directory.rstrip('/')}/{name}.parquet")
+    files = path.getFileSystem(context._jsc.hadoopConfiguration())
+    summary = files.getContentSummary(path)
+    return summary.getLength(), summary.getFileCount(), files.getFileStatus(path).getModificationTime()
+
+
 def stream_scan(spark: SparkSession, directory: str, name: str) -> DataFrame:
     """One table of a parquet directory as a stream: what was added since the last checkpoint.
 

@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -157,3 +158,72 @@ def test_long_runs_of_words_and_of_characters(spark):
     df = spark.createDataFrame([(t,) for t in texts], "text string")
     hits = [r[0] for r in df.select(pii_hits("text", ["PERSON", "EMAIL_ADDRESS"])).collect()]
     assert hits[:2] == [[], []] and [h.entity for h in hits[2]] == ["PERSON"]
+
+
+def test_a_sentence_of_very_many_sources(spark, monkeypatch):
+    """Postings of a hot gram are cut into slots; near copies settle nothing, the one source that covers does."""
+    from answerloom.operators import grounding as G
+
+    words = [f"w{i}" for i in range(12)]
+    near = [" ".join([*words[:5], f"x{i}", *words[5:7]]) for i in range(600)]
+    whole = " ".join(words)
+    asked = spark.createDataFrame([(1, whole), (2, " ".join([*words[:6], *reversed(words[6:])])), (3, "w0 w1 w2 w3 w4")], "k int, sentence string")
+    sources = lambda texts: spark.createDataFrame([(t,) for t in texts], "text string").repartition(8)
+    for texts, grounded in ((near, {3}), ([*near, f"so {whole} it is"], {1, 3})):
+        plain = {r.k for r in G.grounded_sentences(asked, sources(texts)).where("grounded").collect()}
+        monkeypatch.setattr(G, "SLOT", 40)
+        cut = {r.k for r in G.grounded_sentences(asked, sources(texts)).where("grounded").collect()}
+        monkeypatch.undo()
+        assert plain == cut == grounded
+    held = spark.range(1000).selectExpr("0 AS pool", "1L AS gram", "cast(id AS string) AS source")
+    sizes = G.slotted(held, spark.createDataFrame([(0, 1, 25)], "pool int, gram bigint, slots bigint")).groupBy("slot").count().collect()
+    assert len(sizes) == 25 and max(r["count"] for r in sizes) < 2 * 1000 / 25
+
+
+def test_models_for_topics_and_entailment(spark):
+    from answerloom.operators import grounding as G
+    from answerloom.operators import guards as T
+
+    def topics():
+        return lambda texts, names: [[0.9 if name in text else 0.8 for name in names] for text in texts]
+
+    df = spark.createDataFrame([(1, "on politics and sports"), (2, "nothing"), (3, None), (4, "sports")], "k int, text string")
+    verdicts = {r.k: r.v for r in df.select("k", T.topic_verdict("text", ["politics", "sports"], model=topics).alias("v")).collect()}
+    assert verdicts[1].detail == ["politics", "sports"] and not verdicts[1].passed and verdicts[2].passed
+    assert verdicts[4].message == "The text contains the following banned topics: ['sports']"
+    with pytest.raises(ValueError, match="empty"):
+        T.topic_verdict("text", [], model=topics)
+
+    seen = spark.sparkContext.accumulator(0)
+
+    def entails():
+        def score(said, sources):
+            seen.add(len(said))
+            return [0.9 if s.lower() in t.lower() else 0.8 for s, t in zip(said, sources)]
+
+        return score
+
+    asked = spark.createDataFrame([(1, 0, "A cat"), (1, 1, "A dog"), (2, 0, "A cat"), (2, 1, "A cat"), (3, 0, None)], "p int, ix int, sentence string")
+    sources = spark.createDataFrame([(1, "see a cat"), (1, "see a cat"), (1, None), (2, "no")], "p int, text string")
+    found = {(r.p, r.ix): r.grounded for r in G.entailed_sentences(asked, sources, entails, pool="p").collect()}
+    assert found == {(1, 0): True, (1, 1): False, (2, 0): False, (2, 1): False, (3, 0): False}
+    assert seen.value == 3
+
+
+def test_learned_topics_agree_with_their_model(spark):
+    from answerloom.operators import topics as L
+
+    rows = [(i, "good words here " + ("awful\tterms" if i % 3 == 0 else "fine things") + f" n{i % 7}") for i in range(60)] + [(99, None), (100, "")]
+    texts = spark.createDataFrame(rows, "doc_id int, text string")
+    labels = spark.createDataFrame([(i, int(i % 3 == 0), None if i % 5 else 1) for i in range(60)], "doc_id int, bad int, rare int")
+    topics = L.fit_topics(texts, labels, {"bad": F.col("bad") == 1, "rare": F.col("rare") == 1})
+    joined = {(r.doc_id, r.topic): r.score for r in L.learned_scores(texts, topics).collect()}
+    assert len(joined) == 2 * len(rows) and all((joined[i, "bad"] > 0.8) == (i % 3 == 0) for i in range(60))
+    model = L.topic_model(topics)()
+    for key, text in rows:
+        if text is not None:
+            assert np.allclose(model([text], ["bad", "rare"])[0], [joined[key, "bad"], joined[key, "rare"]])
+    with pytest.raises(ValueError, match="empty"):
+        L.fit_topics(texts, labels, {})
+    nobody = L.fit_topics(texts, labels.limit(0), {"bad": F.col("bad") == 1})
+    assert L.learned_scores(texts, nobody).count() == 0
