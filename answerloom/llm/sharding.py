@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from answerloom.session import cut_lineage
 
 SHARDS = 16
-ROUNDS = 4
+#: Rounds of moves at most; they end as soon as no row finds a better shard with room.
+ROUNDS = 12
+#: Links of this share of a shard or more are placed one by one, at most ``shards`` times so many.
+LARGE = 1_024
 SEED = "shard"
 
 
@@ -24,7 +29,8 @@ def _move(now: DataFrame, members: DataFrame, shards: int, room: int, step: int,
     are counted by link and shard, so a link of any number of rows is a few counts. Requests are
     summed by pair of shards; as many rows may change places between two shards as ask for it in
     both directions, and what room a shard has left is shared out over those who ask. Which rows
-    go is drawn by a hash, so nothing is ranked.
+    go is drawn by a hash, so nothing is ranked. A row asks only for a shard with more of its
+    neighbours than its own, and for a full one only if all that are better are full.
     """
     placed = members.join(now, "row")
     held = placed.groupBy("link", "shard").agg(F.count(F.lit(1)).alias("n"))
@@ -34,12 +40,12 @@ def _move(now: DataFrame, members: DataFrame, shards: int, room: int, step: int,
         .groupBy("row", "own", "shard")
         .agg(F.sum("n").alias("n"), F.min("link").alias("link"))
     )
-    wanted = votes.groupBy("row", "own").agg(
-        F.max(F.struct("n", F.xxhash64("link", "shard").alias("tie"), "shard")).alias("best")
-    )
-    asked = cut_lineage(
-        wanted.select("row", F.col("own"), F.col("best.shard").alias("to")).where("own <> to")
-    )
+    open_ = F.col("shard").isin([s for s in range(shards) if counts.get(s, 0) < room])
+    here = F.coalesce(F.max(F.when(F.col("shard") == F.col("own"), F.col("n"))), F.lit(0))
+    choice = F.struct(open_.alias("open"), "n", F.xxhash64("link", "shard").alias("tie"), "shard")
+    wanted = votes.groupBy("row", "own").agg(here.alias("here"), F.collect_list(F.when(F.col("shard") != F.col("own"), choice)).alias("others"))
+    better = F.array_max(F.filter("others", lambda o: o["n"] > F.col("here")))
+    asked = cut_lineage(wanted.select("row", "own", better["shard"].alias("to")).where("to IS NOT NULL"))
     flows = {(r["own"], r["to"]): r["n"] for r in asked.groupBy("own", "to").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not flows:
         return now
@@ -47,8 +53,12 @@ def _move(now: DataFrame, members: DataFrame, shards: int, room: int, step: int,
     chances = []
     for (own, to), n in sorted(flows.items()):
         swap = min(n, flows.get((to, own), 0))
-        free = max(0, room - counts.get(to, 0)) * n / into[to]
+        gap = max(0, room - counts.get(to, 0))
+        # What the draw may exceed its mean by is kept free.
+        free = max(0, gap - math.isqrt(9 * gap)) * n / into[to]
         chances.append((own, to, min(1.0, (swap + free) / n)))
+    if not any(chance for _, _, chance in chances):
+        return now
     spark = now.sparkSession
     allowed = spark.createDataFrame(chances, "own int, to int, chance double")
     goes = (
@@ -69,14 +79,71 @@ def _shared(members: DataFrame) -> DataFrame:
     return members.join(cut_lineage(links.select("link")), "link", "left_semi")
 
 
+def pack(sizes: list[tuple[int, int]], rooms: dict[int, int]) -> list[tuple[int, int, int]]:
+    """``link``, shard and rows for links with their sizes, largest first; ``rooms`` is what shards have left.
+
+    A link goes whole to the shard it fills best. One that no shard holds takes the emptiest
+    shards, as few as hold it, evenly; which of its rows go where is drawn, so what the draw may
+    miss by is kept free.
+    """
+    made = []
+    for link, n in sizes:
+        fitting = [s for s, room in rooms.items() if room >= n]
+        if fitting:
+            parts = [(min(fitting, key=lambda s: (rooms[s], s)), n)]
+        else:
+            emptiest = sorted(rooms, key=lambda s: (-rooms[s], s))
+            few = next((k for k in range(1, len(rooms) + 1) if sum(rooms[s] for s in emptiest[:k]) >= n), len(rooms))
+            left, parts = n, []
+            for at, s in enumerate(reversed(emptiest[:few])):
+                take = min(rooms[s], -(-left // (few - at))) if at < few - 1 else left
+                parts.append((s, take))
+                left -= take
+        for s, take in parts:
+            rooms[s] -= take if len(parts) == 1 else min(rooms[s], take + math.isqrt(16 * take))
+            if take:
+                made.append((link, s, take))
+    return made
+
+
+def _start(linked: DataFrame, total: int, shards: int) -> DataFrame:
+    """``row``, ``shard``: whole links by their counts, large ones packed, the others drawn by the room that is left."""
+    sizes = cut_lineage(linked.groupBy("link").agg(F.count(F.lit(1)).alias("n")))
+    homes = linked.join(sizes, "link").groupBy("row").agg(F.max(F.struct("n", "link")).alias("home")).select("row", "home.link")
+    rooms = dict.fromkeys(range(shards), total // shards)
+    least = max(2, total // (shards * LARGE))
+    # At most ``shards * LARGE`` links are that large.
+    large = [(r["link"], r["n"]) for r in sizes.where(F.col("n") >= least).orderBy(F.desc("n"), "link").collect()]
+    ranges, upto = [], {}
+    counts = dict(large)
+    for link, shard, n in pack(large, rooms):
+        low = upto.get(link, 0)
+        upto[link] = low + n
+        ranges.append((link, low / counts[link], 2.0 if upto[link] == counts[link] else upto[link] / counts[link], shard))
+    spark = linked.sparkSession
+    plan = F.broadcast(spark.createDataFrame(ranges, "link bigint, low double, high double, to int"))
+    drawn, left = _draw("link", F.lit(SEED)), max(1, sum(max(0, room) for room in rooms.values()))
+    other, passed = F.lit(shards - 1), 0
+    bounds = []
+    for shard in range(shards):
+        passed += max(0, rooms[shard])
+        bounds.append((passed / left, shard))
+    for bound, shard in reversed(bounds[:-1]):
+        other = F.when(drawn < bound, F.lit(shard)).otherwise(other)
+    share = _draw("row", F.lit(f"{SEED}-part"))
+    placed = homes.withColumn("share", share).join(plan, "link", "left")
+    return placed.where("low IS NULL OR (share >= low AND share < high)").select("row", F.coalesce("to", other).cast("int").alias("shard"))
+
+
 def propagate(linked: DataFrame, total: int, shards: int = SHARDS, rounds: int = ROUNDS) -> DataFrame:
-    """``row``, ``shard`` for rows with neighbours: a drawn start, then rounds of moves under quotas.
+    """``row``, ``shard`` for rows with neighbours: links placed whole, then rounds of moves under quotas.
 
     ``linked`` has ``row`` and ``link``. A shard may hold its even part of all ``total`` rows, so
     linked rows may fill it: rows without neighbours go where there is room afterwards.
     """
-    start = (F.pmod(F.xxhash64("row", F.lit(SEED)), F.lit(shards))).cast("int")
-    now = cut_lineage(linked.select("row").distinct().select("row", start.alias("shard")))
+    if linked.isEmpty():
+        return linked.select("row", F.lit(0).alias("shard"))
+    now = cut_lineage(_start(linked, total, shards))
     for step in range(rounds):
         moved = _move(now, linked, shards, total // shards, step, _sizes(now))
         if moved is now:
