@@ -10,6 +10,9 @@ import pyarrow.compute
 
 # Score tiles hold at most this many numbers, whatever the batch sizes are.
 TILE = 4_000_000
+# A query's first rows give it a score to beat, the others are held against it in tiles that fit a cache.
+FIRST = 2_048
+CACHED = 1_000_000
 
 
 def matrix_of(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
@@ -37,53 +40,125 @@ class TopK:
     """The best ``k`` (score, key) per query seen so far.
 
     Scores are compared rounded to six places and ties go to the smaller key,
-    so the outcome does not depend on how rows are split over tasks.
+    so the outcome does not depend on how rows are split over tasks. Products are
+    taken in single precision first; what could reach the score to beat, with the
+    greatest error of that added, is taken again in double. ``floors`` may give
+    scores that ``k`` rows are known to reach; what lies below is not kept.
     """
 
-    def __init__(self, k: int) -> None:
+    def __init__(self, k: int, floors: np.ndarray | None = None) -> None:
         self.k = k
-        self.query = np.zeros(0, dtype=np.int64)
+        self.floor = np.zeros(0) if floors is None else np.where(np.isnan(floors), -np.inf, floors)
         self.key: np.ndarray | None = None
-        self.score = np.zeros(0)
+        self._room(len(self.floor))
+
+    def _room(self, queries: int) -> None:
+        """Rows for so many queries: their best scores and keys, in order, and how many they have."""
+        self.score = np.zeros((queries, self.k))
+        self.held = np.zeros(queries, dtype=np.int64)
+
+    def _hold(self, queries: np.ndarray, keys: np.ndarray) -> None:
+        """Make room for these queries, and for keys of this type."""
+        more = int(queries.max()) + 1 - len(self.floor)
+        if more > 0:
+            more = max(more, len(self.floor))
+            self.floor = np.concatenate([self.floor, np.full(more, -np.inf)])
+            self.score = np.concatenate([self.score, np.zeros((more, self.k))])
+            self.held = np.concatenate([self.held, np.zeros(more, dtype=np.int64)])
+        if self.key is None:
+            self.key = np.zeros((len(self.floor), self.k), dtype=keys.dtype)
+        elif more > 0:
+            self.key = np.concatenate([self.key, np.zeros((more, self.k), dtype=self.key.dtype)])
+        if self.key.dtype != keys.dtype:
+            self.key = self.key.astype(np.result_type(self.key.dtype, keys.dtype))
 
     def offer(self, queries: np.ndarray, vectors: np.ndarray, rows: np.ndarray, keys: np.ndarray):
         """Score ``vectors`` (row numbers ``queries``) against ``rows``."""
         if not len(keys) or not len(queries):
             return
+        self._hold(queries, keys)
+        fresh = np.isneginf(self.floor[queries])
+        if fresh.any():
+            few = slice(0, max(FIRST, self.k))
+            self._offer_all(queries[fresh], vectors[fresh], rows[few], keys[few])
+            self._offer_better(queries[fresh], vectors[fresh], rows[few.stop :], keys[few.stop :])
+            queries, vectors = queries[~fresh], vectors[~fresh]
+        self._offer_better(queries, vectors, rows, keys)
+
+    def _offer_all(self, queries: np.ndarray, vectors: np.ndarray, rows: np.ndarray, keys: np.ndarray) -> None:
         step = max(1, TILE // len(keys))
         for start in range(0, len(queries), step):
             numbers = queries[start : start + step]
             self.offer_scores(numbers, vectors[start : start + step] @ rows.T, keys)
 
+    def _offer_better(self, queries: np.ndarray, vectors: np.ndarray, rows: np.ndarray, keys: np.ndarray) -> None:
+        """:meth:`offer` where nearly all products lie below the scores to beat."""
+        if not len(keys) or not len(queries):
+            return
+        sizes = np.linalg.norm(vectors, axis=1) * np.linalg.norm(rows, axis=1).max()
+        if not sizes.max() < 1e30:
+            return self._offer_all(queries, vectors, rows, keys)
+        error = sizes * (vectors.shape[1] + 8) * 2.0**-23 + 1e-30
+        short, width = vectors.astype(np.float32), min(len(keys), FIRST)
+        for left in range(0, len(keys), width):
+            here, names = rows[left : left + width], keys[left : left + width]
+            beside = here.astype(np.float32).T
+            step = max(1, CACHED // len(names))
+            for start in range(0, len(queries), step):
+                part = slice(start, start + step)
+                numbers = queries[part]
+                cut = np.nextafter((self.floor[numbers] - 1e-6 - error[part]).astype(np.float32), np.float32(-np.inf))
+                scores = short[part] @ beside
+                hit = np.flatnonzero(scores.max(axis=1) >= cut)
+                if len(hit):
+                    at, row = np.nonzero(scores[hit] >= cut[hit, None])
+                    at = hit[at]
+                    exact = np.einsum("ij,ij->i", vectors[part][at], here[row])
+                    self._merge(numbers[at], names[row], exact)
+
     def offer_scores(self, numbers: np.ndarray, scores: np.ndarray, keys: np.ndarray) -> None:
         """Scores of the queries ``numbers`` (rows) and of ``keys`` (columns)."""
-        kept = np.ones(scores.shape, dtype=bool)
-        if scores.shape[1] > self.k:
-            coarse = np.round(scores, 6)
+        if not scores.size:
+            return
+        self._hold(numbers, keys)
+        floor = self.floor[numbers]
+        kept = ~(scores < (floor - 1e-6)[:, None])
+        fresh = np.flatnonzero(np.isneginf(floor))
+        if len(fresh) and scores.shape[1] > self.k:
+            coarse = np.round(scores[fresh], 6)
             cut = -np.partition(-coarse, self.k - 1, axis=1)[:, self.k - 1]
-            kept = coarse >= cut[:, None]
+            kept[fresh] = coarse >= cut[:, None]
         at_query, at_row = np.nonzero(kept)
         self._merge(numbers[at_query], keys[at_row], scores[at_query, at_row])
 
     def _merge(self, query: np.ndarray, key: np.ndarray, score: np.ndarray) -> None:
-        if self.key is not None:
-            touched = np.isin(self.query, query)
-            query = np.concatenate([self.query[touched], query])
-            score = np.concatenate([self.score[touched], score])
-            key = np.concatenate([self.key[touched], key])
+        coarse = np.round(score, 6)
+        good = ~(coarse < self.floor[query])
+        # Of equal scores only smaller keys than the last one's can still come in.
+        full = good & (self.held[query] == self.k)
+        good[full] = (coarse[full] > np.round(self.score[query[full], -1], 6)) | (key[full] < self.key[query[full], -1])
+        if not good.any():
+            return
+        query, key, score = query[good], key[good], score[good]
+        touched = np.unique(query)
+        own, place = np.nonzero(np.arange(self.k) < self.held[touched][:, None])
+        query = np.concatenate([touched[own], query])
+        score = np.concatenate([self.score[touched[own], place], score])
+        key = np.concatenate([self.key[touched[own], place], key])
         order = np.lexsort((key, -np.round(score, 6), query))
         query, key, score = query[order], key[order], score[order]
         first = np.flatnonzero(np.r_[True, query[1:] != query[:-1]])
-        place = np.arange(len(query)) - np.repeat(first, np.diff(np.r_[first, len(query)]))
+        count = np.diff(np.r_[first, len(query)])
+        place = np.arange(len(query)) - np.repeat(first, count)
         best = place < self.k
-        query, key, score = query[best], key[best], score[best]
-        if self.key is not None:
-            query = np.concatenate([self.query[~touched], query])
-            score = np.concatenate([self.score[~touched], score])
-            key = np.concatenate([self.key[~touched], key])
-        self.query, self.key, self.score = query, key, score
+        self.score[query[best], place[best]] = score[best]
+        self.key[query[best], place[best]] = key[best]
+        self.held[touched] = np.minimum(count, self.k)
+        full = touched[self.held[touched] == self.k]
+        self.floor[full] = np.maximum(self.floor[full], np.round(self.score[full, -1], 6))
 
     def batches(self, query_ids: np.ndarray, names: list[str]) -> Iterator[pa.RecordBatch]:
-        if self.key is not None and len(self.key):
-            columns = [pa.array(query_ids[self.query]), pa.array(self.key), pa.array(self.score)]
+        if self.held.any():
+            query, place = np.nonzero(np.arange(self.k) < self.held[:, None])
+            columns = [pa.array(query_ids[query]), pa.array(self.key[query, place]), pa.array(self.score[query, place])]
             yield pa.RecordBatch.from_arrays(columns, names=names)

@@ -3,19 +3,21 @@
 All three are one job shape. Every corpus row lies in a cell and every query
 names the cells it wants; plain exact search has a single cell. A bounded set
 of queries travels to the corpus, which is then scanned in place and reduced
-to ``k`` rows per query and task before anything is shuffled. A larger set is
-joined with the corpus on (cell, slot, slot), where the slots cut the two sides
-of a cell, however hot, into blocks of bounded size.
+to ``k`` rows per query and task before anything is shuffled. A larger set goes
+in groups of that size, each a scan. Where no query may be sent, both sides are
+joined on (cell, slot, slot), where the slots cut the two sides of a cell,
+however hot, into blocks of bounded size.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -23,7 +25,7 @@ from pyspark.sql.window import Window
 
 from answerloom.functions.columns import as_column, ranked_score, require_columns
 from answerloom.operators._nearest import TopK, keys_of, matrix_of
-from answerloom.session import cut_and_measure, cut_lineage
+from answerloom.session import cut_and_measure, cut_lineage, new_folder
 
 MAX_SENT_QUERIES = 16_384
 MAX_SENT_BYTES = 64 << 20
@@ -404,8 +406,35 @@ def _search(
     others = F.coalesce(F.sum(F.octet_length(F.col(query_key).cast("string")) + F.size("cells") * 4), F.lit(0))
     asked, size = cut_and_measure(queries, rows=F.count(F.lit(1)), bytes=values + others)
     if size["rows"] <= max_sent and size["bytes"] <= MAX_SENT_BYTES:
-        return _scan(_with_vector(asked.toArrow(), "q"), corpus, k, schema)
-    return _blocks(asked, corpus, k, query_key, key, schema)
+        return _scan(_with_vector(asked.toArrow(), "q"), corpus, k, schema)[0]
+    if max_sent < 1:
+        return _blocks(asked, corpus, k, query_key, key, schema)
+    groups = max(-(-size["rows"] // max_sent), -(-size["bytes"] // MAX_SENT_BYTES))
+    return scan_in_groups(asked, groups, cut_lineage(corpus), k, query_key, key, schema)
+
+
+def scan_in_groups(
+    asked: DataFrame,
+    groups: int,
+    corpus: DataFrame,
+    k: int,
+    query_key: str,
+    key: str,
+    schema: T.StructType,
+    choose: Callable | None = None,
+) -> DataFrame:
+    """The best ``k`` of each query, found by a scan of the corpus for each group of queries.
+
+    Neither side is shuffled, whatever their sizes; only what tasks found is. ``asked`` and ``corpus``
+    must have been written. ``asked`` may have a fourth column: scores that are known to be reached.
+    """
+    found = new_folder(asked.sparkSession)
+    for group in range(groups):
+        part = asked if groups == 1 else asked.where(F.pmod(F.xxhash64(query_key), F.lit(groups)) == group)
+        scanned, sent = _scan(_with_vector(part.toArrow(), "q"), corpus, k, schema, choose)
+        rank_candidates(scanned, k, query_key, key).select(*schema.names).write.mode("append").parquet(found)
+        sent.destroy()
+    return asked.sparkSession.read.schema(schema).parquet(found)
 
 
 def _with_vector(rows: pa.Table | pa.RecordBatch, name: str) -> pa.Table | pa.RecordBatch:
@@ -414,33 +443,56 @@ def _with_vector(rows: pa.Table | pa.RecordBatch, name: str) -> pa.Table | pa.Re
     return rows.filter(present)
 
 
-def _scan(queries: pa.Table, corpus: DataFrame, k: int, schema: T.StructType) -> DataFrame:
-    """Send the queries to the corpus: no shuffle of the corpus, no skew."""
+def _by_cell(cells: pa.Array | pa.ChunkedArray) -> dict[int, np.ndarray]:
+    """The numbers of the queries that name a cell."""
+    lists = cells.combine_chunks() if isinstance(cells, pa.ChunkedArray) else cells
+    if not len(lists):
+        return {}
+    sizes = pa.compute.fill_null(pa.compute.list_value_length(lists), 0).to_numpy()
+    named, numbers = lists.flatten().to_numpy(zero_copy_only=False), np.repeat(np.arange(len(lists)), sizes)
+    order = np.argsort(named, kind="stable")
+    known, first = np.unique(named[order], return_index=True)
+    return dict(zip(known.tolist(), np.split(numbers[order], first[1:]), strict=False)) if len(known) else {}
+
+
+def _scan(
+    queries: pa.Table, corpus: DataFrame, k: int, schema: T.StructType, choose: Callable | None = None
+) -> tuple[DataFrame, Broadcast]:
+    """Send the queries to the corpus: no shuffle of the corpus, no skew. Also returns what was sent.
+
+    With ``choose`` any query may want any cell, and the cells it names are those it is done with:
+    ``choose(vectors, floor, cell)`` tells by the scores to beat which queries want a cell.
+    """
     ids = keys_of(queries.column(0))
     vectors = matrix_of(queries.column(1))
-    wanted: dict[int, list[int]] = {}
-    for number, cells in enumerate(queries.column(2).to_pylist()):
-        for cell in cells:
-            wanted.setdefault(cell, []).append(number)
-    by_cell = {cell: np.array(numbers) for cell, numbers in wanted.items()}
-    shared = corpus.sparkSession.sparkContext.broadcast((ids, vectors, by_cell))
+    by_cell = _by_cell(queries.column(2))
+    floors = keys_of(queries.column(3)).astype(np.float64) if queries.num_columns > 3 else None
+    shared = corpus.sparkSession.sparkContext.broadcast((ids, vectors, by_cell, floors))
     names = schema.names
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, vectors, by_cell = shared.value
-        best = TopK(k)
+        ids, vectors, by_cell, floors = shared.value
+        best = TopK(k, floors)
         for batch in batches:
             batch = _with_vector(batch, "v")
             keys, rows, cells = keys_of(batch[0]), matrix_of(batch[1]), keys_of(batch[2])
             for cell in np.unique(cells):
                 numbers = by_cell.get(int(cell))
-                if numbers is not None:
+                if choose is not None:
+                    wanting = choose(vectors, best.floor, int(cell))
+                    if numbers is not None:
+                        wanting[numbers] = False
+                    numbers = np.flatnonzero(wanting)
+                if numbers is not None and len(numbers):
                     here = cells == cell
                     best.offer(numbers, vectors[numbers], rows[here], keys[here])
         yield from best.batches(ids, names)
 
-    probed = corpus.where(F.col("cell").isin(sorted(by_cell))) if by_cell else corpus.limit(0)
-    return probed.mapInArrow(scan, schema)
+    if choose is not None:
+        probed = corpus if len(ids) else corpus.limit(0)
+    else:
+        probed = corpus.where(F.col("cell").isin(sorted(by_cell))) if by_cell else corpus.limit(0)
+    return probed.mapInArrow(scan, schema), shared
 
 
 def _blocks(

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from answerloom.functions.embedding import embed
 from answerloom.operators import search as S
+from answerloom.operators._nearest import TopK
 from answerloom.operators.index import content_hash, sync_actions, sync_index, write_index
 
 
@@ -174,3 +175,41 @@ def test_index_partitioned_by_cell_is_pruned(small, spark, new_folder):
     found = S.topk_ann(q.limit(1), index, centroids, 3, nprobe=1)
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [cell" in plan or "cell#" in plan.split("PartitionFilters")[1][:80]
+
+
+def test_more_queries_than_are_sent_go_in_groups(small, monkeypatch):
+    """Each group is a scan; no side is copied into blocks of the other."""
+    queries, corpus, q, c = small
+    monkeypatch.setattr(S, "_blocks", None)
+    assert rows(S.topk(q, c, 5, max_sent_queries=2)) == brute(queries, corpus, 5)
+    centroids = S.train_centroids(c, 6)
+    index = S.assign_cells(c, centroids)
+    assert rows(S.topk_ann(q, index, centroids, 5, nprobe=6, max_sent_queries=4)) == brute(queries, corpus, 5)
+
+
+@pytest.mark.parametrize("kind, keys", [("unit", "text"), ("ties", "number"), ("huge", "number")])
+def test_best_rows_by_single_precision_and_a_score_to_beat(kind, keys):
+    draw = np.random.default_rng(3)
+    vectors, asked = draw.normal(size=(9000, 8)), draw.normal(size=(40, 8))
+    if kind == "ties":
+        vectors, asked = np.round(vectors), np.round(asked)
+    elif kind == "huge":
+        vectors, asked = vectors * 1e20, asked * 1e20
+    else:
+        # Neighbours that only differ in the sixth place of their score.
+        vectors[3000:6000] = vectors[:3000] + 1e-6 * draw.normal(size=(3000, 8))
+    names = draw.permutation(9000)
+    names = np.array([f"{n:05d}" for n in names], dtype=object) if keys == "text" else names
+    scores = np.einsum("qd,nd->qn", asked, vectors)
+    best = [np.lexsort((names, -np.round(row, 6)))[:7] for row in scores]
+    lowest = np.array([np.round(row[found[-1]], 6) for row, found in zip(scores, best, strict=True)])
+    for floors in (None, np.full(40, np.nan), *([] if kind == "huge" else [lowest])):
+        top = TopK(7, floors)
+        for start in range(0, 9000, 4500):
+            top.offer(np.arange(40), asked, vectors[start : start + 4500], names[start : start + 4500])
+        found = next(top.batches(np.arange(40), ["q", "n", "s"])).to_pandas()
+        assert found.n.tolist() == np.concatenate([names[row] for row in best]).tolist()
+    low = TopK(7, lowest + 1)
+    low.offer(np.arange(40), asked, vectors, names)
+    if kind != "huge":
+        assert all((batch.to_pandas().s > lowest[batch.to_pandas().q]).all() for batch in low.batches(np.arange(40), ["q", "n", "s"]))
