@@ -74,6 +74,17 @@ def test_nothing_to_search(spark):
     assert few.count() == 30
 
 
+def test_visits_go_in_groups_and_shuffle_no_copies(spark, monkeypatch):
+    """Queries are sent in groups, neither they nor the rows are copied for each block, and scores go on from round to round."""
+    monkeypatch.setattr(S, "_blocks", None)
+    monkeypatch.setattr(M, "MAX_SENT_QUERIES", 60)
+    corpus, queries = list(enumerate(clustered(900, 5, 1.5))), list(enumerate(clustered(150, 6, 1.5)))
+    rows, blocks = blocks_of(frame(spark, corpus), 8)
+    found, report = M.topk_many(frame(spark, queries, "query_id"), rows, blocks, 4)
+    assert rows_of(found) == brute(queries, corpus, 4)
+    assert all(set(r) == {"round", "queries", "pairs"} for r in report)
+
+
 # ---- codes -----------------------------------------------------------------
 
 
