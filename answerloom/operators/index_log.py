@@ -233,8 +233,8 @@ class IndexLog:
         if centroids is None:
             made = made.withColumn("bucket", F.pmod(F.xxhash64(self.key), F.lit(self.buckets)).cast("int"))
         else:
-            # A model runs once: the vectors are written before their cells are looked for.
-            placed = assign_cells(cut_lineage(made), centroids)
+            # A model runs once: it is declared nondeterministic, so no plan copies its call.
+            placed = assign_cells(made, centroids)
             made = placed.withColumn("bucket", F.coalesce(F.col("cell").cast("int"), F.lit(NO_CELL))).drop("cell")
         folder = f"{kind}-{version}"
         self._write(made, folder)

@@ -25,6 +25,7 @@ from answerloom.sources.tables import table_stamp
 #: Rows of a cell, about, and vectors that centroids are learned from, at most about so many.
 CELL_ROWS = 2_000
 SAMPLE = 50_000
+SAMPLE_TASKS = 32
 
 
 def _kept(spark: SparkSession, directory: str, name: str) -> dict:
@@ -53,7 +54,7 @@ def _synced(
     kept = _kept(spark, directory, name)
     stamp = tuple(table_stamp(spark, directory, table) for table in tables)
     if kept.get("stamp") != stamp:
-        rows = cut_lineage(source())
+        rows = source()
         if "log" not in kept:
             kept["log"] = log(new_folder(spark, name))
             kept["log"].sync(rows, centroids=centroids(rows))
@@ -65,11 +66,16 @@ def _synced(
     return kept["log"], kept
 
 
-def _trained(rows: DataFrame, key: str) -> DataFrame:
-    """Centroids of about ``CELL_ROWS`` rows each, from a sample drawn by a hash of the keys."""
+def _trained(rows: DataFrame, key: str, text: str) -> DataFrame:
+    """Centroids of about ``CELL_ROWS`` rows each, from a sample drawn by a hash of the keys.
+
+    Only the sample is embedded here. Its vectors are dealt over a fixed number of tasks: each of them
+    sends sums of every cell in every step of the training.
+    """
     n = rows.count()
     drawn = F.pmod(F.xxhash64(key, F.lit("cells")), F.lit(1 << 30)) / float(1 << 30)
-    sample = rows.where(drawn < min(1.0, SAMPLE / max(1, n)))
+    drawn_rows = rows.where(drawn < min(1.0, SAMPLE / max(1, n)))
+    sample = cut_lineage(drawn_rows.select(key, embed(text).alias("embedding")).repartition(SAMPLE_TASKS, key))
     cells = max(1, min(S.MAX_SENT_CELLS // 4, -(-n // CELL_ROWS)))
     return cut_lineage(S.train_centroids(sample, cells)) if cells > 1 else _middle(sample)
 
@@ -87,8 +93,8 @@ def chunk_index(spark: SparkSession, directory: str) -> IndexLog:
         "chunks",
         ("documents",),
         lambda path: IndexLog(path, columns=("doc_id", "source")),
-        lambda: chunks_of(spark, directory),
-        lambda rows: _trained(cut_lineage(rows.select("id", embed("content").alias("embedding"))), "id"),
+        lambda: cut_lineage(chunks_of(spark, directory)),  # split once, read twice
+        lambda rows: _trained(rows, "id", "content"),
     )[0]
 
 
@@ -104,7 +110,7 @@ def document_index(spark: SparkSession, directory: str) -> IndexLog:
         ("documents",),
         IndexLog,
         documents,
-        lambda rows: _trained(cut_lineage(rows.select("id", embed("content").alias("embedding"))), "id"),
+        lambda rows: _trained(rows, "id", "content"),
     )[0]
 
 

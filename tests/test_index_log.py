@@ -6,6 +6,7 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from answerloom.operators import index_log
 from answerloom.operators import search as S
 from answerloom.operators.index import sync_index
 from answerloom.operators.index_log import NO_CELL, IndexLog
@@ -141,3 +142,25 @@ def test_a_version_is_taken_once(spark):
     assert rename_folder(spark, f"{folder}/a", f"{folder}/log/version=1")
     assert not rename_folder(spark, f"{folder}/b", f"{folder}/log/version=1")
     assert spark.read.parquet(f"{folder}/b").count() == 1
+
+
+def test_cells_cost_no_second_copy_of_the_texts(spark, monkeypatch):
+    """Texts go straight from their model to their bucket, and the model sees each once."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def model():
+        def encode(texts):
+            seen.add(len(texts))
+            return np.array([[len(t), t.count("e")] for t in texts], float)
+
+        return encode
+
+    rows = {k: "e" * (k % 9) + "x" * (k % 40) for k in range(700)}
+    centroids = spark.createDataFrame([(0, [5.0, 1.0]), (1, [20.0, 4.0]), (2, [35.0, 8.0])], "cell int, centroid array<double>")
+    log = IndexLog(fresh_folder(spark, "log"))
+    monkeypatch.setattr(index_log, "cut_lineage", None)
+    assert log.sync(source(spark, rows), centroids=centroids, model=model, dim=2) == 1
+    assert seen.value == 700 and state(log, spark) == {k: (f"s{k}", t) for k, t in rows.items()}
+    vector = lambda t: [len(t), t.count("e")]
+    nearest = lambda t: min((round((vector(t)[0] - c[0]) ** 2 + (vector(t)[1] - c[1]) ** 2, 6), n) for n, c in enumerate([(5, 1), (20, 4), (35, 8)]))[1]
+    assert {r.id: r.cell for r in log.live(spark).select("id", "cell").collect()} == {k: nearest(t) for k, t in rows.items()}
