@@ -24,7 +24,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from answerloom.functions.columns import as_column, ranked_score, require_columns
-from answerloom.operators._nearest import TopK, keys_of, matrix_of
+from answerloom.operators._nearest import CACHED, TopK, keys_of, matrix_of
 from answerloom.session import cut_and_measure, cut_lineage, new_folder
 
 MAX_SENT_QUERIES = 16_384
@@ -264,6 +264,13 @@ def _distances(rows: np.ndarray, centroids: np.ndarray) -> np.ndarray:
     return np.maximum(squares - 2 * rows @ centroids.T, 0.0)
 
 
+def _smallest(gaps: np.ndarray, n: int) -> np.ndarray:
+    """Places of the ``n`` smallest numbers of each row, in order; ties go to the first."""
+    if n == 1 and gaps.shape[1]:
+        return np.argmin(gaps, axis=1)[:, None]
+    return np.argsort(gaps, axis=1, kind="stable")[:, :n]
+
+
 def _rows(series) -> np.ndarray:
     return np.stack(series.to_numpy()).astype(np.float64)
 
@@ -285,10 +292,12 @@ def _nearest(vector: Column | str, spark: SparkSession, centroids: tuple[np.ndar
         for batch in batches:
             out = np.full(len(batch), None, dtype=object)
             known = batch.notna().to_numpy()
-            if known.any():
-                gaps = np.round(_distances(_rows(batch[known]), matrix), 6)
-                nearest_first = cells[np.argsort(gaps, axis=1, kind="stable")[:, :nprobe]]
-                for position, row in zip(np.flatnonzero(known), nearest_first, strict=True):
+            # A tile of distances at a time: a batch by all cells grows with the number of cells.
+            positions, step = np.flatnonzero(known), max(1, CACHED // max(1, len(cells)))
+            for start in range(0, len(positions), step):
+                here = positions[start : start + step]
+                gaps = np.round(_distances(_rows(batch.iloc[here]), matrix), 6)
+                for position, row in zip(here, cells[_smallest(gaps, nprobe)], strict=True):
                     out[position] = row.tolist()
             yield pd.Series(out)
 
