@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 _SENTENCE = re.compile(r"\S.*?(?:[.!?]+(?:\s+|\Z)|\Z)", re.S | re.A)
 _TOKEN = re.compile(r"\S+", re.A)
 _BLANKS = " \t\n\r\f"
+#: Texts that are split at a time.
+TEXTS = 256
 
 
 def _pieces(text: str, size: int) -> Iterator[tuple[int, str]]:
@@ -66,10 +68,15 @@ def chunk_array(text: Column | str, size: int = 500, overlap: int = 10) -> Colum
     if not 0 <= overlap < size:
         raise ValueError("overlap must be at least 0 and smaller than size")
 
-    @F.pandas_udf("array<string>")
-    def chunks_of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("array<string>")
+    def chunks_of(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
-            yield pd.Series([split_text(text, size, overlap) for text in batch], dtype=object)
+            # A part at a time: a batch of long texts is never held as Python strings at once.
+            parts = [
+                pa.array([split_text(text, size, overlap) for text in batch.slice(start, TEXTS).to_pylist()], pa.list_(pa.string()))
+                for start in range(0, len(batch), TEXTS)
+            ]
+            yield pa.concat_arrays(parts) if parts else pa.array([], pa.list_(pa.string()))
 
     return chunks_of.asNondeterministic()(text)
 

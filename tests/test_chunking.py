@@ -63,3 +63,10 @@ def test_bad_sizes():
 
     with pytest.raises(ValueError):
         chunk_array("t", 5, 5)
+
+
+def test_texts_of_a_batch_are_split_part_by_part(spark):
+    texts = [None if i % 5 == 0 else " ".join(f"w{i}." for _ in range(i % 7)) for i in range(700)]
+    frame = spark.createDataFrame(list(enumerate(texts)), "id int, text string").coalesce(1)
+    got = {r.id: r.c for r in frame.select("id", chunk_array("text", 4, 1).alias("c")).collect()}
+    assert got == {i: split_text(t, 4, 1) for i, t in enumerate(texts)}

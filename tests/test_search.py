@@ -187,6 +187,22 @@ def test_more_queries_than_are_sent_go_in_groups(small, monkeypatch):
     assert rows(S.topk_ann(q, index, centroids, 5, nprobe=6, max_sent_queries=4)) == brute(queries, corpus, 5)
 
 
+def test_distances_to_cells_are_taken_in_tiles(spark, small, monkeypatch):
+    """However many cells there are, a task holds no more than a tile of distances."""
+    _, _, _, c = small
+    centroids = S.train_centroids(c, 6)
+    expected = S.assign_cells(c, centroids).select("id", "cell").orderBy("id").collect()
+    whole = S._distances
+
+    def measured(vectors, middles):
+        assert len(vectors) * len(middles) <= 40
+        return whole(vectors, middles)
+
+    monkeypatch.setattr(S, "CACHED", 40, raising=False)
+    monkeypatch.setattr(S, "_distances", measured)
+    assert S.assign_cells(c, centroids).select("id", "cell").orderBy("id").collect() == expected
+
+
 @pytest.mark.parametrize("kind, keys", [("unit", "text"), ("ties", "number"), ("huge", "number")])
 def test_best_rows_by_single_precision_and_a_score_to_beat(kind, keys):
     draw = np.random.default_rng(3)
@@ -213,3 +229,17 @@ def test_best_rows_by_single_precision_and_a_score_to_beat(kind, keys):
     low.offer(np.arange(40), asked, vectors, names)
     if kind != "huge":
         assert all((batch.to_pandas().s > lowest[batch.to_pandas().q]).all() for batch in low.batches(np.arange(40), ["q", "n", "s"]))
+
+
+def test_a_model_gets_a_bounded_number_of_texts(spark):
+    def model():
+        def encode(texts):
+            assert len(texts) <= 256
+            return np.array([[len(t), 1] for t in texts], float)
+
+        return encode
+
+    texts = [None if i % 7 == 0 else "x" * (i % 50) for i in range(1000)]
+    frame = spark.createDataFrame(list(enumerate(texts)), "id int, text string").coalesce(1)
+    got = {r.id: r.e for r in frame.select("id", embed("text", model, 2).alias("e")).collect()}
+    assert got == {i: None if t is None else [len(t), 1] for i, t in enumerate(texts)}
