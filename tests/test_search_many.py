@@ -6,6 +6,7 @@ import pytest
 from answerloom.operators import compressed as C
 from answerloom.operators import search as S
 from answerloom.operators import search_many as M
+from answerloom.operators._nearest import Asked, TopK
 from answerloom.session import cut_lineage
 
 
@@ -85,6 +86,85 @@ def test_visits_go_in_groups_and_shuffle_no_copies(spark, monkeypatch):
     assert all(set(r) == {"round", "queries", "pairs"} for r in report)
 
 
+def arc(degrees):
+    return np.stack([np.cos(np.radians(degrees)), np.sin(np.radians(degrees))], axis=1)
+
+
+def test_rows_of_a_block_are_skipped_by_tiles(spark, monkeypatch):
+    """Two rings of 450 rows; a query at their border needs the nearest few degrees of the other ring, not all of it."""
+    monkeypatch.setattr(M, "TILE_ROWS", 50, raising=False)
+    corpus, queries = list(enumerate(arc(np.arange(900) / 10))), list(enumerate(arc(44.5 + np.arange(8) / 8)))
+    centroids = spark.createDataFrame([(0, [1.0, 0.0])], "cell int, centroid array<double>")
+    rows = cut_lineage(M.with_blocks(frame(spark, corpus).selectExpr("*", "0 AS cell"), centroids, 2))
+    found, report = M.topk_many(frame(spark, queries, "query_id"), rows, M.describe_blocks(rows, centroids), 60, rounds=(1,))
+    assert rows_of(found) == brute(queries, corpus, 60)
+    assert [r["queries"] for r in report] == [8, 8]
+    assert report[1]["pairs"] <= 8 * 150
+
+
+def test_tiles_hold_every_row_once(spark, monkeypatch):
+    monkeypatch.setattr(M, "TILE_ROWS", 7)
+    rows, _ = blocks_of(frame(spark, list(enumerate(clustered(200, 3)))), 3)
+    by_key = {r.id: r for r in rows.collect()}
+    tiles = M._tiles(rows, "id", "embedding").collect()
+    assert sorted(key for tile in tiles for key in tile["keys"]) == sorted(by_key)
+    for tile in tiles:
+        own = [by_key[key] for key in tile["keys"]]
+        assert len(own) <= 7 and {r.block for r in own} == {tile.cell}
+        assert (tile.low, tile.high) == (min(r.angle for r in own), max(r.angle for r in own))
+        assert (tile.least, tile.most) == (min(r.norm for r in own), max(r.norm for r in own))
+        assert np.array_equal(np.frombuffer(bytes(tile.v)).reshape(len(own), -1), [r.embedding for r in own])
+
+
+def test_first_blocks_are_near(monkeypatch):
+    """Those of the nearest cells, in the order in which all blocks would come."""
+    draw = np.random.default_rng(3)
+    middles, of = M._unit(draw.normal(size=(40, 3))), np.repeat(np.arange(40), draw.integers(1, 5, 40))
+    low = draw.uniform(0, 0.4, len(of))
+    blocks = {"towards": middles, "of": of, "rings": M._rings(of), "low": low, "high": low + 0.1}
+    assert sorted(M._rings(of)[M._rings(of) >= 0]) == list(range(len(of)))
+    queries = draw.normal(size=(30, 3))
+    angles = np.arccos(np.clip(M._unit(queries) @ middles.T, -1, 1))[:, of]
+    every = np.argsort(np.abs(angles - (blocks["low"] + blocks["high"]) / 2) + angles, axis=1, kind="stable")
+    assert np.array_equal(M._likeliest(queries, blocks, 5), every[:, :5])
+    monkeypatch.setattr(M, "NEAREST", 2)
+    assert M._likeliest(queries, blocks, 5).shape == (30, 5)
+    assert np.array_equal(np.sort(M._likeliest(queries, blocks, 500)), np.broadcast_to(np.arange(len(of)), (30, len(of))))
+
+
+def test_hot_first_block_and_repeated_keys(spark, monkeypatch):
+    """Most queries like one block first, so it is dealt over groups; two queries share a key, one has none."""
+    monkeypatch.setattr(M, "MAX_SENT_QUERIES", 10)
+    corpus = [(f"row {i:03d}", v) for i, v in enumerate(np.round(clustered(120, 2), 2))]
+    queries = [(f"asked {i}", corpus[7][1]) for i in range(35)] + [("asked 1", corpus[90][1]), (None, corpus[50][1])]
+    rows, blocks = blocks_of(spark.createDataFrame([(a, v.tolist()) for a, v in corpus], "id string, embedding array<float>"), 4)
+    asked = spark.createDataFrame([(a, v.tolist()) for a, v in queries], "query_id string, embedding array<float>")
+    found = M.topk_many(asked, rows, blocks, 3)[0].collect()
+    single = [(key, v.astype(np.float32).astype(float)) for key, v in corpus]
+    wanted = []
+    for name in dict(queries):
+        scored = sorted((-round(float(v.astype(np.float32).astype(float) @ w), 6), key) for own, v in queries if own == name for key, w in single)
+        wanted += [(name, n + 1, key, -score) for n, (score, key) in enumerate(scored[:3])]
+    order = lambda r: (r[0] or "", r[1])
+    assert sorted(((r.query_id, r.rk, r.id, round(r.score, 6)) for r in found), key=order) == sorted(wanted, key=order)
+
+
+@pytest.mark.parametrize("k, kind", [(1, np.float32), (4, np.float64)])
+def test_a_tile_gives_what_sorting_all_gives(k, kind):
+    draw = np.random.default_rng(k)
+    rows, asked = draw.integers(-2, 3, (400, 6)).astype(kind), draw.integers(-2, 3, (50, 6)).astype(kind)
+    keys, floors = draw.permutation(400), np.where(np.arange(50) < 10, -np.inf, -3.0)
+    best = TopK(k, floors)
+    for start in range(0, 400, 40):
+        best.offer_tile(np.arange(0, 50, 1 + start % 80 // 40), Asked(asked), rows[start : start + 40], keys[start : start + 40])
+    seen = np.arange(400) // 40 % 2 == 0
+    for n in range(50):
+        here = seen if n % 2 else np.ones(400, bool)
+        scored = sorted(zip(-(rows[here] @ asked[n]), keys[here].tolist(), strict=True))
+        wanted = [(-s, key) for s, key in scored if -s >= floors[n]][:k]
+        assert list(zip(best.score[n, : best.held[n]], best.key[n, : best.held[n]], strict=True)) == wanted
+
+
 # ---- codes -----------------------------------------------------------------
 
 
