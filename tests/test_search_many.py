@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from answerloom.operators import compressed as C
@@ -149,6 +150,14 @@ def test_hot_first_block_and_repeated_keys(spark, monkeypatch):
     assert sorted(((r.query_id, r.rk, r.id, round(r.score, 6)) for r in found), key=order) == sorted(wanted, key=order)
 
 
+def test_queries_of_one_key_share_the_score_to_beat():
+    best = TopK(3, np.full(5, -np.inf))
+    best.take(np.array([0, 0, 0, 1, 1, 2, 3, 3, 3]), np.arange(9), np.array([0.9, 0.5, 0.1, 0.8, 0.7, 0.6, 0.4, 0.3, 0.2]))
+    assert M._floors(best, pa.array(["a", "b", "b", "c", None])).tolist() == [0.1, 0.6, 0.6, 0.2, -np.inf]
+    assert M._floors(best, pa.array(["a", "a", "b", "c", "b"])).tolist() == [0.7, 0.7, -np.inf, 0.2, -np.inf]
+    assert M._floors(best, pa.array(["a", "b", "c", "d", None])).tolist() == best.floor.tolist()
+
+
 @pytest.mark.parametrize("k, kind", [(1, np.float32), (4, np.float64)])
 def test_a_tile_gives_what_sorting_all_gives(k, kind):
     draw = np.random.default_rng(k)
